@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,19 +51,29 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view(np.int64)[0])
 
 
-def add_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``docs`` without its text and with the long ``out``; a null or empty text gives 0."""
+def add_fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", row_key: str | None = None) -> DataFrame:
+    """``docs`` with the long ``out``; a null or empty text gives 0.
+
+    With ``row_key`` also a long of that name that no other row has. It depends on
+    how the rows are read, so the result is to be written before it is used twice.
+    """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in (text_col, out)]
-    rows = docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(out, T.LongType())])
+    rest = [c for c in docs.columns if c not in (out, row_key)]
+    added = [T.StructField(out, T.LongType())] + ([T.StructField(row_key, T.LongType())] if row_key else [])
+    schema = T.StructType([docs.schema[c] for c in rest] + added)
+    at = rest.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            prints = [fingerprint(x) for x in batch.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], pa.array(prints, pa.int64())], names=schema.names)
+            prints = [fingerprint(x or b"") for x in batch.column(at).cast(pa.binary()).to_pylist()]
+            columns = [*batch.columns, pa.array(prints, pa.int64())]
+            if row_key:
+                columns.append(pa.array(range(row, row + len(prints)), pa.int64()))
+                row += len(prints)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return rows.mapInArrow(add, schema)
+    return docs.select(*rest).mapInArrow(add, schema)
 
 
 def _syndromes() -> np.ndarray:
@@ -220,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left out.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked = materialise(add_fingerprints(rows, "text", "fp"), "fingerprints")
+    marked = materialise(add_fingerprints(rows, "text", "fp").drop("text"), "fingerprints")
     prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
     rooted = prints.join(reached, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -229,5 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(names, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest id (a null id
+    last), of rows that share it that with the smallest hash of the text, of equal
+    rows any one. All columns are kept."""
+    marked = materialise(add_fingerprints(docs, text_col, "__fp", row_key="__row"), "fingerprints")
+    first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
+    prints = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("least")), "distinct-fingerprints")
+    reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
+    chosen = prints.join(reached, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    chosen = materialise(chosen.select(F.col("least.row").alias("__row")), "chosen")
+    return marked.join(chosen, "__row", "left_semi").select(*docs.columns)
+
+
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
