@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orbweave.functions.vectors import doubles, l2sq
 from orbweave.operators.knn import as_matrix, assign_lists, kmeans, sample_matrix, squared_distances
@@ -137,7 +138,7 @@ def principal_axes(df: DataFrame, embedding: str = "embedding") -> tuple[np.ndar
 def project(df: DataFrame, mean: np.ndarray, axes: np.ndarray, embedding: str = "embedding") -> DataFrame:
     """``df`` with its vectors centred and projected on ``axes``."""
     at, rest = df.columns.index(embedding), [c for c in df.columns if c != embedding]
-    schema = df.select(*rest).schema.add(embedding, "array<double>")
+    schema = df.select(*rest).schema.add(embedding, T.ArrayType(T.DoubleType()))
 
     def turn(batches):
         import pyarrow as pa

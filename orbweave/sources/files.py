@@ -73,8 +73,9 @@ def last_match(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def with_masks(images: DataFrame, masks: DataFrame, key: str, priority: str, mask: str) -> DataFrame:
-    """Images with the mask of the lowest ``priority`` for their key; null where there is none."""
-    return images.join(masks.groupBy(key).agg(F.min_by(mask, priority).alias(mask)), key, "left")
+    """Images with the mask of the lowest ``priority`` (then the least mask) for their key; null where there is none."""
+    best = masks.groupBy(key).agg(F.min(F.struct(priority, mask)).alias("__best"))
+    return images.join(best, key, "left").withColumn(mask, F.col(f"__best.{mask}")).drop("__best")
 
 
 def write_csv(df: DataFrame, path: str, append: bool = False, single_file: bool = False) -> None:
