@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import chat_format, decontaminate, language_id, license_scan, lm_score, packing, quality_rules, secret_scan, simhash_dedup, toxicity
+from orbweave.llm import chat_format, decontaminate, language_id, license_scan, lm_score, oracles, packing, quality_rules, secret_scan, simhash_dedup, toxicity
 from orbweave.llm.common import read
 
 
@@ -101,4 +101,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_chat_format": oracles.chat_format_sql(),
+        "op7_quality_rules": oracles.quality_sql(),
+        "op8_secret_scan": oracles.secret_sql(),
+    }
