@@ -92,11 +92,12 @@ class Model:
         self.tables, self.weights = [], []
         for _, text in references:
             automaton = SuffixAutomaton(text)
-            table = np.full((len(automaton.next), self.symbols), -1, np.int32)
+            outside = len(automaton.next)  # the state in which the next symbol begins a phrase
+            table = np.full((outside + 1, self.symbols), -1, np.int32)
             for state, moves in enumerate(automaton.next):
                 for symbol, to in moves.items():
                     table[state, number[symbol]] = 2 * to
-            restart = np.where(table[0] < 0, 1, table[0] + 1)  # a new phrase, at the start if the symbol is unknown
+            restart = np.where(table[0] < 0, 2 * outside, table[0]) + 1  # a symbol that the reference lacks is a phrase of its own
             table = np.where(table < 0, restart, table).astype(np.int32)
             table[:, 0] = 2 * np.arange(len(table))
             self.tables.append(table.ravel())
@@ -123,8 +124,8 @@ class Model:
         lanes = np.ascontiguousarray(lanes.reshape(-1, WINDOW).T).astype(np.int32)
         out = np.zeros((len(texts), len(self.languages)))
         for k, table in enumerate(self.tables):
-            state = np.zeros(lanes.shape[1], np.int32)
-            count = np.ones(lanes.shape[1], np.int32)  # the first phrase
+            state = np.full(lanes.shape[1], len(table) // self.symbols - 1, np.int32)
+            count = np.zeros(lanes.shape[1], np.int32)
             for step in lanes:
                 move = table.take(state * self.symbols + step)
                 count += move & 1
