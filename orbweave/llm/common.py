@@ -2,53 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orbweave.sources.store import materialise, shared_dir
+
+__all__ = ["SPACES", "SPACE_CLASS", "fresh", "let", "materialise", "most_used", "read", "shared_dir", "small_batches", "words"]
+
 #: The characters that part words, as a regular expression class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Where the setting is missing a temporary folder is made, but only for a
-    ``local`` master: on a cluster a machine-local folder would lose rows.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        own = tempfile.TemporaryDirectory(prefix="orbweave-")
-        atexit.register(own.cleanup)
-        _OWN_DIRS[app] = "file://" + own.name
-    return _OWN_DIRS[app]
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks that it ran, not the
-    stages before the written table.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orbweave/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -66,5 +32,28 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+", -1))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def most_used(df: DataFrame, by: str, most: int) -> DataFrame:
+    """The rows with the highest ``by`` (positive), at most ``most`` of them.
+
+    A histogram with eight cells for each doubling gives the cut, so that tasks do
+    not each send their own ``most`` rows anywhere. Rows of a cell stay together.
+    """
+    cell = F.floor(F.log2(F.col(by)) * 8)
+    left, cut = most, None
+    for at, n in df.where(F.col(by) > 0).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).orderBy(F.desc("cell")).collect():  # some hundred rows
+        left -= n
+        if left < 0:
+            break
+        cut = at
+    return df.where((F.col(by) > 0) & (cell >= cut)) if cut is not None else df.limit(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import small_batches
+from orbweave.llm.common import fresh, small_batches
 
 GRAM = 3
 #: Of its n-grams an item keeps this share, the rarest, as seeds; LEAST_SEEDS at least.
@@ -188,7 +188,7 @@ def find_contamination(
                     columns = [names.take(pa.array(item, pa.int64())), pa.array(score, pa.float64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())]
                     yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns[: len(rest)]], *columns], names=schema.names)
 
-        found.append(docs.select(*rest, F.col(text_col).cast("binary").alias("__text")).mapInArrow(search, schema))
+        found.append(docs.select(*rest, F.col(text_col).cast("binary").alias(fresh(docs, "__text"))).mapInArrow(search, schema))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 

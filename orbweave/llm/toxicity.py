@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import small_batches
+from orbweave.llm.common import fresh, small_batches
 
 #: Bounds of the sample for fitting, in documents.
 POSITIVE, NEGATIVE = 1_500, 3_000
@@ -202,7 +202,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col: str = "text") -> Dat
     small_batches(docs.sparkSession)
     names = [f"p_{link.category}" for link in chain.links]
     rest = [c for c in docs.columns if c not in (text_col, "flagged", *names)]
-    rows = docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text"))
+    rows = docs.select(*rest, F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias(fresh(docs, "__text")))
     schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField(n, T.DoubleType()) for n in names] + [T.StructField("flagged", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
