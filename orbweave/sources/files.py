@@ -69,7 +69,7 @@ def with_fallback(first: DataFrame, second: DataFrame, keys: list[str]) -> DataF
 
 def last_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The last match of ``pattern`` in a text, null if there is none."""
-    return F.element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), -1)
+    return F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.lit(-1))
 
 
 def with_masks(images: DataFrame, masks: DataFrame, key: str, priority: str, mask: str) -> DataFrame:
