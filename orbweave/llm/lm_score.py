@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import materialise, small_batches
+from orbweave.llm.common import materialise, most_used, small_batches
 
 ORDER = 5
 #: Words, and pairs of context and symbol, that are broadcast.
@@ -179,8 +179,8 @@ def pair_scores(direct: DataFrame, pairs: list[DataFrame], nodes: list[DataFrame
 def word_scores(words: DataFrame, scores: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
     """``word``, ``c`` and ``lp``: the word's log10 probability, its space included."""
     spark = words.sparkSession
-    top = scores.orderBy(F.desc("uses"), "pair").limit(hot).select("pair", "lp").collect()  # bounded by ``hot``
-    shared = spark.sparkContext.broadcast({bytes(p): lp for p, lp in top})
+    top = most_used(scores, "uses", hot).select("pair", "lp").toArrow()  # at most ``hot`` rows
+    shared = spark.sparkContext.broadcast(dict(zip(top["pair"].to_pylist(), top["lp"].to_pylist(), strict=True)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -221,8 +221,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     direct = materialise(count_pairs(words, order), "pairs")
     scores = materialise(pair_scores(direct, *build_trie(direct, order)), "pair-scores")
     table = materialise(word_scores(words, scores, order, hot), "word-scores")
-    top = table.orderBy(F.desc("c"), "word").limit(hot).collect()  # bounded by ``hot``
-    shared = spark.sparkContext.broadcast({bytes(w): (c, lp) for w, c, lp in top})
+    top = most_used(table, "c", hot).select("word", "c", "lp").toArrow()  # at most ``hot`` rows
+    shared = spark.sparkContext.broadcast([top[k].to_pylist() for k in ("word", "c", "lp")])
     whole = train_tokens + 0.5 * (distinct + 1)
     schema = T.StructType(
         [T.StructField("key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("word", T.BinaryType())]
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (c, math.log10((c + 0.5) / whole), lp) for w, (c, lp) in shared.value.items()}
+        known = {w: (c, math.log10((c + 0.5) / whole), lp) for w, c, lp in zip(*shared.value, strict=True)}
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             owner: list[int] = []

@@ -30,6 +30,9 @@ POSITIVE, NEGATIVE = 1_500, 3_000
 FOLDS = 3
 #: Features that a model may use; a feature is in at least LEAST_DOCUMENTS of the sample.
 FEATURES, LEAST_DOCUMENTS = 600, 3
+#: Log-likelihood ratio that a feature needs: a base far above chance, and a part that grows with the
+#: sample, lest many weak features add up in long texts.
+LEAST_RATIO = (8.0, 0.005)
 #: Besides whole words, their beginnings of these lengths are features.
 BEGINNINGS = (4, 5)
 PENALTY, STEPS = 1e-3, 200
@@ -68,7 +71,8 @@ def choose_features(texts: list[set[bytes]], label: np.ndarray) -> list[bytes]:
     share = np.clip((a + b) / (n1 + n0), 1e-9, 1 - 1e-9)
     ratio = gain(a, n1, share) + gain(b, n0, share)
     order = np.argsort(-ratio, kind="stable")[:FEATURES]
-    return [names[k] for k in order if ratio[k] > 8]  # far above chance for one feature
+    least = LEAST_RATIO[0] + LEAST_RATIO[1] * len(label)
+    return [names[k] for k in order if ratio[k] > least]
 
 
 def matrix(texts: list[set[bytes]], names: list[bytes]) -> np.ndarray:
