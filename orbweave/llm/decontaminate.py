@@ -34,14 +34,14 @@ LEAST_SCORE = 0.6
 BLOCK_CHARS = 16_000_000
 
 
-def split_words(text: bytes) -> list[bytes]:
-    """Lower-case words without the punctuation at their ends."""
-    return [w for x in text.lower().split() if (w := x.strip(b".,;:!?\"'()[]"))]
+def split_words(text: bytes) -> list[str]:
+    """Lower-case words (of all scripts) without the punctuation at their ends."""
+    return [w for x in text.decode("utf-8", "replace").lower().split() if (w := x.strip(".,;:!?\"'()[]"))]
 
 
-def grams_of(words: list[bytes], n: int = GRAM) -> list[bytes]:
+def grams_of(words: list[str], n: int = GRAM) -> list[str]:
     """The n-grams of consecutive words; all words at once if they are fewer."""
-    return list(map(b" ".join, zip(*(words[k:] for k in range(n)), strict=False))) if len(words) >= n else [b" ".join(words)] * bool(words)
+    return list(map(" ".join, zip(*(words[k:] for k in range(n)), strict=False))) if len(words) >= n else [" ".join(words)] * bool(words)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -67,9 +67,9 @@ class Items:
     """A block of items, ready for look-up: words as numbers, n-grams with their places."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
-        self.vocabulary: dict[bytes, int] = {}
+        self.vocabulary: dict[str, int] = {}
         self.items = []
-        self.places: dict[bytes, list[tuple[int, int]]] = {}
+        self.places: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(rows):
             words = split_words(text)
             self.items.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int32))
@@ -79,31 +79,31 @@ class Items:
         self.bags = [Counter(x.tolist()) for x in self.items]
 
 
-def _hits(words: list[bytes], places: dict[bytes, list[tuple[int, int]]]) -> Iterator[tuple[bytes, int]]:
+def _hits(words: list[str], places: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, int]]:
     for at, gram in enumerate(grams_of(words)):
         if gram in places:
             yield gram, at
 
 
-def count_grams(docs: DataFrame, items: Items, text_col: str) -> dict[bytes, int]:
+def count_grams(docs: DataFrame, items: Items, text_col: str) -> dict[str, int]:
     """In how many documents each of the block's n-grams is found."""
     shared = docs.sparkSession.sparkContext.broadcast(items.places)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total.update({gram for gram, _ in _hits(split_words(text), shared.value)})
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
-    counted = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "gram binary, n long")
-    return {bytes(g): n for g, n in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row per n-gram of the block
+    counted = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "gram string, n long")
+    return {g: n for g, n in counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()}  # a row per n-gram of the block
 
 
-def choose_seeds(items: Items, found: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
+def choose_seeds(items: Items, found: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
     """The places of each item's rarest n-grams; ties by text."""
-    seeds: dict[bytes, list[tuple[int, int]]] = {}
-    own: dict[int, list[tuple[int, bytes, int]]] = {}
+    seeds: dict[str, list[tuple[int, int]]] = {}
+    own: dict[int, list[tuple[int, str, int]]] = {}
     for gram, places in items.places.items():
         for k, at in places:
             own.setdefault(k, []).append((found.get(gram, 0), gram, at))
@@ -113,7 +113,7 @@ def choose_seeds(items: Items, found: dict[bytes, int]) -> dict[bytes, list[tupl
     return seeds
 
 
-def align_document(words: list[bytes], items: Items, seeds: dict[bytes, list[tuple[int, int]]], least: float) -> list[tuple[int, float, int, int]]:
+def align_document(words: list[str], items: Items, seeds: dict[str, list[tuple[int, int]]], least: float) -> list[tuple[int, float, int, int]]:
     """For each item that a document holds: its number, score, and the passage's words (start, end)."""
     wanted: dict[int, list[int]] = {}
     for gram, at in _hits(words, seeds):
@@ -223,8 +223,8 @@ def decontaminate(
 
         def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-                yield batch.filter(pa.array([not t or not align_document(split_words(t.encode()), *shared.value, least) for t in texts], pa.bool_()))
+                texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.binary()).to_pylist()
+                yield batch.filter(pa.array([not t or not align_document(split_words(t), *shared.value, least) for t in texts], pa.bool_()))
 
         kept = kept.mapInArrow(clean, docs.schema)
     return kept

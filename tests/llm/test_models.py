@@ -307,6 +307,14 @@ def test_copies_and_edited_copies_are_found(spark):
     assert same(found.select("doc_id", "item_id"), decontaminate.find_contamination(with_clashes(df), table).select("doc_id", "item_id"))
 
 
+def test_upper_case_copies_with_accents_are_found(spark):
+    item = "éal ñandú über straße cœur garçon élève théâtre año señor größer naïf forêt île où là"
+    rows = [(1, f"before it {item.upper().replace('STRASSE', 'STRAßE')} and after"), (2, item), (3, "quite another text " * 9)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_contamination(docs, table).collect()) == [1, 2]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, table).collect()] == [3]
+
+
 def brute_align(a, b):
     best, row = 0.0, [0.0] * (len(b) + 1)
     for x in a:
