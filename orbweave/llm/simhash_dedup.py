@@ -243,14 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that with the smallest id (a null id
     last), of rows that share it that with the smallest hash of the text, of equal
-    rows any one. All columns are kept."""
+    rows any one. All columns are kept.
+
+    The rows meet the chosen keys in one hash join by shuffle, at every size: the keys
+    grow with the input, so they are not broadcast, and texts need no sorting.
+    """
     marked = materialise(add_fingerprints(docs, text_col, "__fp", row_key="__row"), "fingerprints")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
     prints = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("least")), "distinct-fingerprints")
     reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
     chosen = prints.join(reached, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     chosen = materialise(chosen.select(F.col("least.row").alias("__row")), "chosen")
-    return marked.join(chosen, "__row", "left_semi").select(*docs.columns)
+    return marked.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
