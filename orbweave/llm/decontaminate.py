@@ -1,8 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 1. Word n-grams of the benchmark items are counted in the documents that hold them.
-2. The rarest n-grams of each item become its seeds. Rarity is relative to the
-   item, so an item that leaked into very many documents keeps its seeds.
+2. Of an item's n-grams that are found at all, the rarest become its seeds. Rarity is
+   relative to the item, so an item that leaked into very many documents keeps its
+   seeds; n-grams that no document holds take no seed's place.
 3. Where a document holds a seed, the item is aligned (Smith-Waterman, words as
    symbols) with the passage around it; the score is the share of the best
    possible one. Copies with words replaced, left out or put in keep a high score.
@@ -26,12 +27,13 @@ from pyspark.sql import types as T
 from orbweave.llm.common import fresh, small_batches
 
 GRAM = 3
-#: Of its n-grams an item keeps this share, the rarest, as seeds; LEAST_SEEDS at least.
-SEED_SHARE = 0.6
+#: Of its n-grams that are found an item keeps this share, the rarest, as seeds; LEAST_SEEDS at least.
+#: An edited copy is passed over only if all it shares with the item is among the commonest fifth.
+SEED_SHARE = 0.8
 LEAST_SEEDS = 8
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.6
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def split_words(text: bytes) -> list[str]:
@@ -101,12 +103,13 @@ def count_grams(docs: DataFrame, items: Items, text_col: str) -> dict[str, int]:
 
 
 def choose_seeds(items: Items, found: dict[str, int]) -> dict[str, list[tuple[int, int]]]:
-    """The places of each item's rarest n-grams; ties by text."""
+    """The places of each item's rarest n-grams of those ``found`` counts; ties by text."""
     seeds: dict[str, list[tuple[int, int]]] = {}
     own: dict[int, list[tuple[int, str, int]]] = {}
     for gram, places in items.places.items():
-        for k, at in places:
-            own.setdefault(k, []).append((found.get(gram, 0), gram, at))
+        if gram in found:
+            for k, at in places:
+                own.setdefault(k, []).append((found[gram], gram, at))
     for k, grams in own.items():
         for _, gram, at in sorted(grams)[: max(LEAST_SEEDS, round(SEED_SHARE * len(grams)))]:
             seeds.setdefault(gram, []).append((k, at))

@@ -307,6 +307,16 @@ def test_copies_and_edited_copies_are_found(spark):
     assert same(found.select("doc_id", "item_id"), decontaminate.find_contamination(with_clashes(df), table).select("doc_id", "item_id"))
 
 
+@pytest.mark.parametrize("with_exact", [False, True])
+def test_an_edited_copy_is_found_whatever_else_leaked(spark, with_exact):
+    words = [f"word{k}" for k in range(40)]
+    cut = " ".join("other" if k % 4 == 0 else w for k, w in enumerate(words))
+    rows = [(1, f"before it {cut} after it"), (2, "nothing of this kind at all " * 9)] + [(k, " ".join(words)) for k in (3, 4) if with_exact]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_contamination(docs, table).collect()) == [1, *[k for k in (3, 4) if with_exact]]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, table).collect()] == [2]
+
+
 def test_upper_case_copies_with_accents_are_found(spark):
     item = "éal ñandú über straße cœur garçon élève théâtre año señor größer naïf forêt île où là"
     rows = [(1, f"before it {item.upper().replace('STRASSE', 'STRAßE')} and after"), (2, item), (3, "quite another text " * 9)]
