@@ -197,7 +197,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return docs.withColumn(out, F.flatten(F.array(*[rule_spans(text, r) for r in full])))
     found = materialise(candidates(postings(docs, id_col, text_col, trigrams), rules, trigrams), "secret-candidates")
     found = found.select(F.col("doc").alias("__secret_doc"), F.col("kinds").alias("__secret_kinds"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found["__secret_doc"]), "left")
+    # the candidates grow with the input: one hash join by shuffle at every size, so that no text is sorted
+    joined = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["__secret_doc"]), "left")
     none = F.array().cast(SPAN)
     kinds = F.coalesce(F.col("__secret_kinds"), F.array().cast("array<string>"))
     each = [rule_spans(text, r) for r in full] + [
