@@ -149,3 +149,52 @@ def pro_auc(curve: DataFrame, cap: float = 0.3) -> DataFrame:
     """Area under the overlap curve up to a false positive rate of ``cap``, scaled to 0..1."""
     points = curve.where(F.col("fpr") <= cap).withColumn("x", F.col("fpr") / cap)
     return trapezoid(points, "x", "pro", ("category",), "pro_auc")
+
+
+def pool_matrix(n: int, size: int) -> np.ndarray:
+    """Weights of adaptive average pooling from n to ``size`` bins, which may overlap by a cell."""
+    out = np.zeros((size, n))
+    for k in range(size):
+        first, last = k * n // size, -(-(k + 1) * n // size)
+        out[k, first:last] = 1 / (last - first)
+    return out
+
+
+def adaptive_pool(values: Column, side: int, size: int) -> Column:
+    return _separable(pool_matrix(side, size), side)(values)
+
+
+def square_pad(values: Column, height: int, width: int, fill: float = 0.0) -> Column:
+    """A grid centred in a square of its longer side; of an odd margin the larger part comes last."""
+    side = max(height, width)
+    top, left = (side - height) // 2, (side - width) // 2
+
+    def cell(k: Column) -> Column:
+        row, col = F.floor(k / side) - top, k % side - left
+        inside = (row >= 0) & (row < height) & (col >= 0) & (col < width)
+        return F.when(inside, F.get(values, (row * width + col).cast("int"))).otherwise(F.lit(fill))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), cell)
+
+
+def high_frequency_energy(values: Column, side: int, radius: float) -> Column:
+    """Sum of the magnitudes of a grid's Fourier coefficients further than ``radius`` from frequency zero."""
+    at = np.fft.fftfreq(side, 1 / side)
+    outside = np.hypot(*np.meshgrid(at, at)) > radius
+
+    @pandas_udf("double")
+    def energy(grids: pd.Series) -> pd.Series:
+        stacked = np.stack(grids.to_numpy()).astype(float).reshape(-1, side, side)
+        return pd.Series((np.abs(np.fft.fft2(stacked)) * outside).sum((1, 2)))
+
+    return energy(values)
+
+
+def region_boxes(df: DataFrame, region: str, side: int, keys: list[str], least_area: int = 1) -> DataFrame:
+    """Area and bounding box of each region of at least ``least_area`` cells; ``region`` holds region numbers."""
+    cells = df.select(*keys, F.posexplode(region).alias("p", "region")).where("region > 0")
+    row, col = F.floor(F.col("p") / side).cast("int"), F.col("p") % side
+    boxes = cells.groupBy(*keys, "region").agg(
+        F.count("*").alias("area"), F.min(row).alias("top"), F.min(col).alias("left"), F.max(row).alias("bottom"), F.max(col).alias("right")
+    )
+    return boxes.where(F.col("area") >= least_area)

@@ -77,6 +77,19 @@ def overlap(df: DataFrame, predicted: Column, truth: Column, groups: tuple[str,
     )
 
 
+def confusion(df: DataFrame, score: str, label: str, threshold: Column, groups: tuple[str, ...] = ()) -> DataFrame:
+    """Counts of the four outcomes with accuracy, precision, recall and F1 (null where nothing divides them)."""
+    above, bad = F.col(score) > threshold, F.col(label) == 1
+    counted = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*groups).agg(
+        F.count_if(above & bad).alias("tp"), F.count_if(above & ~bad).alias("fp"), F.count_if(~above & bad).alias("fn"), F.count_if(~above & ~bad).alias("tn")
+    )
+    ratio = lambda a, b: a / F.nullif(b, F.lit(0))
+    tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+    return counted.select(
+        "*", ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")
+    )
+
+
 def tpr_at_fpr(df: DataFrame, score: str, label: str, group: str, tie: str, cap: float = 0.3) -> DataFrame:
     """Per group: share of positives met, by falling score, before the FPR exceeds ``cap``."""
     order = Window.partitionBy(group).orderBy(F.desc(score), tie)

@@ -53,6 +53,27 @@ def binarise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grids(spark, sf_dir).select("vec_id", F.size(F.filter("values", lambda x: x > 0.1)).cast("long").alias("n_on"))
 
 
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings)
+    SELECT vec_id, (p // 8 // 2 * 4 + p % 8 // 2)::INTEGER AS q, round(avg(x), 6) AS x FROM x GROUP BY 1, 2""")
+def grid_adaptive_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pooled = _grids(spark, sf_dir).select("vec_id", F.posexplode(grids.adaptive_pool(F.col("values"), SIDE, 4)).alias("q", "x"))
+    return pooled.withColumn("x", F.round("x", 6))
+
+
+@query("""SELECT vec_id, p::INTEGER AS p, CASE WHEN p // 8 BETWEEN 2 AND 5 THEN embedding[p - 16 + 1]::DOUBLE ELSE 0 END AS x FROM embeddings, range(0, 64) r(p)""")
+def grid_square_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four rows of each grid as a grid of 4 x 8, padded."""
+    half = _grids(spark, sf_dir).withColumn("half", F.slice("values", 1, 32))
+    return half.select("vec_id", F.posexplode(grids.square_pad(F.col("half"), 4, SIDE)).alias("p", "x"))
+
+
+@query("""WITH x AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings),
+    f AS (SELECT vec_id, u, v, sum(x * cos(2 * pi() * (u * (p // 8) + v * (p % 8)) / 8)) AS re, sum(x * sin(2 * pi() * (u * (p // 8) + v * (p % 8)) / 8)) AS im
+    FROM x, range(-4, 4) a(u), range(-4, 4) b(v) WHERE sqrt(u * u + v * v) > 3 GROUP BY ALL) SELECT vec_id, round(sum(sqrt(re * re + im * im)), 6) AS energy FROM f GROUP BY 1""")
+def high_frequency_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grids(spark, sf_dir).select("vec_id", F.round(grids.high_frequency_energy(F.col("values"), SIDE, 3), 6).alias("energy"))
+
+
 @query()
 def grid_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = _grids(spark, sf_dir).withColumn("values", grids.upsample(F.col("values"), SIDE, 32))
@@ -75,6 +96,12 @@ def connected_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _regions(spark, sf_dir).select("vec_id", F.array_max("region").alias("n_regions"))
 
 
+@query()
+def region_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the regions of three cells or more."""
+    return grids.region_boxes(_regions(spark, sf_dir), "region", SIDE, ["vec_id"], 3)
+
+
 def _marked_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels with a score (the mirrored grid, scaled to 0..1) and the region they lie in."""
     r = _regions(spark, sf_dir).withColumn("scores", grids.rotate(F.col("values"), SIDE, 0, 1))

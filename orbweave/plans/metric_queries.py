@@ -61,6 +61,15 @@ def iou_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.round("iou", 6).alias("iou"), F.round("dice", 6).alias("dice"))
 
 
+@query(f"""WITH j AS ({JOINED}), c AS (SELECT source, count(*) FILTER (n_chars > 1500 AND quality = 1) AS tp, count(*) FILTER (n_chars > 1500 AND quality = 0) AS fp,
+    count(*) FILTER (n_chars <= 1500 AND quality = 1) AS fn, count(*) FILTER (n_chars <= 1500 AND quality = 0) AS tn FROM j GROUP BY 1)
+    SELECT *, round((tp + tn) / nullif(tp + fp + fn + tn, 0), 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision,
+    round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM c""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.confusion(labelled(spark, sf_dir), "n_chars", "quality", F.lit(1500), ("source",))
+    return out.select("source", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
 @query(f"""WITH j AS ({JOINED}), t AS (SELECT quantile_cont(n_chars, 0.95) AS tau FROM j WHERE quality = 0)
     SELECT round(avg((n_chars > tau)::INTEGER) FILTER (quality = 0), 6) AS fpr, round(avg((n_chars <= tau)::INTEGER) FILTER (quality = 1), 6) AS fnr, count(*) AS n FROM j, t""")
 def fpr_fnr_at_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
