@@ -1,5 +1,6 @@
 """Operators against NumPy, by hand-made cases and by properties."""
 
+import math
 import random
 
 import numpy as np
@@ -299,3 +300,28 @@ def test_report_of_single_rows(spark):
     df = spark.createDataFrame([("a", 1.0)], "g string, v double")
     t = reports.formatted(reports.mean_sd_table(df, "g", ["v"], overall="ALL"), "g", ["v"])
     assert reports.markdown(t, "g").splitlines()[2:] == ["| ALL | 1.0000 ± 0.0000 |", "| a | 1.0000 ± 0.0000 |"]
+
+
+def test_pooling_padding_energy_and_boxes(spark):
+    df = spark.createDataFrame([(1, [float(k) for k in range(25)])], "id long, v array<double>")
+    pooled = df.select(grids.adaptive_pool(F.col("v"), 5, 2)).first()[0]
+    g = np.arange(25.0).reshape(5, 5)
+    assert np.allclose(pooled, [g[:3, :3].mean(), g[:3, 2:].mean(), g[2:, :3].mean(), g[2:, 2:].mean()])
+    wide = df.select(F.slice("v", 1, 6).alias("v")).select(grids.square_pad(F.col("v"), 2, 3, -1.0)).first()[0]
+    assert wide == [0, 1, 2, 3, 4, 5, -1, -1, -1]
+    tall = df.select(F.slice("v", 1, 3).alias("v")).select(grids.square_pad(F.col("v"), 3, 1)).first()[0]
+    assert tall == [0, 0, 0, 0, 1, 0, 0, 2, 0]
+    flat = spark.createDataFrame([(1, [2.0] * 16)], "id long, v array<double>")
+    assert flat.select(grids.high_frequency_energy(F.col("v"), 4, 0.5)).first()[0] < 1e-9
+    assert math.isclose(flat.select(grids.high_frequency_energy(F.col("v"), 4, -1)).first()[0], 32)
+    marked = spark.createDataFrame([(1, [1, 1, 0, 0, 0, 0, 2, 0, 0]), (2, [0] * 9)], "id long, region array<int>")
+    assert [tuple(r) for r in grids.region_boxes(marked, "region", 3, ["id"]).orderBy("region").collect()] == [(1, 1, 2, 0, 0, 0, 1), (1, 2, 1, 2, 0, 2, 0)]
+    assert grids.region_boxes(marked, "region", 3, ["id"], 2).count() == 1
+
+
+def test_confusion_counts(spark):
+    df = spark.createDataFrame([(2.0, 1), (2.0, 0), (1.0, 1), (0.5, 0), (None, 1), (2.0, None)], "s double, y int")
+    r = metrics.confusion(df, "s", "y", F.lit(1.0)).first()
+    assert (r.tp, r.fp, r.fn, r.tn, r.accuracy, r.precision, r.recall, r.f1) == (1, 1, 1, 1, 0.5, 0.5, 0.5, 0.5)
+    none = metrics.confusion(df.limit(0), "s", "y", F.lit(1.0)).first()
+    assert (none.tp, none.accuracy) == (0, None)
