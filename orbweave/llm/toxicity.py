@@ -188,11 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
     ids = sample_ids(labels, id_col, categories)
     # at most POSITIVE + NEGATIVE ids, so the broadcast is bounded
     rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__text")).join(F.broadcast(ids), "__id")
-    gathered = rows.select(F.xxhash64("__id").alias("h"), "__id", *categories, "__text").dropDuplicates(["__id"]).collect()
+    # of rows that share an id the one with the least hash; the driver gets distinct features, not texts
+    one = rows.groupBy("__id", *categories).agg(F.min_by("__text", F.xxhash64("__text")).alias("__text"))
+    listed = T.StructType([*one.schema.fields[:-1], T.StructField("features", T.ArrayType(T.BinaryType()))])
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            features = [sorted(features_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(features, pa.list_(pa.binary()))], names=listed.names)
+
+    gathered = one.mapInArrow(extract, listed).select(F.xxhash64("__id").alias("h"), "*").collect()
     gathered.sort(key=lambda r: (r["h"], str(r["__id"])))
     if not gathered:
         return Chain(tuple(Link(c, {}, (0.0,) * j, 0.0) for j, c in enumerate(categories)), 1.0)
-    texts = [features_of(bytes(r["__text"])) for r in gathered]
+    texts = [set(map(bytes, r["features"])) for r in gathered]
     y = np.array([[r[c] for c in categories] for r in gathered], int)
     return fit_chain(texts, y, categories, np.arange(len(texts)) % FOLDS)
 
