@@ -197,12 +197,16 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], id_col: str
             features = [sorted(features_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(features, pa.list_(pa.binary()))], names=listed.names)
 
-    gathered = one.mapInArrow(extract, listed).select(F.xxhash64("__id").alias("h"), "*").collect()
-    gathered.sort(key=lambda r: (r["h"], str(r["__id"])))
-    if not gathered:
+    gathered = one.mapInArrow(extract, listed).select(F.xxhash64("__id").alias("h"), "*").toArrow().combine_chunks()
+    if not len(gathered):
         return Chain(tuple(Link(c, {}, (0.0,) * j, 0.0) for j, c in enumerate(categories)), 1.0)
-    texts = [set(map(bytes, r["features"])) for r in gathered]
-    y = np.array([[r[c] for c in categories] for r in gathered], int)
+    h, names = gathered["h"].to_pylist(), list(map(str, gathered["__id"].to_pylist()))
+    order = sorted(range(len(h)), key=lambda k: (h[k], names[k]))
+    held = pa.concat_arrays(gathered["features"].chunks)
+    coded = held.flatten().dictionary_encode()
+    known, number, ends = coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.cumsum(held.value_lengths().to_numpy())
+    texts = [{known[i] for i in number[(ends[k - 1] if k else 0) : ends[k]].tolist()} for k in order]  # texts share their features' bytes
+    y = np.stack([gathered[c].to_numpy()[order] for c in categories], 1).astype(int)
     return fit_chain(texts, y, categories, np.arange(len(texts)) % FOLDS)
 
 
