@@ -2,7 +2,7 @@
 
 Exact search sends the queries, in blocks of a bounded size, to the base vectors;
 each task keeps the best of its rows for each query, and the best of those are
-merged. Inverted lists turn the search into an equi-join on the list.
+merged. With inverted lists a block is compared only with the lists that it probes.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Queries that are sent to the executors at once.
 BLOCK = 4_096
 #: Partial results of a query are merged in so many groups first.
 FAN = 64
+#: Recall that inverted lists must reach on at most so many sampled queries.
+RECALL = 0.95
+TRIALS = 256
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -53,8 +56,13 @@ def exact_knn(
         rows = own.toArrow()  # about ``block`` rows
         if len(rows):
             parts.append(_block_knn(rows, b, k, bool(group), exclude))
+    return _merged(parts, k, q.sparkSession)
+
+
+def _merged(parts: list[DataFrame], k: int, spark: SparkSession) -> DataFrame:
+    """The best ``k`` of the tasks' results for each query."""
     empty = "query_id long, neighbour_id long, d2 double, part int"
-    found = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], empty)
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], empty)
     best = lambda df, *keys: df.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "neighbour_id"))), 1, k).alias("best"))
     some = best(found.withColumn("fan", F.col("part") % FAN), "fan").select("query_id", F.inline("best"))
     return best(some).select("query_id", F.posexplode("best").alias("pos", "b")).select(
@@ -137,26 +145,122 @@ def assign_lists(df: DataFrame, centres: np.ndarray, n_lists: int = 1, embedding
     return df.where(F.col(embedding).isNotNull()).mapInArrow(assign, schema)
 
 
-def _top(pairs: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy("d2", "neighbour_id")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "d2")
+def coded_rows(x: np.ndarray, own: np.ndarray, centres: np.ndarray, quantiser: ProductQuantiser | None) -> np.ndarray:
+    """The rows as the codes of their residuals to their lists' centroids give them; ``x`` without a quantiser."""
+    return x if quantiser is None else centres[own] + quantiser.decode(quantiser.encode(x - centres[own]))
+
 
+def _within(ranks: np.ndarray, share: float) -> int:
+    """The least rank that at least ``share`` of the ranks do not exceed."""
+    return int(np.sort(ranks)[int(np.ceil(share * len(ranks))) - 1])
 
-def ivf_knn(queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, salts: int = 8, seed: int = 42) -> DataFrame:
-    """Neighbours within the ``n_probe`` lists nearest to each query.
 
-    Lists are salted: base rows are dealt to ``salts`` parts of their list and queries
-    go to all of them, so that a list with many rows is searched by many tasks. With
-    ``n_probe`` = ``n_lists`` the result is that of the exact search.
+def search_effort(
+    queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, n_probe: int, quantiser: ProductQuantiser | None = None, recall: float = RECALL, id_col: str = "vec_id", embedding: str = "embedding"
+) -> tuple[int, int]:
+    """The lists (``n_probe`` at least) and the candidates (``k`` at least) a query needs for ``recall``.
+
+    The true neighbours of at most ``TRIALS`` queries show it: the place of a neighbour's
+    list among those nearest to the query, and its place among all rows by the distance
+    to the codes. With a quantiser both may miss, so each may miss half as much.
     """
-    from orbweave.functions.vectors import l2sq
+    share, n_probe = (recall if quantiser is None else (1 + recall) / 2), min(n_probe, len(centres))
+    few = queries.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
+    rows = few.orderBy(F.xxhash64("id"), "id").limit(TRIALS).toArrow()
+    if not len(rows) or (quantiser is None and n_probe == len(centres)):
+        return n_probe, k
+    spark = queries.sparkSession
+    b = base.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
+    near = exact_knn(spark.createDataFrame(rows), b, k, "id", "v").select("query_id", F.col("neighbour_id").alias("id"))
+    met = b.join(F.broadcast(near), "id").select("query_id", "id", "v").toArrow()  # about TRIALS * k rows
+    if not len(met):
+        return n_probe, k
+    place = {i: n for n, i in enumerate(rows["id"].to_pylist())}
+    q, at, ids, x = as_matrix(rows["v"]), np.array([place[i] for i in met["query_id"].to_pylist()]), met["id"].to_numpy(), as_matrix(met["v"])
+    own = squared_distances(x, centres).argmin(1)
+    nearest = squared_distances(q, centres).argsort(1, kind="stable")
+    n_lists = max(n_probe, _within(nearest.argsort(1)[at, own] + 1, share))
+    if quantiser is None:
+        return n_lists, k
+    far = ((q[at] - coded_rows(x, own, centres, quantiser)) ** 2).sum(1)
+    shared = spark.sparkContext.broadcast((q, at, ids, far, centres, quantiser))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, at, ids, far, centres, quantiser = shared.value
+        before = np.zeros(len(at), np.int64)
+        for batch in batches:
+            if len(batch):
+                x, mine = as_matrix(batch.column(1)), batch.column(0).to_numpy()
+                d = squared_distances(q, coded_rows(x, squared_distances(x, centres).argmin(1), centres, quantiser))
+                for n, row in enumerate(at):
+                    before[n] += ((d[row] < far[n] - 1e-9) | ((d[row] <= far[n] + 1e-9) & (mine <= ids[n]))).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(before)], names=["n", "before"])
+
+    ranks = b.mapInArrow(count, "n long, before long").groupBy("n").agg(F.sum("before").alias("rank")).toArrow()["rank"].to_numpy()
+    return n_lists, max(k, _within(ranks, share))
+
 
+def _list_search(queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, n_lists: int, width: int, quantiser: ProductQuantiser | None, id_col: str, embedding: str, block: int = BLOCK) -> DataFrame:
+    """The best ``k`` of the rows in the ``n_lists`` lists nearest to each query.
+
+    Queries go to the base rows in blocks. A task keeps the ``width`` best rows of each
+    query by the distance to their codes and hands on the ``k`` of them that are nearest
+    by their vectors. Lists that no query of a block probes are not compared.
+    """
+    side = lambda df: df.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
+    q, b = side(queries), side(base)
+    n_blocks = max(1, -(-q.count() // block))
+
+    def searched(rows: pa.Table) -> DataFrame:
+        vectors = as_matrix(rows["v"])
+        probed = np.zeros((len(rows), len(centres)), bool)
+        np.put_along_axis(probed, squared_distances(vectors, centres).argsort(1, kind="stable")[:, :n_lists], True, 1)
+        shared = b.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), vectors, probed, centres, quantiser))
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vectors, probed, centres, quantiser = shared.value
+            coded_d, exact_d = np.full((len(ids), width), np.inf), np.full((len(ids), width), np.inf)
+            best_i = np.full((len(ids), width), -1, np.int64)
+            for batch in batches:
+                if not len(batch):
+                    continue
+                mine, x = batch.column(0).to_numpy(), as_matrix(batch.column(1))
+                own = squared_distances(x, centres).argmin(1)
+                coded = coded_rows(x, own, centres, quantiser)
+                for one in np.unique(own):
+                    there, asking = np.flatnonzero(own == one), np.flatnonzero(probed[:, one])
+                    for some in np.array_split(asking, -(-len(asking) // 256)) if len(asking) else []:
+                        d = np.round(squared_distances(vectors[some], coded[there]), 9)
+                        all_d = np.hstack([coded_d[some], d])
+                        all_i = np.hstack([best_i[some], np.broadcast_to(mine[there], d.shape)])
+                        order = np.lexsort((all_i, all_d), axis=1)[:, :width]
+                        coded_d[some], best_i[some] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                        kept = np.take_along_axis(exact_d[some], np.minimum(order, width - 1), 1)
+                        r, c = np.nonzero(order >= width)
+                        kept[r, c] = d[r, order[r, c] - width] if quantiser is None else ((vectors[some[r]] - x[there[order[r, c] - width]]) ** 2).sum(1)
+                        exact_d[some] = kept
+            order = np.lexsort((best_i, np.round(exact_d, 9)), axis=1)[:, :k]
+            best_d, best_i = np.take_along_axis(exact_d, order, 1), np.take_along_axis(best_i, order, 1)
+            there = np.isfinite(best_d)
+            part = np.full(int(there.sum()), TaskContext.get().partitionId(), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_i[there]), pa.array(np.round(best_d[there], 9)), pa.array(part)], names=["query_id", "neighbour_id", "d2", "part"])
+
+        return b.mapInArrow(search, "query_id long, neighbour_id long, d2 double, part int")
+
+    blocks = (q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == at) for at in range(n_blocks))
+    return _merged([searched(rows) for own in blocks if len(rows := own.toArrow())], k, q.sparkSession)
+
+
+def ivf_knn(
+    queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42, recall: float = RECALL
+) -> DataFrame:
+    """Neighbours within the lists nearest to each query: ``n_probe``, or more where ``recall`` needs them.
+
+    With ``n_probe`` = ``n_lists`` the result is that of the exact search.
+    """
     centres = kmeans(sample_matrix(base, embedding, train_rows, seed), n_lists, seed=seed)
-    side = lambda df, name, n: assign_lists(df.select(F.col(id_col).alias(name), F.col(embedding).alias("embedding")), centres, n)
-    q = side(queries, "query_id", n_probe).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).withColumnRenamed("embedding", "qv")
-    b = side(base, "neighbour_id", 1).withColumn("salt", F.pmod(F.xxhash64("neighbour_id"), F.lit(salts)).cast("int"))
-    pairs = q.join(b, ["list_id", "salt"]).select("query_id", "neighbour_id", l2sq(F.col("qv"), F.col("embedding")).alias("d2"))
-    return _top(pairs, k)
+    probed, _ = search_effort(queries, base, k, centres, n_probe, None, recall, id_col, embedding)
+    return _list_search(queries, base, k, centres, probed, k, None, id_col, embedding)
 
 
 class ProductQuantiser:
@@ -194,9 +298,15 @@ def reconstruct(df: DataFrame, quantiser: ProductQuantiser, id_col: str = "vec_i
     return rows.mapInArrow(code, f"{id_col} {df.schema[id_col].dataType.simpleString()}, codes array<int>, decoded array<double>, error2 double")
 
 
-def ivfpq_knn(queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, m: int = 16, bits: int = 6, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42) -> DataFrame:
-    """IVF search against base vectors as their codes reconstruct them (asymmetric distance)."""
-    quantiser = ProductQuantiser(sample_matrix(base, embedding, train_rows, seed), m, bits, seed)
-    coded = reconstruct(base, quantiser, id_col, embedding).select(id_col, F.col("decoded").alias(embedding))
-    q = queries.select(id_col, F.col(embedding).cast("array<double>").alias(embedding))
-    return ivf_knn(q, coded, k, n_lists, n_probe, id_col, embedding, train_rows, seed=seed)
+def ivfpq_knn(
+    queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, m: int = 16, bits: int = 6, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42, recall: float = RECALL
+) -> DataFrame:
+    """IVF search by codes of the residuals (asymmetric distance); candidates are ranked by their vectors.
+
+    How many lists and candidates are searched follows from ``recall``.
+    """
+    sample = sample_matrix(base, embedding, train_rows, seed)
+    centres = kmeans(sample, n_lists, seed=seed)
+    quantiser = ProductQuantiser(sample - centres[squared_distances(sample, centres).argmin(1)], m, bits, seed)
+    probed, width = search_effort(queries, base, k, centres, n_probe, quantiser, recall, id_col, embedding)
+    return _list_search(queries, base, k, centres, probed, width, quantiser, id_col, embedding)
