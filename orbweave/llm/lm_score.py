@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching (PPM), trained on the corpus.
 
 The symbols are bytes: each word's, then a space; a line feed ends a document. A
-symbol's context is the up to ``ORDER`` bytes before it, back to the space before
-the word. The context trie holds, for each context, the symbols seen after it:
+symbol's context is the up to ``ORDER`` bytes before it in its document (or, without
+``across``, back to the space before the word). The context trie holds, for each context, the symbols seen after it:
 
 * counts of the longest contexts are those of the training text; a shorter
   context counts a symbol once for each longer one in which it was seen
@@ -12,9 +12,9 @@ the word. The context trie holds, for each context, the symbols seen after it:
   the symbols just ruled out are excluded from n, T and d; below the empty
   context all bytes not ruled out are equally likely.
 
-As no context reaches over a space, a word's code length does not depend on its
-neighbours: it is computed once per distinct word, and documents add up the code
-lengths of their words. Trie, word table and documents meet in shuffled joins that
+A word's code length depends on the last ``ORDER`` - 1 bytes before the space before
+it: it is computed once per distinct step (those bytes and the word), and documents
+add up the code lengths of their steps. Trie, word table and documents meet in shuffled joins that
 grow with the corpus; only the ``HOT`` most used words and (context, symbol) pairs
 are broadcast, so that frequent keys need no shuffle.
 """
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,14 +43,32 @@ END = b""
 SYMBOLS = 256
 
 
-def pairs_of(word: bytes, order: int = ORDER) -> list[bytes]:
-    """A word's contexts, each followed by its symbol."""
-    line = b" " + word + b" " if word != END else b" \n"
-    return [line[max(0, j - order) : j + 1] for j in range(1, len(line))]
+def steps_of(words: list[bytes], order: int = ORDER) -> list[bytes]:
+    """For each word of a document a space, the bytes that its contexts reach back to, a space and the word.
 
+    Words hold no space, so steps and words can share a table.
+    """
+    out, before = [], b""
+    for w in words:
+        out.append(b" " + before + b" " + w)
+        before = (before + b" " + w)[-(order - 1) :] if order > 1 else b""
+    return out
+
+
+def pairs_of(key: bytes, order: int = ORDER) -> list[bytes]:
+    """The contexts of a word or a step, each followed by its symbol."""
+    line = key[1:] if key[:1] == b" " else b" " + key
+    begin = line.rindex(b" ") + 1
+    line += b"\n" if begin == len(line) else b" "
+    return [line[max(0, j - order) : j + 1] for j in range(begin, len(line))]
+
+
+def is_step() -> Column:
+    return F.expr("substring(word, 1, 1) = X'20'")
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """``word`` and ``c``, its count in the rows with ``train``; 0 if in other rows only."""
+
+def count_words(docs: DataFrame, order: int = ORDER, across: bool = False) -> DataFrame:
+    """``word`` (with ``across`` steps too) and ``c``, its count in the rows with ``train``; 0 if in other rows only."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(counts: Counter) -> pa.RecordBatch:
@@ -61,6 +79,8 @@ def count_words(docs: DataFrame) -> DataFrame:
             for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
                 words.append(END)
+                if across:
+                    words += steps_of(words, order)
                 if train:
                     counts.update(words)
                 else:
@@ -142,11 +162,13 @@ def pair_scores(direct: DataFrame, pairs: list[DataFrame], nodes: list[DataFrame
     all_nodes = nodes[0]
     for more in nodes[1:]:
         all_nodes = all_nodes.unionByName(more)
-    known = direct.where("n > 0").withColumn("context", _context()).join(all_nodes, "context")
+    # a shorter context, at a document's begin, may also be the end of longer ones: its counts are the trie's
+    whole = (F.col("n") > 0) & (F.length("pair") == len(nodes))
+    known = direct.where(whole).withColumn("context", _context()).join(all_nodes, "context")
     scored = [known.select("pair", "uses", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("lp"))]
     # the others go down the trie; ``t_x`` and ``d_x`` are set where symbols are ruled out
     long = lambda c: F.lit(None).cast("long").alias(c)
-    start = direct.where("n = 0").select("pair", "uses", F.col("pair").alias("at"), F.lit(0.0).alias("lp"), long("t_x"), long("d_x"))
+    start = direct.where(~whole).select("pair", "uses", F.col("pair").alias("at"), F.lit(0.0).alias("lp"), long("t_x"), long("d_x"))
     moving = None
     for k in range(len(nodes) - 1, -1, -1):
         here = start.where(F.length("pair") == k + 1)
@@ -203,11 +225,11 @@ def word_scores(words: DataFrame, scores: DataFrame, order: int = ORDER, hot: in
     return parts.where("pair is null").select("word", "c", "lp").unionByName(rest).groupBy("word").agg(F.max("c").alias("c"), F.sum("lp").alias("lp"))
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = ORDER, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = ORDER, hot: int = HOT, across: bool = False) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is that of smoothed single words, ``score`` the model's log10
-    probability of the text; both learn from the rows with ``train`` (null: false).
+    probability of the text (``across``: contexts reach over spaces); both learn from the rows with ``train`` (null: false).
     A null or empty text is the end token alone. Null ids and repeated rows each
     keep their row; an empty table gives no rows; further columns are left out.
     """
@@ -216,11 +238,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train")
     )
-    words = materialise(count_words(rows), "words")
-    train_tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    keys = materialise(count_words(rows, order, across), "words")
+    words = keys.where(is_step()) if across else keys
+    train_tokens, distinct = keys.where(~is_step()).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     direct = materialise(count_pairs(words, order), "pairs")
     scores = materialise(pair_scores(direct, *build_trie(direct, order)), "pair-scores")
-    table = materialise(word_scores(words, scores, order, hot), "word-scores")
+    table = word_scores(words, scores, order, hot)
+    if across:
+        table = table.unionByName(keys.where(~is_step()).withColumn("lp", F.lit(0.0)))
+    table = materialise(table, "word-scores")
     top = most_used(table, "c", hot).select("word", "c", "lp").toArrow()  # at most ``hot`` rows
     shared = spark.sparkContext.broadcast([top[k].to_pylist() for k in ("word", "c", "lp")])
     whole = train_tokens + 0.5 * (distinct + 1)
@@ -249,6 +275,13 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         n_known += n if hit[0] else 0
                         base += n * hit[1]
                         total += n * hit[2]
+                for s, n in Counter(steps_of(words, order)).items() if across else ():
+                    hit = known.get(s)
+                    if hit is None:
+                        owner.append(k)
+                        more.append((s, n))
+                    else:
+                        total += n * hit[2]
                 sums.append((len(words), n_known, base, total))
             size = len(batch)
             keys = list(range(key, key + size))
@@ -275,7 +308,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = parts.where("word is not null").select("key", "word", "n").join(table, "word")
     base = F.log10((F.col("c") + 0.5) / F.lit(whole))
     rest = rest.groupBy("key").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.col("n") * base).alias("more_base"), F.sum(F.col("n") * F.col("lp")).alias("more_score")
+        F.sum(F.when((F.col("c") > 0) & ~is_step(), F.col("n")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.when(~is_step(), F.col("n") * base).otherwise(F.lit(0.0))).alias("more_base"), F.sum(F.col("n") * F.col("lp")).alias("more_score")
     )
     out = parts.where("word is null").select("key", "doc_id", "train", "n", "n_known", "base", "score").join(rest, "key", "left")
     return out.select(

@@ -38,7 +38,7 @@ def remainder(id_col: str) -> Column:
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("train", remainder("doc_id") != 1)
-    scored = lm_score.score_documents(docs)
+    scored = lm_score.score_documents(docs, across=True)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
