@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from orbweave.operators.running import running_sums
 
-#: A tail's excesses are reduced to so many equally filled cells for fitting.
+#: A tail's excesses are reduced to at most so many cells of equal relative width, 1 / PER_E, for fitting.
 CELLS = 4_096
+PER_E = 64
 LEAST_SPREAD = 1e-12
 
 
@@ -86,16 +87,18 @@ def threshold(u: Column, shape: Column, scale: Column, alpha: float, tail: float
 def gpd_thresholds(df: DataFrame, score: str, groups: tuple[str, ...], fraction: float = 0.1, alpha: float = 0.01, rule: str = "index") -> DataFrame:
     """Per group: n, u, n_tail, shape, scale and the threshold ``tau``.
 
-    Excesses are counted in ``CELLS`` equal cells before they are gathered, so the fit
-    of a group takes a bounded number of rows whatever its size; small tails
-    (distinct values up to CELLS) are fitted exactly.
+    Excesses are counted in at most ``CELLS`` logarithmic cells, each at its mean, before
+    they are gathered, so the fit of a group takes a bounded number of rows whatever its
+    size; small tails (distinct values up to half of CELLS) are fitted exactly.
     """
     starts = tail_start(df, score, fraction, groups, rule)
     tail = df.join(starts, list(groups)).where((F.col(score) > F.col("u")) if rule == "percentile" else (F.col(score) >= F.col("u")))
     excess = tail.select(*groups, (F.col(score) - F.col("u")).alias("x"))
     spans = excess.groupBy(*groups).agg(F.max("x").alias("top"), F.approx_count_distinct("x").alias("values"), F.count("*").alias("n_tail"))
-    cell = F.when(F.col("values") <= CELLS // 2, F.col("x")).otherwise((F.floor(F.col("x") / F.col("top") * CELLS) + 0.5) * F.col("top") / CELLS)
-    counted = excess.join(spans, list(groups)).groupBy(*groups, cell.alias("x")).agg(F.count("*").cast("double").alias("w"))
+    place = F.greatest(F.floor(F.ln(F.col("x") / F.col("top")) * PER_E), F.lit(1 - CELLS))  # the lowest cell takes what is below
+    cell = F.when(F.col("values") <= CELLS // 2, F.col("x")).otherwise(place.cast("double"))
+    ends = excess.join(spans, list(groups)).groupBy(*groups, cell.alias("cell"))
+    counted = ends.agg(F.avg("x").alias("x"), F.count("*").cast("double").alias("w")).drop("cell")
 
     def fit(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         found = fit_gpd(rows["x"].to_numpy(), rows["w"].to_numpy())

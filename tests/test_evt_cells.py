@@ -1,0 +1,19 @@
+"""Fits from cells against fits from the excesses themselves."""
+
+import numpy as np
+import pytest
+
+from orbweave.operators import evt
+
+
+def test_cells_agree_with_the_exact_fit(spark):
+    u, groups, exact = (np.arange(20_000) + 0.5) / 20_000, [], {}
+    for name, shape, far in (("light", 0.24, None), ("heavy", 0.8, None), ("one", 1.0, None), ("outlier", 0.24, 1e7)):
+        x = ((1 - u) ** -shape - 1) / shape
+        x = x if far is None else np.append(x, far)
+        groups += [(name, float(v)) for v in x]
+        low = np.sort(x)[0]
+        exact[name] = evt.fit_gpd(x - low)
+    found = {r.g: (r["shape"], r["scale"]) for r in evt.gpd_thresholds(spark.createDataFrame(groups, "g string, s double"), "s", ("g",), fraction=1.0).collect()}
+    for name, fit in exact.items():
+        assert found[name] == pytest.approx(fit, rel=2e-3), name
