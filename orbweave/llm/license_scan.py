@@ -33,7 +33,7 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("APACHE2_WARRANTY", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis *"),
     ("GPL3_REF", "* licensed under the gnu general public license version 3"),
     ("GPL2_REF", "* licensed under the gnu general public license version 2"),
-    ("GPL_GRANT", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license *"),
+    ("GPL_GRANT", "* redistribute it and or modify it under the terms of the gnu general public license *"),
     ("LGPL_GRANT", "* redistribute it and or modify it under the terms of the gnu lesser general public license *"),
     ("GPL_WARRANTY", "* distributed in the hope that it will be useful but without any warranty *"),
     ("GPL_COPY", "you should have received a copy of the gnu general public license *"),
@@ -85,7 +85,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 )
 
 #: Each known sentence holds one of these; only sentences that do are normalised.
-KEYWORDS = "licen|copyright|permission|warrant|redistribut|public domain|mpl was not"
+KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\s+domain|mpl\s+was\s+not"
 UNKNOWN = "UNKNOWN"
 #: A sentence ends at its mark before white space, at an empty line, or at a line end before a capital and small letter.
 SENTENCE_END = r"(?<=[.!?;])\s+|\n\s*\n|\n(?=\s*\p{Lu}\p{Ll})"
