@@ -15,10 +15,18 @@ __all__ = ["SPACES", "SPACE_CLASS", "fresh", "let", "materialise", "most_used",
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 SPACES = " \t\n\x0b\f\r"
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, so that batches of long texts stay small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 1 << 25) -> None:
+    """Bound the rows and bytes of an Arrow batch, so that batches of long texts stay small.
+
+    Spark reads both settings when it plans the query, so they stay in the session;
+    settings that are stricter are left as they are.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(name, str((1 << 31) - 1))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -1,8 +1,9 @@
 """Language-model scores by prediction by partial matching (PPM), trained on the corpus.
 
-The symbols are bytes: each word's, then a space; a line feed ends a document. A
-symbol's context is the up to ``ORDER`` bytes before it in its document (or, without
-``across``, back to the space before the word). The context trie holds, for each context, the symbols seen after it:
+The symbols are bytes. A text is read as its words with one space between them and a
+line feed at its end; a symbol's context is the ``ORDER`` bytes before it, across
+spaces (zero bytes stand before a text). The context trie holds, for each context, the
+symbols seen after it:
 
 * counts of the longest contexts are those of the training text; a shorter
   context counts a symbol once for each longer one in which it was seen
@@ -12,11 +13,11 @@ symbol's context is the up to ``ORDER`` bytes before it in its document (or, wit
   the symbols just ruled out are excluded from n, T and d; below the empty
   context all bytes not ruled out are equally likely.
 
-A word's code length depends on the last ``ORDER`` - 1 bytes before the space before
-it: it is computed once per distinct step (those bytes and the word), and documents
-add up the code lengths of their steps. Trie, word table and documents meet in shuffled joins that
-grow with the corpus; only the ``HOT`` most used words and (context, symbol) pairs
-are broadcast, so that frequent keys need no shuffle.
+A context and its symbol (a gram) are one long, the oldest byte highest, so a shorter
+context is a mask away. A gram's code length is computed once, and documents add up
+those of their grams. Trie, word table and documents meet in shuffled joins that grow
+with the corpus; only the ``HOT_WORDS`` and ``HOT_GRAMS`` most used words and grams are
+broadcast, so that frequent keys need no shuffle.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,289 +36,320 @@ from pyspark.sql import types as T
 from orbweave.llm.common import materialise, most_used, small_batches
 
 ORDER = 5
-#: Words, and pairs of context and symbol, that are broadcast.
-HOT = 1 << 17
+#: Words, and grams, that are broadcast.
+HOT_WORDS = 1 << 17
+HOT_GRAMS = 1 << 19
 #: Entries of a task's table of counts before it is handed on.
-MOST_COUNTED = 200_000
+MOST_COUNTED = 400_000
+MOST_GRAMS = 2_000_000
+#: Bytes of text that are turned into grams at once.
+PIECE = 1 << 21
 #: The token that ends a document, as a word.
 END = b""
 SYMBOLS = 256
 
 
-def steps_of(words: list[bytes], order: int = ORDER) -> list[bytes]:
-    """For each word of a document a space, the bytes that its contexts reach back to, a space and the word.
+def line_of(words: list[bytes]) -> bytes:
+    """The symbols of a text with these words."""
+    return b" ".join(words) + b"\n"
 
-    Words hold no space, so steps and words can share a table.
-    """
-    out, before = [], b""
-    for w in words:
-        out.append(b" " + before + b" " + w)
-        before = (before + b" " + w)[-(order - 1) :] if order > 1 else b""
-    return out
-
-
-def pairs_of(key: bytes, order: int = ORDER) -> list[bytes]:
-    """The contexts of a word or a step, each followed by its symbol."""
-    line = key[1:] if key[:1] == b" " else b" " + key
-    begin = line.rindex(b" ") + 1
-    line += b"\n" if begin == len(line) else b" "
-    return [line[max(0, j - order) : j + 1] for j in range(begin, len(line))]
-
-
-def is_step() -> Column:
-    return F.expr("substring(word, 1, 1) = X'20'")
-
-
-def count_words(docs: DataFrame, order: int = ORDER, across: bool = False) -> DataFrame:
-    """``word`` (with ``across`` steps too) and ``c``, its count in the rows with ``train``; 0 if in other rows only."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
+def pieces(lines: Iterator[tuple[int, bytes]], order: int = ORDER, most: int = PIECE) -> Iterator[tuple[list[int], list[int], np.ndarray]]:
+    """Owners, how many grams each has, and all their grams in turn, of about ``most`` bytes at a time.
 
-        counts: Counter[bytes] = Counter()
+    A long line is cut; each part begins with the bytes that its contexts reach back to.
+    """
+    owners: list[int] = []
+    sizes: list[int] = []
+    parts: list[bytes] = []
+    held = 0
+    for owner, line in lines:
+        for at in range(0, len(line), most):
+            part = line[at : at + most]
+            owners.append(owner)
+            sizes.append(len(part))
+            parts += (line[at - order : at] if at else bytes(order), part)
+            held += len(part)
+            if held >= most:
+                yield owners, sizes, _grams(parts, sizes, order)
+                owners, sizes, parts, held = [], [], [], 0
+    if parts:
+        yield owners, sizes, _grams(parts, sizes, order)
+
+
+def _grams(parts: list[bytes], sizes: list[int], order: int) -> np.ndarray:
+    """The grams of the second, fourth... part; the part before each is its context."""
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    grams = np.zeros(len(raw) - order, np.int64)
+    for k in range(order + 1):
+        grams <<= 8
+        grams |= raw[k : len(raw) - order + k]
+    kept = np.ones(len(grams), bool)
+    ends = np.cumsum(np.array(sizes) + order)[:-1] - order  # what follows reaches from one line into the next
+    for k in range(order):
+        kept[ends + k] = False
+    return grams[kept]
+
+
+class GramCounts:
+    """Training counts and uses of grams, by sorted arrays that are merged from time to time."""
+
+    def __init__(self):
+        self.held, self.size = [], 0
+
+    def add(self, grams: np.ndarray, train: bool) -> None:
+        found, uses = np.unique(grams, return_counts=True)
+        self.held.append((found, uses if train else np.zeros_like(uses), uses))
+        self.size += len(found)
+        if self.size > MOST_GRAMS:
+            self.merge()
+
+    def merge(self) -> None:
+        grams, n, uses = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(grams, kind="stable")
+        grams = grams[order]
+        begins = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+        self.held = [(grams[begins], np.add.reduceat(n[order], begins), np.add.reduceat(uses[order], begins))]
+        self.size = len(begins)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self.merge()
+            ((grams, n, uses),) = self.held
+            for at in range(0, len(grams), 1 << 16):
+                here = slice(at, at + (1 << 16))
+                columns = [pa.nulls(len(grams[here]), pa.binary()), pa.array(grams[here]), pa.array(n[here]), pa.array(uses[here])]
+                yield pa.RecordBatch.from_arrays(columns, names=["word", "gram", "c", "uses"])
+        self.held, self.size = [], 0
+
+
+def _word_counts(counts: dict[bool, Counter]) -> pa.RecordBatch:
+    """The rows of the words counted, which are forgotten."""
+    words = list(counts[True].keys() | counts[False].keys())
+    c = pa.array([counts[True][w] for w in words], pa.int64())
+    uses = pa.array([counts[True][w] + counts[False][w] for w in words], pa.int64())
+    counts[True].clear()
+    counts[False].clear()
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.nulls(len(words), pa.int64()), c, uses], names=["word", "gram", "c", "uses"])
+
+
+def count(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """Rows of either a ``word`` or a ``gram``: its count ``c`` in the rows with ``train``, and in all rows (``uses``)."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[bool, Counter] = {True: Counter(), False: Counter()}
+        grams = GramCounts()
         for batch in batches:
+            lines: dict[bool, list[bytes]] = {True: [], False: []}
             for text, train in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = text.lower().split()
-                words.append(END)
-                if across:
-                    words += steps_of(words, order)
-                if train:
-                    counts.update(words)
-                else:
-                    for w in set(words):
-                        counts[w] += 0
-            if len(counts) > MOST_COUNTED:
-                yield flush(counts)
-                counts.clear()
-        yield flush(counts)
-
-    return docs.select("text", "train").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-def count_pairs(words: DataFrame, order: int = ORDER) -> DataFrame:
-    """``pair`` (longest context and symbol), its training count ``n`` and ``uses``, the words that have it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(n: dict, uses: dict) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array(list(uses.values()), pa.int64())], names=["pair", "n", "uses"])
-
-        n: dict[bytes, int] = {}
-        uses: dict[bytes, int] = {}
-        for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for p in pairs_of(word, order):
-                    n[p] = n.get(p, 0) + c
-                    uses[p] = uses.get(p, 0) + 1
-            if len(n) > MOST_COUNTED:
-                yield flush(n, uses)
-                n.clear()
-                uses.clear()
-        yield flush(n, uses)
+                counts[train].update(words)
+                counts[train][END] += 1
+                lines[train].append(line_of(words))
+            for train, own in lines.items():
+                for _, _, found in pieces(enumerate(own), order):
+                    grams.add(found, train)
+            if grams.size > MOST_GRAMS // 2:
+                yield from grams.flush()
+            if len(counts[True]) + len(counts[False]) > MOST_COUNTED:
+                yield _word_counts(counts)
+        yield _word_counts(counts)
+        yield from grams.flush()
 
-    counted = words.select("word", "c").mapInArrow(count, "pair binary, n long, uses long")
-    return counted.groupBy("pair").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses"))
+    counted = docs.select("text", "train").mapInArrow(tally, "word binary, gram long, c long, uses long")
+    return counted.groupBy("word", "gram").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses"))
 
 
-def _context(pair: str = "pair"):
-    return F.expr(f"substring({pair}, 1, length({pair}) - 1)")
+def shorter(gram: Column, length: int | Column) -> Column:
+    """The gram whose context has the last ``length`` bytes of that of ``gram``."""
+    bits = 8 * (F.lit(length) + 1)
+    return gram.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1)
 
 
-def build_trie(direct: DataFrame, order: int = ORDER) -> tuple[list[DataFrame], list[DataFrame]]:
-    """By context length 0 to ``order``: pairs (``pair``, ``n``) and nodes.
+def context(gram: Column) -> Column:
+    return F.shiftright(gram, 8)
 
-    A node (``context``) has ``t`` and ``d``; ``t_up`` and ``d_up`` are its parent's
-    total and symbols without those that the node itself has.
-    """
-    pairs: list[DataFrame] = []
-    seen = direct.where("n > 0").select("pair", "n")
-    for k in range(order, -1, -1):
-        own = seen.where(F.length("pair") == k + 1)
-        if pairs:
-            own = own.unionByName(pairs[0].select(F.expr("substring(pair, 2)").alias("pair"), F.lit(1).cast("long").alias("n")))
-            own = own.groupBy("pair").agg(F.sum("n").alias("n"))
-        pairs.insert(0, materialise(own, f"trie-{k}"))
-    nodes: list[DataFrame] = []
-    for k in range(order + 1):
-        own = pairs[k].groupBy(_context().alias("context")).agg(F.sum("n").alias("t"), F.count("*").alias("d"))
-        if k:
-            upper = pairs[k - 1].select(F.col("pair").alias("short"), F.col("n").alias("n_up"))
-            ruled_out = (
-                pairs[k].select(_context().alias("context"), F.expr("substring(pair, 2)").alias("short")).join(upper, "short").groupBy("context").agg(F.sum("n_up").alias("gone"))
-            )
-            parent = nodes[k - 1].select(F.col("context").alias("up"), F.col("t").alias("t_p"), F.col("d").alias("d_p"))
-            own = (
-                own.join(ruled_out, "context")
-                .withColumn("up", F.expr("substring(context, 2)"))
-                .join(parent, "up")
-                .select("context", "t", "d", (F.col("t_p") - F.col("gone")).alias("t_up"), (F.col("d_p") - F.col("d")).alias("d_up"))
-            )
-        else:
-            own = own.select("context", "t", "d", F.lit(0).cast("long").alias("t_up"), F.lit(0).cast("long").alias("d_up"))
-        nodes.append(materialise(own, f"nodes-{k}"))
-    return pairs, nodes
-
-
-def pair_scores(direct: DataFrame, pairs: list[DataFrame], nodes: list[DataFrame]) -> DataFrame:
-    """``pair``, ``uses`` and ``lp``, the log10 probability of its symbol in its context."""
-    all_nodes = nodes[0]
-    for more in nodes[1:]:
-        all_nodes = all_nodes.unionByName(more)
-    # a shorter context, at a document's begin, may also be the end of longer ones: its counts are the trie's
-    whole = (F.col("n") > 0) & (F.length("pair") == len(nodes))
-    known = direct.where(whole).withColumn("context", _context()).join(all_nodes, "context")
-    scored = [known.select("pair", "uses", F.log10(F.col("n") / (F.col("t") + F.col("d"))).alias("lp"))]
-    # the others go down the trie; ``t_x`` and ``d_x`` are set where symbols are ruled out
-    long = lambda c: F.lit(None).cast("long").alias(c)
-    start = direct.where(~whole).select("pair", "uses", F.col("pair").alias("at"), F.lit(0.0).alias("lp"), long("t_x"), long("d_x"))
-    moving = None
-    for k in range(len(nodes) - 1, -1, -1):
-        here = start.where(F.length("pair") == k + 1)
-        here = here if moving is None else here.unionByName(moving)
-        met = (
-            here.withColumn("context", _context("at"))
-            .join(nodes[k], "context", "left")
-            .join(pairs[k].select(F.col("pair").alias("at"), F.col("n").alias("n_at")), "at", "left")
-            .withColumn("t_e", F.coalesce("t_x", "t"))
-            .withColumn("d_e", F.coalesce("d_x", "d"))
-            .withColumn("all", F.col("t_e") + F.col("d_e"))
-        )
-        met = materialise(met, f"escapes-{k}")
-        found = met.where("n_at is not null")
-        scored.append(found.select("pair", "uses", (F.col("lp") + F.log10(F.col("n_at") / F.col("all"))).alias("lp")))
-        cost = F.when(F.col("d_e") > 0, F.log10(F.col("d_e") / F.col("all"))).otherwise(F.lit(0.0))
-        moving = met.where("n_at is null").select(
-            "pair", "uses", F.expr("substring(at, 2)").alias("at"), (F.col("lp") + cost).alias("lp"), F.col("t_up").alias("t_x"), F.col("d_up").alias("d_x"), F.col("d").alias("d_last")
-        )
-        left = moving
-        moving = moving.drop("d_last")
-    even = -F.log10(F.greatest(F.lit(1), F.lit(SYMBOLS) - F.coalesce("d_last", F.lit(0))).cast("double"))
-    scored.append(left.select("pair", "uses", (F.col("lp") + even).alias("lp")))
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def word_scores(words: DataFrame, scores: DataFrame, order: int = ORDER, hot: int = HOT) -> DataFrame:
-    """``word``, ``c`` and ``lp``: the word's log10 probability, its space included."""
-    spark = words.sparkSession
-    top = most_used(scores, "uses", hot).select("pair", "lp").toArrow()  # at most ``hot`` rows
-    shared = spark.sparkContext.broadcast(dict(zip(top["pair"].to_pylist(), top["lp"].to_pylist(), strict=True)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total = 0.0
-                for p in pairs_of(word, order):
-                    lp = known.get(p)
-                    if lp is None:
-                        out.append((word, None, 0.0, p))
-                    else:
-                        total += lp
-                out.append((word, c, total, None))
-            w, c, lp, p = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(c, pa.int64()), pa.array(lp, pa.float64()), pa.array(p, pa.binary())], names=["word", "c", "lp", "pair"])
-
-    parts = materialise(words.select("word", "c").mapInArrow(score, "word binary, c long, lp double, pair binary"), "word-parts")
-    rest = parts.where("pair is not null").select("word", "c", "pair").join(scores.select("pair", "lp"), "pair").select("word", "c", "lp")
-    return parts.where("pair is null").select("word", "c", "lp").unionByName(rest).groupBy("word").agg(F.max("c").alias("c"), F.sum("lp").alias("lp"))
+def build_trie(grams: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """The trie's entries (``k``, the length of their context, ``gram``, ``n``) and its nodes.
 
-
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = ORDER, hot: int = HOT, across: bool = False) -> DataFrame:
+    A node (``k``, ``context``) has ``t`` and ``d``; ``t_up`` and ``d_up`` are its parent's
+    total and symbols without those that the node itself has.
+    """
+    levels = [grams.where("c > 0").select(F.lit(order).alias("k"), "gram", F.col("c").alias("n"))]
+    for k in range(order - 1, -1, -1):
+        level = levels[0].groupBy(shorter(F.col("gram"), k).alias("gram")).agg(F.count("*").alias("n"))
+        levels.insert(0, materialise(level.select(F.lit(k).alias("k"), "gram", "n"), f"trie-{k}"))
+    entries = levels[0]
+    for level in levels[1:]:
+        entries = entries.unionByName(level)
+    # each gram with the count of the one that is shorter by a byte, which at most 256 grams share
+    up = entries.select((F.col("k") + 1).alias("k"), F.col("gram").alias("short"), F.col("n").alias("n_up"))
+    short = F.when(F.col("k") > 0, shorter(F.col("gram"), F.col("k") - 1))
+    own = entries.withColumn("short", short).join(up, ["k", "short"], "left").groupBy("k", context(F.col("gram")).alias("context"))
+    nodes = materialise(own.agg(F.sum("n").alias("t"), F.count("*").alias("d"), F.coalesce(F.sum("n_up"), F.lit(0)).alias("gone")), "trie-nodes")
+    parents = nodes.select((F.col("k") + 1).alias("k"), F.col("context").alias("parent"), F.col("t").alias("t_p"), F.col("d").alias("d_p"))
+    parent = F.when(F.col("k") > 1, shorter(F.col("context"), F.col("k") - 2)).when(F.col("k") == 1, F.lit(0).cast("long"))
+    met = nodes.withColumn("parent", parent).join(parents, ["k", "parent"], "left")
+    return entries, met.select("k", "context", "t", "d", (F.col("t_p") - F.col("gone")).alias("t_up"), (F.col("d_p") - F.col("d")).alias("d_up"))
+
+
+def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
+    """``gram``, ``uses`` and ``lp``, the log10 probability of its symbol in its context."""
+    entries, nodes = build_trie(grams, order)
+    known = grams.where("c > 0").withColumn("context", context(F.col("gram"))).join(nodes.where(F.col("k") == order), "context")
+    known = known.select("gram", "uses", F.log10(F.col("c") / (F.col("t") + F.col("d"))).alias("lp"))
+    # a gram that training lacks goes from its longest context to the empty one
+    new = grams.where("c = 0").select("gram", "uses")
+
+    def met(lengths: range, hint) -> DataFrame:
+        step = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), shorter(F.col("gram"), k).alias("at")) for k in lengths])).alias("step")
+        rows = new.select("gram", "uses", step).select("gram", "uses", "step.*").withColumn("context", context(F.col("at")))
+        own = F.col("k").isin(*lengths)
+        rows = rows.join(hint(nodes.where(own)), ["k", "context"], "left")
+        return rows.join(hint(entries.where(own).select("k", F.col("gram").alias("at"), F.col("n").alias("n_at"))), ["k", "at"], "left")
+
+    # contexts of up to one byte are at most 257, their entries 65,792; many grams share one, so these are broadcast
+    steps = met(range(min(order, 1) + 1), F.broadcast)
+    if order > 1:
+        steps = steps.unionByName(met(range(2, order + 1), lambda df: df))
+    down = F.sort_array(F.collect_list(F.struct(-F.col("k"), "n_at", "t", "d", "t_up", "d_up")))
+
+    def descend(at: Column, e: Column) -> Column:
+        t, d = F.coalesce(at["t"], e["t"]), F.coalesce(at["d"], e["d"])
+        part = F.when(e["n_at"].isNotNull(), e["n_at"]).when(d > 0, d)
+        lp = at["lp"] + F.when(at["done"], F.lit(0.0)).otherwise(F.coalesce(F.log10(part / (t + d)), F.lit(0.0)))
+        return F.struct(lp.alias("lp"), e["t_up"].alias("t"), e["d_up"].alias("d"), e["d"].alias("symbols"), (at["done"] | e["n_at"].isNotNull()).alias("done"))
+
+    none = F.lit(None).cast("long")
+    begin = F.struct(F.lit(0.0).alias("lp"), none.alias("t"), none.alias("d"), none.alias("symbols"), F.lit(False).alias("done"))
+    even = lambda at: F.log10(F.greatest(F.lit(1), F.lit(SYMBOLS) - F.coalesce(at["symbols"], F.lit(0))).cast("double"))
+    lp = F.aggregate("down", begin, descend, lambda at: at["lp"] - F.when(at["done"], F.lit(0.0)).otherwise(even(at)))
+    found = steps.groupBy("gram").agg(F.max("uses").alias("uses"), down.alias("down")).select("gram", "uses", lp.alias("lp"))
+    return known.unionByName(found)
+
+
+class HotGrams:
+    """Look-up of the broadcast grams' code lengths: a table of slots, and a search for those that share a slot."""
+
+    def __init__(self, grams: np.ndarray, lp: np.ndarray):
+        order = np.argsort(grams)
+        self.grams, self.lp = grams[order], lp[order]
+        self.bits = max(1, int(4 * len(grams)).bit_length())
+        self.slots, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits)
+        at = self.slot(self.grams)
+        self.slots[at] = self.grams
+        there = self.slots[at] == self.grams
+        self.values[at[there]] = self.lp[there]
+
+    def slot(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each gram's code length (0 if it isn't hot), and the places of those that aren't."""
+        at = self.slot(grams)
+        out = np.where(self.slots[at] == grams, self.values[at], 0.0)
+        left = np.flatnonzero(self.slots[at] != grams)
+        if not len(self.grams):
+            return out, left
+        near = np.minimum(np.searchsorted(self.grams, grams[left]), len(self.grams) - 1)
+        hit = self.grams[near] == grams[left]
+        out[left[hit]] = self.lp[near[hit]]
+        return out, left[~hit]
+
+
+def score_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_col: str = "train", order: int = ORDER, hot_words: int = HOT_WORDS, hot_grams: int = HOT_GRAMS
+) -> DataFrame:
     """One row per document: doc_id, train, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is that of smoothed single words, ``score`` the model's log10
-    probability of the text (``across``: contexts reach over spaces); both learn from the rows with ``train`` (null: false).
+    probability of the text; both learn from the rows with ``train`` (null: false).
     A null or empty text is the end token alone. Null ids and repeated rows each
-    keep their row; an empty table gives no rows; further columns are left out.
+    keep their row; a word or a text may be of any length; an empty table gives no
+    rows; further columns are left out. ``order`` is 6 at most.
     """
+    if not 0 <= order <= 6:
+        raise ValueError(f"an order of 0 to 6 is needed, not {order}")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col(train_col), F.lit(False)).alias("train")
     )
-    keys = materialise(count_words(rows, order, across), "words")
-    words = keys.where(is_step()) if across else keys
-    train_tokens, distinct = keys.where(~is_step()).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    direct = materialise(count_pairs(words, order), "pairs")
-    scores = materialise(pair_scores(direct, *build_trie(direct, order)), "pair-scores")
-    table = word_scores(words, scores, order, hot)
-    if across:
-        table = table.unionByName(keys.where(~is_step()).withColumn("lp", F.lit(0.0)))
-    table = materialise(table, "word-scores")
-    top = most_used(table, "c", hot).select("word", "c", "lp").toArrow()  # at most ``hot`` rows
-    shared = spark.sparkContext.broadcast([top[k].to_pylist() for k in ("word", "c", "lp")])
+    counts = materialise(count(rows, order), "counts")
+    words, grams = counts.where("word is not null").select("word", "c", "uses"), counts.where("gram is not null").select("gram", "c", "uses")
+    train_tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    scores = materialise(gram_scores(grams, order), "gram-scores")
     whole = train_tokens + 0.5 * (distinct + 1)
+    # at most ``hot_words`` and ``hot_grams`` rows
+    top_words, top_grams = most_used(words, "uses", hot_words).toArrow(), most_used(scores, "uses", hot_grams).toArrow()
+    shared = spark.sparkContext.broadcast((top_words["word"].to_pylist(), top_words["c"].to_pylist(), top_grams["gram"].to_numpy(), top_grams["lp"].to_numpy()))
     schema = T.StructType(
-        [T.StructField("key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("train", T.BooleanType()), T.StructField("word", T.BinaryType())]
+        [T.StructField("key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("train", T.BooleanType())]
+        + [T.StructField("word", T.BinaryType()), T.StructField("gram", T.LongType())]
         + [T.StructField(k, t) for k, t in (("n", T.LongType()), ("n_known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()))]
     )
 
+    def batch_of(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"doc_id": columns["doc_id"].type if "doc_id" in columns else pa.null(), "train": pa.bool_(), "word": pa.binary(), "base": pa.float64(), "score": pa.float64()}
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, kinds.get(k, pa.int64()))) for k in schema.names], names=schema.names)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: (c, math.log10((c + 0.5) / whole), lp) for w, c, lp in zip(*shared.value, strict=True)}
+        names, c, hot, lp = shared.value
+        known = {w: (c, math.log10((c + 0.5) / whole)) for w, c in zip(names, c, strict=True)}
+        table = HotGrams(hot, lp)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
-            owner: list[int] = []
-            more: list[tuple] = []
-            sums: list[tuple] = []
+            size = len(batch)
+            lines: list[bytes] = []
+            rare: list[tuple[int, bytes, int]] = []
+            sums: list[tuple[int, int, float]] = []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 words = text.lower().split()
+                lines.append(line_of(words))
                 words.append(END)
-                n_known, base, total = 0, 0.0, 0.0
+                n_known, base = 0, 0.0
                 for w, n in Counter(words).items():
                     hit = known.get(w)
                     if hit is None:
-                        owner.append(k)
-                        more.append((w, n))
+                        rare.append((key + k, w, n))
                     else:
                         n_known += n if hit[0] else 0
                         base += n * hit[1]
-                        total += n * hit[2]
-                for s, n in Counter(steps_of(words, order)).items() if across else ():
-                    hit = known.get(s)
-                    if hit is None:
-                        owner.append(k)
-                        more.append((s, n))
-                    else:
-                        total += n * hit[2]
-                sums.append((len(words), n_known, base, total))
-            size = len(batch)
-            keys = list(range(key, key + size))
+                sums.append((len(words), n_known, base))
+            total = np.zeros(size)
+            for owners, sizes, found in pieces(enumerate(lines), order):
+                lengths, left = table.find(found)
+                begins = np.cumsum([0, *sizes[:-1]])
+                np.add.at(total, owners, np.add.reduceat(lengths, begins))
+                if len(left):
+                    owner = np.array(owners)[np.searchsorted(begins, left, "right") - 1]
+                    pairs, times = np.unique(np.stack([owner, found[left]]), axis=1, return_counts=True)
+                    yield batch_of(len(times), key=pa.array(key + pairs[0]), doc_id=pa.nulls(len(times), batch.column(0).type), gram=pa.array(pairs[1]), n=pa.array(times.astype(np.int64)))
+            if rare:
+                of, w, n = zip(*rare, strict=True)
+                yield batch_of(len(of), key=pa.array(of, pa.int64()), doc_id=pa.nulls(len(of), batch.column(0).type), word=pa.array(w, pa.binary()), n=pa.array(n, pa.int64()))
+            n, n_known, base = zip(*sums, strict=True) if sums else ((), (), ())
+            own = {"n": pa.array(n, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(total)}
+            yield batch_of(size, key=pa.array(np.arange(key, key + size)), doc_id=batch.column(0), train=batch.column(2), **own)
             key += size
-            n, n_known, base, total = zip(*sums, strict=True) if sums else ((), (), (), ())
-            rare, times = zip(*more, strict=True) if more else ((), ())
-            none = [None] * len(owner)
-            at = pa.array([*range(size), *[None] * len(owner)], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*keys, *[keys[k] for k in owner]], pa.int64()),
-                    batch.column(0).take(at),
-                    batch.column(2).take(at),
-                    pa.array([*[None] * size, *rare], pa.binary()),
-                    pa.array([*n, *times], pa.int64()),
-                    pa.array([*n_known, *none], pa.int64()),
-                    pa.array([*base, *none], pa.float64()),
-                    pa.array([*total, *none], pa.float64()),
-                ],
-                names=schema.names,
-            )
 
     parts = materialise(rows.mapInArrow(score, schema), "score-parts")
-    rest = parts.where("word is not null").select("key", "word", "n").join(table, "word")
     base = F.log10((F.col("c") + 0.5) / F.lit(whole))
-    rest = rest.groupBy("key").agg(
-        F.sum(F.when((F.col("c") > 0) & ~is_step(), F.col("n")).otherwise(F.lit(0))).alias("more_known"), F.sum(F.when(~is_step(), F.col("n") * base).otherwise(F.lit(0.0))).alias("more_base"), F.sum(F.col("n") * F.col("lp")).alias("more_score")
-    )
-    out = parts.where("word is null").select("key", "doc_id", "train", "n", "n_known", "base", "score").join(rest, "key", "left")
+    of_words = parts.where("word is not null").select("key", "word", "n").join(words, "word")
+    of_words = of_words.select("key", F.when(F.col("c") > 0, F.col("n")).otherwise(F.lit(0)).alias("n_known"), (F.col("n") * base).alias("base"), F.lit(0.0).alias("score"))
+    of_grams = parts.where("gram is not null").select("key", "gram", "n").join(scores.select("gram", "lp"), "gram")
+    of_grams = of_grams.select("key", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base"), (F.col("n") * F.col("lp")).alias("score"))
+    sums = {k: f"more_{k}" for k in ("n_known", "base", "score")}
+    rest = of_words.unionByName(of_grams).groupBy("key").agg(*[F.sum(k).alias(more) for k, more in sums.items()])
+    out = parts.where("word is null and gram is null").join(rest, "key", "left")
+    whole_sums = {k: F.col(k) + F.coalesce(F.col(more), F.lit(0)) for k, more in sums.items()}
     return out.select(
         "doc_id",
         "train",
         F.col("n").alias("n_tokens"),
-        (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        whole_sums["n_known"].alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        whole_sums["base"].alias("base_score"),
+        whole_sums["score"].alias("score"),
     )

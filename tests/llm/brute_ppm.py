@@ -8,26 +8,35 @@ from collections import Counter, defaultdict
 from orbweave.llm.lm_score import SYMBOLS
 
 
+def line_of(text: str | None) -> bytes:
+    return b" ".join((text or "").encode().lower().split()) + b"\n"
+
+
 class BrutePpm:
-    def __init__(self, words: dict[bytes, int], order: int):
+    """Learns from lines; ``order`` zero bytes stand before each."""
+
+    def __init__(self, lines: list[bytes], order: int):
         self.order = order
+        self.memo: dict[bytes, float] = {}
         self.tables: dict[bytes, Counter] = defaultdict(Counter)
-        longest: dict[bytes, Counter] = defaultdict(Counter)
-        for word, c in words.items():
-            line = b" " + word + b" " if word else b" \n"
-            for j in range(1, len(line)):
-                longest[line[max(0, j - order) : j]][line[j]] += c
-        for k in range(order, -1, -1):
-            for ctx in [x for x in longest if len(x) == k]:
-                for s, n in longest[ctx].items():
-                    self.tables[ctx][s] += n
-            for ctx in [x for x in self.tables if len(x) == k and k]:
-                for s in self.tables[ctx]:
-                    self.tables[ctx[1:]][s] += 1
-
-    def word(self, word: bytes) -> float:
-        line = b" " + word + b" " if word else b" \n"
-        return sum(self.symbol(line[max(0, j - self.order) : j], line[j]) for j in range(1, len(line)))
+        for line in lines:
+            for gram in self.grams(line):
+                self.tables[gram[:-1]][gram[-1]] += 1
+        for k in range(order, 0, -1):
+            for ctx in [x for x in self.tables if len(x) == k]:
+                self.tables[ctx[1:]].update(list(self.tables[ctx]))
+
+    def grams(self, line: bytes) -> list[bytes]:
+        padded = bytes(self.order) + line
+        return [padded[j - self.order : j + 1] for j in range(self.order, len(padded))]
+
+    def text(self, line: bytes) -> float:
+        total = 0.0
+        for gram in self.grams(line):
+            if gram not in self.memo:
+                self.memo[gram] = self.symbol(gram[:-1], gram[-1])
+            total += self.memo[gram]
+        return total
 
     def symbol(self, ctx: bytes, s: int) -> float:
         lp, excluded = 0.0, set()

@@ -9,7 +9,6 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
-from brute_ppm import BrutePpm
 from fixtures import SCHEMA, documents, same, with_clashes
 from pyspark.sql import functions as F
 
@@ -99,29 +98,6 @@ def test_plan_uses_all_pieces_once():
 # language model
 
 
-def test_lm_scores(spark):
-    df = documents(spark).withColumn("train", F.coalesce(F.col("doc_id") % 3 != 1, F.lit(True)))
-    rows = [((r.text or "").encode().lower().split() + [b""], r.train, r.doc_id) for r in df.collect()]
-    counts = Counter(w for ws, train, _ in rows if train for w in ws)
-    n, v = sum(counts.values()), len(counts)
-    for order, hot in ((3, 5), (5, 1 << 17)):
-        model, memo = BrutePpm(counts, order), {}
-        expected = []
-        for ws, train, i in rows:
-            base = sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-            score = sum(memo.setdefault(w, model.word(w)) for w in ws)
-            expected.append((str(i), train, len(ws), sum(counts[w] > 0 for w in ws), n, base, score))
-        got = [(str(r.doc_id), r.train, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_score.score_documents(df, order=order, hot=hot).collect()]
-        for a, b in zip(sorted(got), sorted(expected), strict=True):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
-
-
-def test_lm_probabilities_sum_to_one():
-    model = BrutePpm({b"abc": 3, b"abd": 1, b"": 2}, 3)
-    for ctx in (b" ", b" ab", b"zz", b""):
-        assert sum(10 ** model.symbol(ctx, s) for s in range(256)) == pytest.approx(1)
-
-
 def test_lm_on_odd_tables(spark):
     df = documents(spark)
     none = lm_score.score_documents(df.withColumn("train", F.lit(None).cast("boolean")))
