@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import let
+from orbweave.llm.common import before_each, blocks_of, let, span_of
 
 OPEN, PART, CLOSE = "<turn>", "<part>", "</turn>\n"
 
@@ -86,18 +86,17 @@ def format_conversations(
 
     def joined(parts: Column) -> Column:
         whole = F.array_join(F.transform(parts, lambda p: F.concat(p["before"], p["text"], p["after"])), "")
-        none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+        steps = F.transform(parts, lambda p: (F.length(p["before"]) + F.length(p["text"]) + F.length(p["after"])).cast("bigint"))
 
-        def step(at: Column, p: Column) -> Column:
-            start = at["pos"] + F.length(p["before"])
-            end = start + F.length(p["text"])
-            span = F.array(F.struct(start.alias("start"), end.alias("end")))
-            return F.struct(
-                (end + F.length(p["after"])).alias("pos"),
-                F.when(p["loss"], F.concat(at["spans"], span)).otherwise(at["spans"]).alias("spans"),
-            )
+        def all_spans(begins: Column) -> Column:
+            def span(p: Column, i: Column) -> Column:
+                start = F.get(begins, i) + F.length(p["before"])
+                return F.struct(start.alias("start"), (start + F.length(p["text"])).alias("end"), p["loss"].alias("loss"))
 
-        spans = F.aggregate(parts, F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("spans")), step, lambda at: at["spans"])
+            of_loss = F.filter(F.transform(parts, span), lambda s: s["loss"])
+            return F.transform(of_loss, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+        spans = let(before_each(steps, lambda a, b: a + b), all_spans)
         return F.struct(whole.alias("formatted"), spans.alias("loss_spans"))
 
     made = let(F.array_sort("turns"), lambda ts: let(pieces(ts), joined))
@@ -120,10 +119,7 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, loss_spans: Column) -> Column:
     """The text under the loss mask, unescaped, with nothing between the spans."""
-    return F.array_join(
-        F.transform(loss_spans, lambda s: unescape(F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))),
-        "",
-    )
+    return let(blocks_of(formatted), lambda b: F.array_join(F.transform(loss_spans, lambda s: unescape(span_of(b, s["start"], s["end"]))), ""))
 
 
 def digest(formatted: DataFrame) -> DataFrame:

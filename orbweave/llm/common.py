@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbweave.sources.store import materialise, shared_dir
 
-__all__ = ["SPACES", "SPACE_CLASS", "fresh", "let", "materialise", "most_used", "read", "shared_dir", "small_batches", "words"]
+__all__ = ["SPACES", "SPACE_CLASS", "before_each", "blocks_of", "fresh", "let", "materialise", "most_used", "read", "shared_dir", "small_batches", "span_of", "words"]
 
 #: The characters that part words, as a regular expression class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -40,6 +40,46 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+", -1))
 
 
+def before_each(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of longs ``op`` over those before it, beginning with 0.
+
+    An array that grows by one element is copied each time, so the values are taken in
+    blocks of about the root of their number: the work grows as its power 1.5.
+    """
+
+    def run(some: Column, begin: Column) -> Column:
+        grow = lambda at, x: F.struct(op(at["last"], x).alias("last"), F.concat(at["out"], F.array(at["last"])).alias("out"))
+        return F.aggregate(some, F.struct(begin.alias("last"), F.array().cast("array<bigint>").alias("out")), grow)
+
+    zero = F.lit(0).cast("bigint")
+
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.aggregate(b, zero, op))
+        begins = let(ends, lambda e: run(e, zero)["out"])
+        return let(begins, lambda starts: F.flatten(F.transform(blocks, lambda b, i: run(b, F.get(starts, i))["out"])))
+
+    def cut(v: Column, width: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(v) - 1) / width).cast("int")), lambda b: F.slice(v, b * width + 1, width))
+
+    blocks = lambda v: let(F.ceil(F.sqrt(F.size(v))).cast("int"), lambda width: cut(v, width))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), joined)).otherwise(F.array().cast("array<bigint>")))
+
+
+#: Characters of a block of a long text.
+BLOCK = 4_096
+
+
+def blocks_of(text: Column) -> Column:
+    """A text in blocks of ``BLOCK`` characters, for ``span_of``: the start of a long text isn't read again for each span."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+
+def span_of(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end`` (exclusive) of the text with these blocks."""
+    first, last = (start / BLOCK).cast("int"), (F.greatest(start, end - 1) / BLOCK).cast("int")
+    return F.substr(F.array_join(F.slice(blocks, first + 1, last - first + 1), ""), (start % BLOCK + 1).cast("int"), (end - start).cast("int"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not have."""
     while name in df.columns:
