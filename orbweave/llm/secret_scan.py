@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import let, materialise
+from orbweave.llm.common import before_each, blocks_of, let, materialise, span_of
 
 
 @dataclass(frozen=True)
@@ -105,14 +105,22 @@ def trigram_query(pattern: str) -> Query:
     return tuple(clauses)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """The key of a row in the index, a hash of its id and text, so that null and repeated ids spread.
+
+    Rows that share a key share their candidates, and each is verified on its own text.
+    """
+    return F.xxhash64(id_col, text_col)
+
+
 def postings(docs: DataFrame, id_col: str, text_col: str, trigrams: list[str]) -> DataFrame:
-    """The inverted index for ``trigrams``: ``gram`` (its number) and ``doc``."""
+    """The inverted index for ``trigrams``: ``gram`` (its number) and ``doc`` (a row's key)."""
     grams = F.array(*[F.lit(g) for g in trigrams])
     found = let(
         F.lower(F.coalesce(F.col(text_col), F.lit(""))),
         lambda low: F.filter(F.sequence(F.lit(0), F.lit(len(trigrams) - 1)), lambda k: F.contains(low, F.get(grams, k))),
     )
-    return docs.select(F.col(id_col).alias("doc"), F.explode(found).alias("gram"))
+    return docs.select(row_key(id_col, text_col).alias("doc"), F.explode(found).alias("gram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -> DataFrame:
@@ -161,16 +169,17 @@ def rule_spans(text: Column, rule: Rule) -> Column:
     pattern = F.lit(rule.pattern)
 
     def located(between: Column, found: Column, measured: Column) -> Column:
-        def step(at: Column, i: Column) -> Column:
-            start = at["pos"] + F.length(F.get(between, i))
-            end = start + F.length(F.get(found, i))
-            span = F.array(F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), end.alias("end")))
-            kept = F.length(F.get(measured, i)) >= rule.least
-            return F.struct(end.alias("pos"), F.when(kept, F.concat(at["spans"], span)).otherwise(at["spans"]).alias("spans"))
+        steps = F.transform(found, lambda x, i: (F.length(F.get(between, i)) + F.length(x)).cast("bigint"))
+
+        def spans(before: Column) -> Column:
+            def span(x: Column, i: Column) -> Column:
+                start = F.get(before, i) + F.length(F.get(between, i))
+                return F.struct(F.lit(rule.kind).alias("kind"), start.alias("start"), (start + F.length(x)).alias("end"))
+
+            counts = F.filter(F.transform(found, lambda x, i: F.struct(span(x, i).alias("span"), (F.length(F.get(measured, i)) >= rule.least).alias("kept"))), lambda s: s["kept"])
+            return F.transform(counts, lambda s: s["span"])
 
-        begin = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast(SPAN).alias("spans"))
-        places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(places, begin, step, lambda at: at["spans"])
+        return let(before_each(steps, lambda a, b: a + b), spans)
 
     parts = F.struct(
         F.split(text, rule.pattern, -1).alias("between"),
@@ -184,8 +193,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``docs`` with the column ``out``: spans (kind, start, end) of all secrets.
 
     Spans sort by start, then by the rules' order, then by end. A null or empty
-    text has none. Rows that share an id (or have a null id) share their
-    candidates, each row is verified on its own text; rows are neither lost nor
+    text has none. Null ids and repeated rows are allowed; rows are neither lost nor
     repeated. Other columns pass through; ``out`` replaces one of that name.
     """
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -198,7 +206,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialise(candidates(postings(docs, id_col, text_col, trigrams), rules, trigrams), "secret-candidates")
     found = found.select(F.col("doc").alias("__secret_doc"), F.col("kinds").alias("__secret_kinds"))
     # the candidates grow with the input: one hash join by shuffle at every size, so that no text is sorted
-    joined = docs.join(found.hint("shuffle_hash"), docs[id_col].eqNullSafe(found["__secret_doc"]), "left")
+    joined = docs.join(found.hint("shuffle_hash"), row_key(id_col, text_col) == F.col("__secret_doc"), "left")
     none = F.array().cast(SPAN)
     kinds = F.coalesce(F.col("__secret_kinds"), F.array().cast("array<string>"))
     each = [rule_spans(text, r) for r in full] + [
@@ -209,22 +217,22 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.flatten(F.array(*each)),
         lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
-    spans = F.transform(F.array_sort(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    spans = F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return joined.withColumn(out, spans).drop("__secret_doc", "__secret_kinds")
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by ``[kind]``; overlapping spans become one."""
+    """``text`` with each span replaced by ``[kind]``; overlapping spans become one, named after the first."""
 
-    def step(at: Column, s: Column) -> Column:
-        gap = F.substr(text, (at["pos"] + 1).cast("int"), (s["start"] - at["pos"]).cast("int"))
-        later = F.struct(F.concat(at["out"], gap, F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("pos"))
-        within = F.struct(at["out"].alias("out"), F.greatest(at["pos"], s["end"]).alias("pos"))
-        return F.when(s["start"] >= at["pos"], later).otherwise(within)
+    def written(blocks: Column, reached: Column) -> Column:
+        """``reached``: for each span how far those before it reach."""
+        first = F.filter(F.transform(spans, lambda s, i: F.struct(s["kind"].alias("kind"), F.get(reached, i).alias("from"), s["start"].alias("to"))), lambda p: p["to"] >= p["from"])
+        parts = F.transform(first, lambda p: F.concat(span_of(blocks, p["from"], p["to"]), F.lit("["), p["kind"], F.lit("]")))
+        end = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(parts, ""), span_of(blocks, end, F.greatest(end, F.length(text).cast("bigint"))))
 
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("pos"))
-    done = F.aggregate(spans, begin, step, lambda at: F.concat(at["out"], F.substr(text, (at["pos"] + 1).cast("int"), F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    reached = before_each(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(F.struct(blocks_of(text).alias("b"), reached.alias("r")), lambda x: written(x["b"], x["r"]))).otherwise(text)
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
