@@ -39,7 +39,9 @@ def quality_sql() -> str:
         "echo_ratio": ("n_echoes", "n_words"),
     }
     risk, delta, w = quality_rules.RISK, quality_rules.DELTA, quality_rules.WINDOW
-    grid = ", ".join(f"('{m}', {c}::DOUBLE)" for m, cuts in quality_rules.GRID.items() for c in cuts)
+    grid = ", ".join(f"('{m}', {i}, {c}::DOUBLE)" for m, cuts in quality_rules.GRID.items() for i, c in enumerate(cuts))
+    margins = ", ".join(f"({k}, {g})" for k, g in enumerate(quality_rules.MARGINS))
+    selected = ", ".join(f"'{c}'" for c in quality_rules.SELECTED)
     long = "\n    UNION ALL ".join(
         f"SELECT doc_id, lang, base_failed, '{m}' AS metric, CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END AS ratio FROM f" for m, (a, b) in ratios.items()
     )
@@ -59,12 +61,20 @@ def quality_sql() -> str:
           FROM x LEFT JOIN c USING (doc_id)),
     m AS ({long}),
     good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY 1 HAVING min(quality) = 1 AND max(quality) = 1),
-    h AS (SELECT m.* FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
-    n AS (SELECT lang, metric, cut, count(*) AS n, count(*) FILTER (ratio > cut) AS k FROM h JOIN (VALUES {grid}) g(metric, cut) USING (metric) GROUP BY 1, 2, 3),
-    s AS (SELECT count(*) AS tests FROM n),
-    b AS (SELECT lang, metric, cut, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))) AS p
-          FROM n, unnest(range(0, k + 1)) u(j) WHERE k <= {risk} * n GROUP BY 1, 2, 3),
-    v AS (SELECT lang, metric, min(cut) AS cut FROM b, s WHERE p <= {delta} / tests GROUP BY 1, 2),
+    h AS (SELECT m.*, substr(md5(doc_id::VARCHAR), 1, 1) IN ({selected}) AS selects FROM m JOIN good USING (doc_id) WHERE NOT base_failed),
+    g AS (SELECT * FROM (VALUES {grid}) g(metric, i, cut)),
+    n AS (SELECT lang, metric, i, count(*) FILTER (selects AND ratio > cut) AS k FROM h JOIN g USING (metric) GROUP BY 1, 2, 3),
+    l AS (SELECT lang, metric, min(i) FILTER (k = 0) AS i FROM n GROUP BY 1, 2),
+    c2 AS (SELECT lang, metric, step, cut FROM l JOIN (VALUES {margins}) s(step, margin) ON true JOIN g USING (metric) WHERE g.i = l.i + margin),
+    t AS (SELECT DISTINCT lang, doc_id, step FROM h JOIN (VALUES {margins}) s(step, margin) ON true WHERE NOT selects),
+    e AS (SELECT DISTINCT h.lang, doc_id, step FROM h JOIN c2 ON h.metric = c2.metric AND h.lang IS NOT DISTINCT FROM c2.lang WHERE NOT selects AND ratio > cut),
+    j AS (SELECT t.lang, t.step, count(*) AS n, count(e.doc_id) AS k FROM t LEFT JOIN e ON t.doc_id = e.doc_id AND t.step = e.step GROUP BY 1, 2),
+    b AS (SELECT lang, step, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))) AS p
+          FROM j, unnest(range(0, k + 1)) u(j) WHERE k <= {risk} * n GROUP BY 1, 2),
+    y AS (SELECT j.lang, j.step, coalesce(p <= {delta} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)), false) AS ok
+          FROM j LEFT JOIN b ON j.step = b.step AND j.lang IS NOT DISTINCT FROM b.lang),
+    w AS (SELECT lang, max(step) AS step FROM (SELECT *, bool_and(ok) OVER (PARTITION BY lang ORDER BY step) AS all_ok FROM y) WHERE all_ok GROUP BY 1),
+    v AS (SELECT c2.* FROM c2 JOIN w ON c2.step = w.step AND c2.lang IS NOT DISTINCT FROM w.lang),
     bad AS (SELECT DISTINCT doc_id FROM m JOIN v ON m.metric = v.metric AND m.lang IS NOT DISTINCT FROM v.lang WHERE ratio > cut)
     SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.doc_id IS NULL AS kept
     FROM f LEFT JOIN bad ON f.doc_id = bad.doc_id"""

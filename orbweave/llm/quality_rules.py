@@ -1,12 +1,21 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-Counts per text give ratios for which higher is worse. For each stratum (a
-language, say) and each ratio a fixed grid of cutoffs is tested on labelled
-documents: a cutoff is certified if an exact binomial test rejects "more than
-``risk`` of the good documents exceed it". All tests of all strata share the
-error ``delta`` (Bonferroni), so with probability 1 - ``delta`` every certified
-cutoff keeps its promise. A document is rejected if a ratio exceeds the lowest
-certified cutoff of its stratum; a stratum without enough labels has none.
+Counts per text give ratios for which higher is worse. In each stratum (a language,
+say) the labelled good documents are split by a hash of their id:
+
+1. On the ``SELECTED`` part the lowest cutoff of each ratio's grid that no document
+   exceeds is looked up.
+2. The cutoffs one level and two levels above those are tested jointly on the other
+   part, the looser set first: a set is certified if an exact binomial test rejects
+   "more than ``risk`` of the good documents exceed one of its cutoffs". The next set
+   is tested only if the one before it was certified (fixed sequence), and the strata
+   share the error ``delta`` (Bonferroni).
+
+So with probability 1 - ``delta`` at most ``risk`` of the good documents of any stratum
+that pass the base rules are rejected by its cutoffs, all ratios together. A stratum
+with s strata beside it needs log(delta / (s + 1)) / log(1 - risk) good documents in the
+tested part at least (144 of four strata); with fewer it has no cutoff, and only the
+base rules reject.
 """
 
 from __future__ import annotations
@@ -33,21 +42,27 @@ GRID: dict[str, tuple[float, ...]] = {
     "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.25),
     "echo_ratio": (0.05, 0.1, 0.2, 0.3, 0.5),
 }
-RISK = 0.005
+RISK = 0.03
 DELTA = 0.05
+#: Levels above the lowest cutoff that no selected document exceeds, in the order of the tests.
+MARGINS = (2, 1)
+#: A document selects cutoffs if its id's MD5 begins with one of these digits; otherwise it tests them.
+SELECTED = ("0", "1", "2", "3")
+#: The cutoffs of so many strata at most are broadcast.
+MOST_STRATA = 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _without(text: Column, characters: str) -> Column:
-    """``text`` without the given characters."""
-    return F.translate(text, characters, "")
+def _count(text: Column, characters: str) -> Column:
+    """How many of the given characters ``text`` has."""
+    return F.length(F.regexp_replace(text, "[^" + "".join("\\" + c if not c.isalnum() else c for c in characters) + "]+", ""))
 
 
 def repeated_words(ws: Column, window: int = WINDOW) -> Column:
     """How many words lie in windows that occur twice or more in the text.
 
-    Windows are compared by 64-bit hash. Texts without a repeated window, nearly
-    all, need no sorting.
+    Windows (of a power of two words) are compared by 64-bit hash, which is made from
+    those of their halves. Texts without a repeated window, nearly all, need no sorting.
     """
 
     def covered(starts: Column) -> Column:
@@ -66,8 +81,13 @@ def repeated_words(ws: Column, window: int = WINDOW) -> Column:
         any_twice = F.size(F.array_distinct(hashes)) < F.size(hashes)
         return F.when(any_twice, let(let(keyed, starts_of), covered)).otherwise(F.lit(0))
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - window + 1), lambda i: F.xxhash64(F.slice(ws, i, window)))
-    return F.when(F.size(ws) > window, let(hashes, counted)).otherwise(F.lit(0))
+    def doubled(halves: Column, size: int) -> Column:
+        """Counts over windows of ``window`` words, given the hashes of those of ``size`` words."""
+        if size == window:
+            return let(F.slice(halves, 1, F.size(ws) - window + 1), counted)
+        return let(F.transform(halves, lambda h, i: F.xxhash64(h, F.get(halves, i + size))), lambda x: doubled(x, 2 * size))
+
+    return F.when(F.size(ws) > window, let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: doubled(h, 1))).otherwise(F.lit(0))
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,18 +98,18 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def counts(ws: Column, lines: Column) -> Column:
-        word_chars = F.length(_without(text, SPACES))
-        with_words = F.filter(lines, lambda x: _without(x, SPACES) != "")
+        word_chars = F.length(F.translate(text, SPACES, ""))
+        with_words = F.filter(lines, lambda x: F.btrim(x, F.lit(SPACES)) != "")
         echoes = F.filter(ws, lambda w, i: F.coalesce(F.get(ws, i - 1) == w, F.lit(False)))
         n = {
             "n_words": F.size(ws),
             "word_chars": word_chars,
-            "n_symbols": F.length(text) - F.length(_without(text, SYMBOLS)),
+            "n_symbols": _count(text, SYMBOLS),
             "n_dup_lines": let(with_words, lambda x: F.size(x) - F.size(F.array_distinct(x))),
             "n_repeat_words": repeated_words(ws),
             "n_lines": F.size(with_words),
-            "n_upper": F.length(text) - F.length(_without(text, UPPER)),
-            "n_exclaims": F.length(text) - F.length(_without(text, "!")),
+            "n_upper": _count(text, UPPER),
+            "n_exclaims": _count(text, "!"),
             "n_echoes": F.size(echoes),
         }
         return F.struct(*[c.cast("bigint").alias(k) for k, c in n.items()])
@@ -134,8 +154,8 @@ def fit_cutoffs(
 ) -> DataFrame:
     """``stratum`` and the array ``cutoffs`` in the order of GRID (null: none certified).
 
-    The holdout is every labelled good document (label 1) that passes the base
-    rules. Documents with conflicting or null labels are left out of it.
+    The good documents are those labelled 1 that pass the base rules. Documents with
+    conflicting or null labels are left out. The labelled ones are written once.
     """
     good = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
@@ -143,33 +163,59 @@ def fit_cutoffs(
         .agg(F.min(label_col).alias("__low"), F.max(label_col).alias("__high"))
         .where((F.col("__low") == 1) & (F.col("__high") == 1))
     )
+    ratios = F.array(*[F.col("quality")[m] for m in GRID])
     held = (
         measured.where(~F.col("quality.base_failed"))
-        .select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("stratum"), "quality")
+        .select(F.col(id_col).alias("__id"), F.col(stratum_col).alias("stratum"), ratios.alias("ratios"))
         .join(good, "__id", "left_semi")
+        .select("stratum", "ratios", F.substr(F.md5(F.col("__id").cast("string")), F.lit(1), F.lit(1)).isin(*SELECTED).alias("selects"))
     )
-    over = [F.count_if(F.col("quality")[m] > c).alias(f"{m}_{i}") for m, grid in GRID.items() for i, c in enumerate(grid)]
-    counts = materialise(held.groupBy("stratum").agg(F.count("*").alias("n"), *over), "quality-holdout")
-    tests = max(1, counts.count()) * sum(len(g) for g in GRID.values())
+    held = materialise(held, "quality-holdout")
+
+    def level(at: int, grid: tuple[float, ...]) -> Column:
+        """The lowest level that no selecting document exceeds."""
+        over = lambda cut: F.count_if(F.col("selects") & (F.get("ratios", F.lit(at)) > cut))
+        return F.coalesce(*[F.when(over(cut) == 0, F.lit(i)) for i, cut in enumerate(grid)], F.lit(None).cast("int"))
+
+    levels = held.groupBy("stratum").agg(*[level(at, grid).alias(m) for at, (m, grid) in enumerate(GRID.items())])
+    cuts = lambda margin: F.array(*[F.get(F.array(*map(F.lit, grid)), F.col(m) + margin) for m, grid in GRID.items()])
+    sets = materialise(levels.select("stratum", *[cuts(g).alias(f"set_{g}") for g in MARGINS]), "quality-sets")
+    strata = sets.count()
+    joined = _with_strata(held.where(~F.col("selects")), "stratum", sets, strata)
+    counts = joined.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(_exceeds(F.col("ratios"), F.col(f"set_{g}"))).alias(f"k_{g}") for g in MARGINS])
+
+    def certified(k: Column) -> Column:
+        return (k <= risk * F.col("n")) & (binomial_cdf(k, F.col("n"), risk) <= delta / max(1, strata))
 
-    def lowest(metric: str, grid: tuple[float, ...]) -> Column:
-        def certified(i: int) -> Column:
-            k = F.col(f"{metric}_{i}")
-            return (k <= risk * F.col("n")) & (binomial_cdf(k, F.col("n"), risk) <= delta / tests)
+    chosen = F.lit(None).cast("array<double>")
+    for g in reversed(MARGINS):
+        chosen = F.when(certified(F.col(f"k_{g}")), F.coalesce(chosen, F.col(f"set_{g}")))
+    return _with_strata(sets, "stratum", counts, strata).select("stratum", F.coalesce(chosen, F.array_repeat(F.lit(None).cast("double"), len(GRID))).alias("cutoffs"))
 
-        return F.coalesce(*[F.when(certified(i), F.lit(c)) for i, c in enumerate(grid)], F.lit(None).cast("double"))
 
-    return counts.select("stratum", F.array(*[lowest(m, g) for m, g in GRID.items()]).alias("cutoffs"))
+def _with_strata(df: DataFrame, stratum_col: str, strata: DataFrame, rows: int) -> DataFrame:
+    """``df`` with the columns of its stratum's row of ``strata`` (of ``rows`` rows): a broadcast if they are few."""
+    own = strata.withColumnRenamed("stratum", "__stratum")
+    return df.join(F.broadcast(own) if rows <= MOST_STRATA else own, df[stratum_col].eqNullSafe(own["__stratum"]), "left").drop("__stratum")
+
+
+def _exceeds(ratios: Column, cutoffs: Column) -> Column:
+    """Whether a ratio is above its cutoff; a null cutoff sets no limit."""
+    out = F.lit(False)
+    for at in range(len(GRID)):
+        out = out | F.coalesce(F.get(ratios, F.lit(at)) > F.get(cutoffs, F.lit(at)), F.lit(False))
+    return out
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum_col: str = "lang") -> DataFrame:
-    """``measured`` with ``kept``: passes the base rules and exceeds no certified cutoff."""
-    limits = cutoffs.select(F.col("stratum").alias("__stratum"), F.col("cutoffs").alias("__cutoffs"))
-    joined = measured.join(limits, measured[stratum_col].eqNullSafe(limits["__stratum"]), "left")
-    exceeds = F.lit(False)
-    for i, metric in enumerate(GRID):
-        exceeds = exceeds | F.coalesce(F.col("quality")[metric] > F.get("__cutoffs", F.lit(i)), F.lit(False))
-    return joined.withColumn("kept", ~F.col("quality.base_failed") & ~exceeds).drop("__stratum", "__cutoffs")
+    """``measured`` with ``kept``: passes the base rules and exceeds no certified cutoff.
+
+    ``cutoffs``, a row a stratum, is written and counted, then joined.
+    """
+    limits = materialise(cutoffs.select("stratum", F.col("cutoffs").alias("__cutoffs")), "quality-cutoffs")
+    joined = _with_strata(measured, stratum_col, limits, limits.count())
+    ratios = F.array(*[F.col("quality")[m] for m in GRID])
+    return joined.withColumn("kept", ~F.col("quality.base_failed") & ~_exceeds(ratios, F.col("__cutoffs"))).drop("__cutoffs")
 
 
 def quality_rules(
