@@ -1,13 +1,20 @@
 """License scanning by sentences, in DataFrame operations only.
 
-A text is cut into sentences, sentences are normalised (lower case, letters,
-digits and single spaces) and mapped to identifiers of known licence sentences;
-licence rules, longest first, are then matched against the sequence of
-identifiers, and what a rule has used is not used again.
+Comment marks at the begins of lines are taken away, the text is cut into sentences,
+sentences are normalised (lower case, letters, digits and single spaces) and mapped to
+identifiers of known licence sentences; licence rules, longest first, are then matched
+against the sequence of identifiers, and what a rule has used is not used again.
+
+A sentence ends at its mark, an empty line, or before a line that begins as a licence
+does; it may be wrapped at any width. If it isn't known, it is cut before each line that
+begins with a capital, as headings and lists have no mark at their ends; its parts stand
+for it if one of them is known.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +54,27 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("MPL2_REF", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("MPL2_COPY", "if a copy of the mpl was not distributed with this file you can obtain one at *"),
     ("UNLICENSE", "this is free and unencumbered software released into the public domain"),
-    ("SPDX_MIT", "spdx license identifier mit"),
-    ("SPDX_APACHE2", "spdx license identifier apache 2 0"),
-    ("SPDX_BSD3", "spdx license identifier bsd 3 clause"),
-    ("SPDX_GPL3", "spdx license identifier gpl 3 0 *"),
     ("COPYRIGHT", "copyright * all rights reserved"),
+    ("BSD_LIABILITY", "in no event shall the copyright * be liable for any direct indirect incidental *"),
+    ("AGPL_GRANT", "* redistribute it and or modify it under the terms of the gnu affero general public license *"),
+    ("AGPL_COPY", "you should have received a copy of the gnu affero general public license *"),
+    ("ZLIB_WARRANTY", "this software is provided as is without any express or implied warranty *"),
+    ("ZLIB_GRANT", "permission is granted to anyone to use this software for any purpose *"),
+    ("BOOST_GRANT", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software *"),
+    ("EPL2_REF", "* made available under the terms of the eclipse public license 2 0 *"),
+    ("CC_BY_ND_REF", "licensed under cc by nd 4 0"),
+    ("MIT_REF", "* licensed under the terms of the mit license"),
+    ("APACHE2_REF", "* released under the apache license version 2 0"),
+    ("BSD3_REF", "* licensed under the bsd 3 clause license"),
 )
 
+#: Licences that have a short identifier of their own in SPDX lines.
+SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT",
+    "MIT-0", "MPL-2.0", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
+)
+
 #: Licences and the ordered identifiers that show them; tried in this order.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD-3-Clause", ("BSD_GRANT", "BSD_SOURCE", "BSD_BINARY", "BSD_ENDORSE", "BSD_WARRANTY")),
@@ -71,7 +92,6 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("GPL", ("GPL_GRANT",)),
     ("LGPL", ("LGPL_GRANT",)),
     ("MIT", ("MIT_REF",)),
-    ("MIT", ("SPDX_MIT",)),
     ("CC-BY-NC-4.0", ("CC_BY_NC_REF",)),
     ("CC-BY-SA-4.0", ("CC_BY_SA_REF",)),
     ("CC-BY-4.0", ("CC_BY_REF",)),
@@ -79,23 +99,57 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("BSD", ("BSD_REF",)),
     ("MPL-2.0", ("MPL2_REF",)),
     ("Unlicense", ("UNLICENSE",)),
-    ("Apache-2.0", ("SPDX_APACHE2",)),
-    ("BSD-3-Clause", ("SPDX_BSD3",)),
-    ("GPL-3.0", ("SPDX_GPL3",)),
+    ("AGPL", ("AGPL_GRANT", "GPL_WARRANTY", "AGPL_COPY")),
+    ("AGPL", ("AGPL_GRANT",)),
+    ("Zlib", ("ZLIB_WARRANTY", "ZLIB_GRANT")),
+    ("BSL-1.0", ("BOOST_GRANT",)),
+    ("EPL-2.0", ("EPL2_REF",)),
+    ("CC-BY-ND-4.0", ("CC_BY_ND_REF",)),
+    ("BSD-3-Clause", ("BSD3_REF",)),
 )
 
-#: Each known sentence holds one of these; only sentences that do are normalised.
+
+def spdx_identifier(licence: str) -> str:
+    """The identifier of the sentence that names a licence in an SPDX line."""
+    return "SPDX_" + re.sub("[^A-Z0-9]+", "_", licence.upper())
+
+
+def known_sentences() -> tuple[tuple[str, str], ...]:
+    return SENTENCES + tuple((spdx_identifier(x), "spdx license identifier " + re.sub("[^a-z0-9]+", " ", x.lower())) for x in SPDX)
+
+
+def known_rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
+    return RULES + tuple((x, (spdx_identifier(x),)) for x in SPDX)
+
+
+
+#: Each known sentence holds one of these; only sentences that do are listed.
 KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\s+domain|mpl\s+was\s+not"
+#: The same for text in which comment marks may stand between two words.
+RAW_KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\W+domain|mpl\W+was\W+not"
 UNKNOWN = "UNKNOWN"
-#: A sentence ends at its mark before white space, at an empty line, or at a line end before a capital and small letter.
-SENTENCE_END = r"(?<=[.!?;])\s+|\n\s*\n|\n(?=\s*\p{Lu}\p{Ll})"
+#: Marks of comments at the begin of a line, and the end of a block comment.
+COMMENT_MARKS = r"(?m)^[ \t]*(?://+!?|#+|;+|--+|%+|/\*+|\*+/|\*+|<!--)[ \t]*|\*+/[ \t]*$|-->[ \t]*$"
+#: How a line begins that begins a sentence of a licence, whatever stands before it.
+LINE_BEGINS = (
+    r"licensed under|released under|this (?:work|program|file|software|project|library|code) is|spdx-license|copyright (?:\(c\)|©|[0-9])|permission (?:is|to)|redistribution and use"
+    "|redistributions (?:of|in)|unless required|you (?:may|should have)|the above copyright notice and|the software is provided|in no event shall|neither the name"
+)
+#: A sentence ends at its mark before white space (but not before a number, nor within a copyright line),
+#: at an empty line, or before a line that begins as above.
+SENTENCE_END = rf"(?<=[.!?;])\s+(?![0-9]|(?i:all\s+rights\s+reserved))|\n\s*\n|\n(?=\s*(?i:{LINE_BEGINS}))"
+#: Where a sentence that isn't known is cut.
+LINE_END = r"\n(?=\s*\p{Lu}\p{Ll})"
+#: Characters that an asterisk between words stands for at most.
+MOST_BETWEEN = 400
 #: Between two identifiers of a rule so many others may stand.
 GAP = 2
 
 
 def sentence_pattern(sentence: str) -> str:
     """The regular expression of a known sentence, anchored at both ends."""
-    return "^" + sentence.replace(" *", "( .*)?").replace("* ", "(.* )?").replace("( .*)? ", "( .*)? ") + "$"
+    inner = sentence.removeprefix("* ").removesuffix(" *").replace(" * ", "(?: .{0,%d})? " % MOST_BETWEEN)
+    return "^" + "(?:.* )?" * sentence.startswith("* ") + inner + "(?: .*)?" * sentence.endswith(" *") + "$"
 
 
 def normalise(sentence: Column) -> Column:
@@ -104,7 +158,7 @@ def normalise(sentence: Column) -> Column:
 
 def identify(normalised: Column) -> Column:
     """The identifier of a normalised sentence; UNKNOWN if there is none."""
-    out = F.coalesce(*[F.when(normalised.rlike(sentence_pattern(s)), F.lit(k)) for k, s in SENTENCES], F.lit(UNKNOWN))
+    out = F.coalesce(*[F.when(normalised.rlike(sentence_pattern(s)), F.lit(k)) for k, s in known_sentences()], F.lit(UNKNOWN))
     return out
 
 
@@ -112,7 +166,7 @@ def match_rules(ids: Column) -> Column:
     """The licences that the sequence of identifiers shows, in order of their place."""
     # " A B C " with a licence written as "=MIT" where its identifiers stood
     line = F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
-    for name, seq in RULES:
+    for name, seq in known_rules():
         gap = r"(?: (?!=)\S+){0,%d}?" % GAP
         line = F.regexp_replace(line, r"(?<= )" + (gap + " ").join(seq) + r"(?= )", "=" + name)
     return F.transform(F.filter(F.split(line, " ", -1), lambda x: x.startswith("=")), lambda x: F.substr(x, F.lit(2)))
@@ -128,13 +182,21 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     they are; further columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyword = f"(?i){KEYWORDS}"
+    likely = lambda parts: F.filter(parts, lambda s: s.rlike(f"(?i){KEYWORDS}"))
+    identified = lambda parts: F.transform(likely(parts), lambda s: let(normalise(s), identify))
+
+    def of_sentence(sentence: Column) -> Column:
+        def or_parts(known: Column) -> Column:
+            parts = let(identified(F.split(sentence, LINE_END, -1)), lambda x: F.when(F.exists(x, lambda k: k != UNKNOWN), x).otherwise(F.array(F.lit(UNKNOWN))))
+            return F.when((known != UNKNOWN) | ~sentence.rlike(LINE_END), F.array(known)).otherwise(parts)
+
+        return let(let(normalise(sentence), identify), or_parts)
 
     def ids(whole: Column) -> Column:
-        likely = F.filter(F.split(whole, SENTENCE_END, -1), lambda s: s.rlike(keyword))
-        return F.transform(likely, lambda s: let(normalise(s), identify))
+        plain = F.regexp_replace(whole, COMMENT_MARKS, "")
+        return F.flatten(F.transform(likely(F.split(plain, SENTENCE_END, -1)), of_sentence))
 
     none = F.array().cast("array<string>")
-    found = F.when(text.rlike(keyword), ids(text)).otherwise(none)
+    found = F.when(text.rlike(f"(?i){RAW_KEYWORDS}"), ids(text)).otherwise(none)
     result = let(found, lambda x: F.struct(x.alias("sentences"), F.when(F.size(x) > 0, match_rules(x)).otherwise(none).alias("licenses")))
     return docs.select(F.col(id_col).alias("doc_id"), result.alias("__scan")).select("doc_id", "__scan.sentences", "__scan.licenses")
