@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.functions.vectors import doubles, l2sq
+from orbweave.functions.vectors import doubles
 from orbweave.operators.knn import as_matrix, assign_lists, kmeans, sample_matrix, squared_distances
 from orbweave.operators.running import running_sums
+from orbweave.sources.store import materialise
+
+#: Rows of a slice that one task reduces.
+SLICE_ROWS = 4_096
 
 
 def _numbered(df: DataFrame, order: str) -> DataFrame:
@@ -86,21 +90,29 @@ def k_centre(x: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
-def k_centre_coreset(df: DataFrame, group: str, k: int, id_col: str = "vec_id", embedding: str = "embedding", parts: int = 8) -> DataFrame:
-    """Per group ``k`` rows by greedy farthest-first, in two rounds.
+def k_centre_coreset(df: DataFrame, group: str, k: int, id_col: str = "vec_id", embedding: str = "embedding", rows: int = SLICE_ROWS) -> DataFrame:
+    """Per group ``k`` rows by greedy farthest-first, in as many rounds as the groups need.
 
-    Each of ``parts`` slices of a group (by hash of the id) is reduced to ``k`` rows,
-    then the union of those is reduced again: the usual composable coreset, within
-    a constant factor of the one-round result, and no group is gathered whole.
+    A group is cut into slices of about ``rows`` rows by a hash of the id; each is reduced
+    to ``k`` rows, and the union of those is reduced again until a group is one slice: the
+    usual composable coreset, within a constant factor of the one-round result.
     """
-    rows = df.select(group, id_col, embedding).withColumn("slice", F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int"))
+    if 2 * k > rows:
+        raise ValueError(f"{k} rows of each slice of {rows} make no progress")
+    left = df.select(group, id_col, embedding)
+    schema = left.schema
 
     def reduce_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        return pdf.iloc[k_centre(np.stack(pdf[embedding].to_numpy()).astype(float), k)]
+        return pdf.iloc[k_centre(np.stack(pdf[embedding].to_numpy()).astype(float), k)][schema.names]
 
-    first = rows if parts == 1 else rows.groupBy(group, "slice").applyInPandas(reduce_rows, rows.schema)
-    return first.groupBy(group).applyInPandas(reduce_rows, rows.schema).drop("slice")
+    while True:
+        largest = left.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+        parts = -(-largest // rows)
+        if parts <= 1:
+            return left.groupBy(group).applyInPandas(reduce_rows, schema)
+        sliced = left.withColumn("__slice", F.pmod(F.xxhash64(id_col), F.lit(parts)))
+        left = materialise(sliced.groupBy(group, "__slice").applyInPandas(reduce_rows, schema), "k-centre")
 
 
 def principal_axes(df: DataFrame, embedding: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,16 +163,29 @@ def project(df: DataFrame, mean: np.ndarray, axes: np.ndarray, embedding: str =
     return df.where(F.col(embedding).isNotNull()).mapInArrow(turn, schema)
 
 
-def kmeans_coreset(df: DataFrame, share: float, dims: int = 50, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42) -> DataFrame:
-    """The actual row nearest to each of int(share * n) centroids, in at most ``dims`` principal dimensions."""
+def kmeans_coreset(df: DataFrame, share: float, dims: int = 50, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, cells: int = 16, rows: int = SLICE_ROWS, seed: int = 42) -> DataFrame:
+    """The actual rows nearest to about share * n centroids, in at most ``dims`` principal dimensions.
+
+    ``cells`` centroids of a bounded sample part the rows coarsely; a cell is cut into
+    slices of about ``rows`` rows by a hash of the id, and each slice has k-means of its own
+    for its share of the centroids. So a task holds one slice, whatever the size.
+    """
     mean, axes, _ = principal_axes(df, embedding)
     reduced = project(df.select(id_col, embedding), mean, axes[:dims], embedding)
-    k = max(1, int(share * df.count()))
-    centres = kmeans(sample_matrix(reduced, embedding, max(train_rows, k), seed), k, seed=seed)
+    cells = max(1, min(cells, int(share * df.count()) // 4))
+    centres = kmeans(sample_matrix(reduced, embedding, train_rows, seed), cells, seed=seed)
     own = assign_lists(reduced, centres, 1, embedding)
-    table = df.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list_id int, centre array<double>")
-    near = own.join(table, "list_id").withColumn("d2", l2sq(F.col(embedding), F.col("centre")))
-    chosen = near.groupBy("list_id").agg(F.min(F.struct("d2", id_col)).alias("b")).select(F.col(f"b.{id_col}").alias(id_col))
+    slices = own.groupBy("list_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("__n"))
+    # a row a cell: at most ``cells``
+    keyed = own.join(F.broadcast(slices), "list_id").withColumn("__slice", F.pmod(F.xxhash64(id_col), F.col("__n")))
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col).reset_index(drop=True)
+        x = np.stack(pdf[embedding].to_numpy()).astype(float)
+        found = kmeans(x, max(1, int(share * len(x))), seed=seed)
+        return pdf.iloc[np.unique(squared_distances(x, found).argmin(0))][[id_col]]
+
+    chosen = keyed.groupBy("list_id", "__slice").applyInPandas(choose, df.select(id_col).schema)
     return df.join(chosen.distinct(), id_col, "left_semi")
 
 

@@ -59,6 +59,36 @@ def exact_knn(
     return _merged(parts, k, q.sparkSession)
 
 
+def self_nearest(df: DataFrame, group: str, id_col: str = "vec_id", embedding: str = "embedding", rows: int = BLOCK) -> DataFrame:
+    """``group``, ``id_col`` and ``d2``, the least squared distance to another row of the group; rows without one are left out.
+
+    A group is cut into slices of about ``rows`` rows by a hash of the id. Each pair of
+    slices meets in a task of its own, so no group, however hot, is gathered; the work
+    grows with the square of a group, as an exact search must.
+    """
+    known = df.where(F.col(embedding).isNotNull() & F.col(group).isNotNull()).select(group, id_col, embedding)
+    slices = known.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("int").alias("__n"))
+    keyed = known.join(slices, group).withColumn("__own", F.pmod(F.xxhash64(id_col), F.col("__n")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    asking = keyed.select(group, F.col("__own").alias("__a"), others.alias("__b"), id_col, embedding, F.lit(True).alias("__asks"))
+    asked = keyed.select(group, others.alias("__a"), F.col("__own").alias("__b"), id_col, embedding, F.lit(False).alias("__asks"))
+
+    def search(table: pa.Table) -> pa.Table:
+        asks = table["__asks"].to_numpy()
+        ids, x = table[id_col].to_numpy(), as_matrix(table[embedding])
+        best = np.full(int(asks.sum()), np.inf)
+        for at in range(0, int((~asks).sum()), 1024):
+            d = squared_distances(x[asks], x[~asks][at : at + 1024])
+            d[ids[asks][:, None] == ids[~asks][None, at : at + 1024]] = np.inf
+            best = np.minimum(best, d.min(1))
+        there = np.isfinite(best)
+        return pa.table({group: table[group].filter(pa.array(asks)).filter(pa.array(there)), id_col: pa.array(ids[asks][there]), "d2": pa.array(best[there])})
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (group, id_col))
+    found = asking.unionByName(asked).groupBy(group, "__a", "__b").applyInArrow(search, f"{kinds}, d2 double")
+    return found.groupBy(group, id_col).agg(F.min("d2").alias("d2"))
+
+
 def _merged(parts: list[DataFrame], k: int, spark: SparkSession) -> DataFrame:
     """The best ``k`` of the tasks' results for each query."""
     empty = "query_id long, neighbour_id long, d2 double, part int"

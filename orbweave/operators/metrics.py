@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +116,72 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ranked = average_ranks(average_ranks(both, "x", "rx"), "y", "ry")
     return ranked.agg(F.corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / max(tiny, 1 - (a + b) * x / (a + 1), key=abs)
+    out = d
+    for m in range(1, 300):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / (max(tiny, 1 + step * d, key=abs))
+            c = max(tiny, 1 + step / c, key=abs)
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return out
+
+
+def correlation_p_value(rho: float, n: int) -> float | None:
+    """The two-sided p-value of a rank correlation over ``n`` pairs, by Student's distribution; None below three pairs."""
+    if n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    a, x = (n - 2) / 2, 1 - rho * rho
+    front = math.exp(math.lgamma(a + 0.5) - math.lgamma(a) - math.lgamma(0.5) + a * math.log(x) + 0.5 * math.log1p(-x))
+    if x < (a + 1) / (a + 2.5):
+        return front * _beta_fraction(a, 0.5, x) / a
+    return 1 - front * _beta_fraction(0.5, a, 1 - x) / 0.5
+
+
+def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
+    """``rho``, ``n`` and ``p_value`` of a rank correlation, in one row."""
+    row = spearman(df, x, y).first()
+    p = None if row.rho is None else correlation_p_value(row.rho, row.n)
+    return df.sparkSession.createDataFrame([(row.rho, row.n, p)], "rho double, n long, p_value double")
+
+
+def first_recycled(df: DataFrame, order: str, n: int) -> DataFrame:
+    """``n`` rows in ``order`` (a unique column), with their ``place``; a table with fewer is gone through again."""
+    rows = df.count()
+    if not rows or n <= 0:
+        return df.withColumn("place", F.lit(0).cast("long")).limit(0)
+    first = df.orderBy(order).limit(n)  # n rows at most are numbered in one task
+    numbered = first.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
+    places = F.sequence(F.col("__n").cast("long"), F.lit(n - 1).cast("long"), F.lit(rows).cast("long"))
+    return numbered.withColumn("place", F.explode(places)).drop("__n")
+
+
+def pro_area_over_scores(pixels: DataFrame, score: str, region: str, image: str, cap: float = 0.3) -> DataFrame:
+    """One row: the area under the regions' mean overlap with every distinct score as a threshold.
+
+    The false positive rate goes up to ``cap``; the area is divided by the highest rate
+    reached or by ``cap``, whichever is more. ``region`` is 0 outside regions. Null
+    without regions or without pixels outside them.
+    """
+    sizes = pixels.where(F.col(region) > 0).groupBy(image, region).agg(F.count("*").alias("__size"))
+    marked = pixels.where(F.col(region) > 0).join(sizes, [image, region]).select(F.col(score).cast("double").alias("s"), F.lit(0).cast("long").alias("fp"), (1 / F.col("__size")).alias("part"))
+    clean = pixels.where(F.col(region) == 0).select(F.col(score).cast("double").alias("s"), F.lit(1).cast("long").alias("fp"), F.lit(0.0).alias("part"))
+    by_score = marked.unionByName(clean).groupBy("s").agg(F.sum("fp").alias("fp"), F.sum("part").alias("part")).withColumn("falling", -F.col("s"))
+    n_clean, n_regions = by_score.agg(F.sum("fp")).first()[0] or 0, sizes.count()
+    if not n_clean or not n_regions:
+        return pixels.sparkSession.createDataFrame([(None,)], "pro_auc double")
+    above = running_sums(by_score, "falling", {"fp_above": "fp", "part_above": "part"})
+    # each threshold adds the strip between the point before it and its own
+    x0, x1 = F.col("fp_above") / n_clean, (F.col("fp_above") + F.col("fp")) / n_clean
+    y0, y1 = F.col("part_above") / n_regions, (F.col("part_above") + F.col("part")) / n_regions
+    inside = above.where(x1 <= cap)
+    area = inside.agg(F.sum((x1 - x0) * (y0 + y1) / 2).alias("a"), F.max(x1).alias("last"))
+    return area.select((F.col("a") / F.greatest(F.col("last"), F.lit(cap))).alias("pro_auc"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orbweave.functions import vectors as V
 from orbweave.operators import diagnostics, knn
+from orbweave.operators.evaluation import bank_distances
 from orbweave.operators.metrics import auroc
 from orbweave.plans.registry import query
 from orbweave.sources.tables import load, patches, vector_faults
@@ -134,12 +135,10 @@ def slice_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def patch_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test patches with the squared distance to the nearest support patch.
 
-    The support patches are the smaller side: they take the part of the base, and the
-    test patches go to them in blocks.
+    The support patches, the smaller side, go to the test patches in blocks.
     """
     support, test = slice_parts(spark, sf_dir)
-    found = knn.exact_knn(test, support, 1).select(F.col("query_id").alias("vec_id"), "d2")
-    return test.join(found, "vec_id")
+    return bank_distances(test, support, []).where("d2 is not null")
 
 
 def image_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,10 +174,7 @@ def golden_slice_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nndv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance of nearest-neighbour distances within each label, the vector itself left out."""
     e = embeddings(spark, sf_dir).where(F.col("label").isNotNull())
-    # neighbours of the same label, other than the vector itself: the nearest two, one of which is itself
-    found = knn.exact_knn(e, e, 2, group="label").where(F.col("neighbour_id") != F.col("query_id"))
-    near = found.groupBy(F.col("query_id").alias("vec_id")).agg(F.min("d2").alias("d2"))
-    return near.join(e, "vec_id").groupBy("label").agg(F.count("*").alias("n"), F.round(F.var_pop(F.sqrt("d2")), 6).alias("nndv"))
+    return knn.self_nearest(e, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.var_pop(F.sqrt("d2")), 6).alias("nndv"))
 
 
 @query()

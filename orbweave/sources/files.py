@@ -86,3 +86,54 @@ def write_csv(df: DataFrame, path: str, append: bool = False, single_file: bool
 def unfinished(grid: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of a grid of experiments that have no result yet."""
     return grid.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+def numbered_files(files: DataFrame, pattern: str, path: str = "path") -> DataFrame:
+    """``rank`` and path of the files whose name matches ``pattern`` (its first group is the number); others go.
+
+    Of several files of a rank the last by path counts.
+    """
+    name = F.element_at(F.split(path, "/"), -1)
+    rank = F.regexp_extract(name, pattern, 1).try_cast("int")
+    return files.where(name.rlike(pattern)).select(rank.alias("rank"), path).where("rank is not null").groupBy("rank").agg(F.max(path).alias(path))
+
+
+def exactly(paths: list[str], n: int) -> list[str]:
+    """``paths`` if they are ``n`` different ones; ValueError otherwise."""
+    if len(set(paths)) != n:
+        raise ValueError(f"{n} input files are needed, not {len(set(paths))}")
+    return paths
+
+
+def split_table(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """All split CSV files below ``root``, with the ``category`` that begins each image's path."""
+    found = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
+    return found.withColumn("category", F.split_part("image", F.lit("/"), F.lit(1)))
+
+
+def size_ratio(files: DataFrame, of: Column, to: Column, n_bytes: str = "n_bytes") -> DataFrame:
+    """Megabytes of two kinds of files and the first's multiple of the second (null if that is nothing)."""
+    mb = lambda kind: F.coalesce(F.sum(F.when(kind, F.col(n_bytes))), F.lit(0)) / 1e6
+    return files.agg(mb(of).alias("mb"), mb(to).alias("mb_other")).select("*", (F.col("mb") / F.nullif(F.col("mb_other"), F.lit(0.0))).alias("ratio"))
+
+
+def gaussian_vectors(spark: SparkSession, n: int, width: int, seed: int) -> DataFrame:
+    """``n`` vectors of standard normal values (Box and Muller's) that depend on id, place and seed only.
+
+    So they are the same however Spark deals out the rows.
+    """
+    share = lambda salt, i: (F.pmod(F.xxhash64(F.col("vec_id"), i, F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 1) / float(1 << 40)
+    value = lambda i: (F.sqrt(-2 * F.ln(share(0, i))) * F.cos(2 * F.pi() * share(1, i))).cast("float")
+    return spark.range(n).withColumnRenamed("id", "vec_id").withColumn("embedding", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), value))
+
+
+def log_run(spark: SparkSession, path: str, run: str, status: str, detail: str | None = None) -> None:
+    """Add a line on a run to the log at ``path``."""
+    row = spark.createDataFrame([(run, status, detail)], "run string, status string, detail string").withColumn("at", F.current_timestamp())
+    row.write.mode("append").parquet(path)
+
+
+def write_metric(spark: SparkSession, path: str, **metrics: float) -> None:
+    """Named figures as lines of text, over what is at ``path``."""
+    lines = [(f"{k}: {v:.6f}",) for k, v in sorted(metrics.items())]
+    spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(path)

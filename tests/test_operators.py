@@ -190,7 +190,7 @@ def test_k_centre(spark):
     x = np.array([[0.0], [1], [2], [10]])
     assert bank.k_centre(x, 3)[0] == 3 and len(set(bank.k_centre(x, 3))) == 3
     df = vecs(spark, x).withColumn("g", F.lit("a"))
-    assert {r.vec_id for r in bank.k_centre_coreset(df, "g", 2, parts=1).collect()} == {3, 0}
+    assert {r.vec_id for r in bank.k_centre_coreset(df, "g", 2).collect()} == {3, 0}
 
 
 def test_principal_axes_and_projection(spark):

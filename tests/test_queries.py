@@ -38,7 +38,5 @@ def test_equals_sql(spark, sf, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_twice_alike(spark, sf, name):
-    if name in ("knn_ivfpq", "pq_recon_error", "bits_sweep", "m_sweep", "margin_pressure", "bootstrap_fpr"):
-        pytest.skip("covered by tests of the operators")
     a, b = (sorted(map(str, QUERIES[name](spark, sf).collect())) for _ in range(2))
     assert a == b
