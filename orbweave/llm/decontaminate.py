@@ -46,6 +46,11 @@ def grams_of(words: list[str], n: int = GRAM) -> list[str]:
     return list(map(" ".join, zip(*(words[k:] for k in range(n)), strict=False))) if len(words) >= n else [" ".join(words)] * bool(words)
 
 
+def begin_of(item: np.ndarray, passage: np.ndarray, end: int) -> int:
+    """Where the best alignment that ends at ``end`` begins: the end of that of the reversed words."""
+    return end - align(item[::-1], passage[:end][::-1])[1]
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Best local alignment: its score and where it ends in ``passage`` (exclusive).
 
@@ -79,23 +84,26 @@ class Items:
                 self.places.setdefault(gram, []).append((k, at))
         self.names = [name for name, _ in rows]
         self.bags = [Counter(x.tolist()) for x in self.items]
+        #: Lengths of the n-grams: items of fewer words than ``GRAM`` are n-grams of their own.
+        self.lengths = sorted({min(GRAM, len(x)) for x in self.items if len(x)})
 
 
-def _hits(words: list[str], places: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, int]]:
-    for at, gram in enumerate(grams_of(words)):
-        if gram in places:
-            yield gram, at
+def _hits(words: list[str], lengths: list[int], places: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[str, int]]:
+    for n in lengths:
+        for at, gram in enumerate(grams_of(words, n) if len(words) >= n else ()):
+            if gram in places:
+                yield gram, at
 
 
 def count_grams(docs: DataFrame, items: Items, text_col: str) -> dict[str, int]:
     """In how many documents each of the block's n-grams is found."""
-    shared = docs.sparkSession.sparkContext.broadcast(items.places)
+    shared = docs.sparkSession.sparkContext.broadcast((items.lengths, items.places))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                total.update({gram for gram, _ in _hits(split_words(text), shared.value)})
+                total.update({gram for gram, _ in _hits(split_words(text), *shared.value)})
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["gram", "n"])
 
     counted = docs.select(F.col(text_col).cast("binary").alias("text")).where(F.col("text").isNotNull()).mapInArrow(count, "gram string, n long")
@@ -118,21 +126,21 @@ def choose_seeds(items: Items, found: dict[str, int]) -> dict[str, list[tuple[in
 
 def align_document(words: list[str], items: Items, seeds: dict[str, list[tuple[int, int]]], least: float) -> list[tuple[int, float, int, int]]:
     """For each item that a document holds: its number, score, and the passage's words (start, end)."""
-    wanted: dict[int, list[int]] = {}
-    for gram, at in _hits(words, seeds):
+    wanted: dict[int, set[int]] = {}
+    for gram, at in _hits(words, items.lengths, seeds):
         for k, place in seeds[gram]:
-            wanted.setdefault(k, []).append(at - place)  # where the item would begin
+            # where the item would begin, in steps of its slack: few, however often a text repeats a seed
+            wanted.setdefault(k, set()).add((at - place) // slack_of(items.items[k]))
     out = []
-    for k, begins in wanted.items():
+    for k, steps in wanted.items():
         item, bag = items.items[k], items.bags[k]
-        slack, best = len(item) // 2 + 2, (0.0, 0, 0)
-        begins = sorted(begins)
-        groups = [[begins[0], begins[0]]]
-        for b in begins[1:]:
-            if b - groups[-1][1] <= slack:
-                groups[-1][1] = b
+        slack, best = slack_of(item), (0.0, 0, 0, None)
+        groups: list[list[int]] = []
+        for step in sorted(steps):
+            if groups and step * slack - groups[-1][1] <= slack:
+                groups[-1][1] = (step + 1) * slack - 1
             else:
-                groups.append([b, b])
+                groups.append([step * slack, (step + 1) * slack - 1])
         for low, high in groups:
             # long groups are taken in overlapping passages, each at least twice an item with its slack
             for start in range(low - slack, high + slack + 1, 2 * (len(item) + slack)):
@@ -142,14 +150,21 @@ def align_document(words: list[str], items: Items, seeds: dict[str, list[tuple[i
                 common = sum((Counter(numbers) & bag).values())
                 if common < least * len(item):  # the score can't exceed the words in common
                     continue
-                score, end = align(item, np.array(numbers, np.int32))
+                passage = np.array(numbers, np.int32)
+                score, end = align(item, passage)
                 if score / len(item) > best[0]:
-                    best = (score / len(item), max(at, at + end - len(item)), at + end)
-        if best[0] >= least:
-            out.append((k, *best))
+                    best = (score / len(item), at, end, passage)
+        score, at, end, passage = best
+        if passage is not None and score >= least:
+            out.append((k, score, at + begin_of(item, passage, end), at + end))
     return out
 
 
+def slack_of(item: np.ndarray) -> int:
+    """How far an edited copy may be shifted against the item."""
+    return len(item) // 2 + 2
+
+
 def find_contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -162,7 +177,7 @@ def find_contamination(
     """``docs`` without its text, one row for each item that a document holds:
     ``item_id``, ``score`` (0 to 1) and the passage ``start``, ``end`` (in words).
 
-    Items without words and null texts match nothing; null ids are carried along;
+    An item of one or two words is found wherever they stand. Items without words and null texts match nothing; null ids are carried along;
     repeated items and repeated rows each give rows of their own. An empty table of
     documents or items gives no rows. Further columns of ``docs`` pass through.
     """
