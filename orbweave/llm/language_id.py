@@ -4,9 +4,11 @@ For each language the suffix automaton of a reference text is built. A text is
 parsed into phrases, each the longest match in the reference; the language whose
 reference needs the fewest phrases, normalised by the references' lengths, wins.
 
-The references are a bounded sample of the labelled texts (``SLICES`` documents a
-language, ``SLICE_CHARS`` characters each); every document is parsed whole, in
-windows of ``WINDOW`` characters that NumPy advances side by side.
+The references are a bounded sample of the labelled rows: at most ``SAMPLED`` whole
+texts a language, none longer than ``LONGEST`` characters where a language has such.
+Every document is parsed whole. NumPy advances windows of ``WINDOW`` characters side by
+side; then each window is parsed again from the state in which the one before it ended,
+as far as that changes anything, so the phrases are those of one parse from begin to end.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from pyspark.sql import types as T
 
 from orbweave.llm.common import small_batches
 
-#: Bound of the sample: documents a language and characters of each.
-SLICES = 64
-SLICE_CHARS = 400
+#: Bound of the sample: texts a language, and their characters where there are texts as short.
+SAMPLED = 32
+LONGEST = 2_000
 WINDOW = 128
+#: Symbols of the texts that are parsed at once, unless one text is longer.
+MOST_SYMBOLS = 1 << 21
 UNDETERMINED = "und"
 
 _MODELS: dict[tuple, Model] = {}
@@ -121,18 +125,37 @@ class Model:
         for t, n in zip(texts, windows, strict=True):
             lanes[at * WINDOW : at * WINDOW + len(t)] = t
             at += n
-        lanes = np.ascontiguousarray(lanes.reshape(-1, WINDOW).T).astype(np.int32)
+        lanes = np.ascontiguousarray(lanes.reshape(-1, WINDOW).T)
+        follows = np.r_[False, owner[1:] == owner[:-1]]  # the window goes on where the one before it ended
         out = np.zeros((len(texts), len(self.languages)))
         for k, table in enumerate(self.tables):
-            state = np.full(lanes.shape[1], len(table) // self.symbols - 1, np.int32)
-            count = np.zeros(lanes.shape[1], np.int32)
-            for step in lanes:
-                move = table.take(state * self.symbols + step)
-                count += move & 1
-                state = move >> 1
-            out[:, k] = np.bincount(owner, count, len(texts))
+            out[:, k] = np.bincount(owner, self._parse(table, lanes, follows), len(texts))
         return out
 
+    def _parse(self, table: np.ndarray, lanes: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrases that begin in each window (column), given that windows may follow each other."""
+        outside = len(table) // self.symbols - 1
+        moves = np.empty(lanes.shape, np.int32)
+        state = np.full(lanes.shape[1], outside, np.int32)
+        for step, symbols in enumerate(lanes):
+            moves[step] = table.take(state * self.symbols + symbols)
+            state = moves[step] >> 1
+        begun = np.full(lanes.shape[1], outside, np.int32)
+        while True:
+            ends = moves[-1] >> 1
+            begins = np.where(follows, np.r_[outside, ends[:-1]], outside)
+            lane = np.flatnonzero(begins != begun)
+            if not len(lane):
+                return (moves & 1).sum(0)
+            begun, state = begins, begins[lane]
+            for step in range(WINDOW):
+                new = table.take(state * self.symbols + lanes[step, lane])
+                other = (new >> 1) != (moves[step, lane] >> 1)
+                moves[step, lane] = new
+                lane, state = lane[other], new[other] >> 1  # in the same state the parses go on alike
+                if not len(lane):
+                    break
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score (0 to 1: how far the next language is behind) of each text."""
         langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
@@ -140,7 +163,12 @@ class Model:
             return langs, scores
         coded = {k: c for k, t in enumerate(texts) if t and (c := self.codes(t)) is not None}
         if coded:
-            cost = self.phrases(list(coded.values())) * np.array(self.weights)
+            groups: list[list[np.ndarray]] = [[]]
+            for c in coded.values():
+                if groups[-1] and sum(map(len, groups[-1])) + len(c) > MOST_SYMBOLS:
+                    groups.append([])
+                groups[-1].append(c)
+            cost = np.vstack([self.phrases(g) for g in groups]) * np.array(self.weights)
             best = cost.argmin(1)
             ordered = np.sort(cost, 1)
             lead = 1 - ordered[:, 0] / ordered[:, 1] if len(self.languages) > 1 else np.ones(len(cost))
@@ -156,23 +184,23 @@ def _model(references: tuple[tuple[str, str], ...]) -> Model:
     return _MODELS[references]
 
 
-def references(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", slices: int = SLICES) -> tuple[tuple[str, str], ...]:
-    """The reference text of each language, from a bounded sample of ``train``.
+def references(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sampled: int = SAMPLED) -> tuple[tuple[str, str], ...]:
+    """The reference text of each language, from a bounded sample of the rows of ``train``.
 
-    Documents fall into ``slices`` buckets by a hash of id and text, and the least
-    hash of each bucket gives ``SLICE_CHARS`` characters from the middle of its
-    text. Rows without a text or a language are left out.
+    Rows fall into ``sampled`` buckets by a hash of id and text; of each bucket the row
+    with the least hash is taken whole, of those with ``LONGEST`` characters at most, or
+    the shortest row if there is none. Rows without a text or a language are left out.
     """
-    middle = F.greatest(F.lit(1), F.floor(F.length(text_col) / 2 - SLICE_CHARS).cast("int"))
-    slice_ = F.substr(F.col(text_col), middle, F.lit(2 * SLICE_CHARS))
-    key = F.xxhash64(F.col(id_col), F.substr(F.col(text_col), F.lit(1), F.lit(64)))
-    rows = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
-        F.col(lang_col).alias("lang"), F.pmod(key, F.lit(slices)).alias("bucket"), F.struct(key.alias("key"), slice_.alias("text")).alias("row")
+    size = F.length(text_col)
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    order = (F.greatest(size, F.lit(LONGEST)).alias("size"), key.alias("key"))
+    rows = train.where(F.col(lang_col).isNotNull() & (size > 0)).select(
+        F.col(lang_col).alias("lang"), F.pmod(key, F.lit(sampled)).alias("bucket"), F.struct(*order).alias("order"), F.col(text_col).alias("text")
     )
-    picked = rows.groupBy("lang", "bucket").agg(F.min("row").alias("row")).select("lang", "bucket", "row.text")
+    picked = rows.groupBy("lang", "bucket").agg(F.min("order").alias("order"), F.min_by("text", "order").alias("text")).select("lang", "bucket", "text")
     texts: dict[str, list[str]] = {}
-    for lang, _, text in sorted(map(tuple, picked.collect())):  # slices rows a language at most
-        texts.setdefault(lang, []).append(letters(text)[:SLICE_CHARS])
+    for lang, _, text in sorted(map(tuple, picked.collect())):  # ``sampled`` rows a language at most
+        texts.setdefault(lang, []).append(letters(text))
     return tuple((lang, " ".join(parts)) for lang, parts in texts.items() if any(parts))
 
 

@@ -213,7 +213,7 @@ def test_phrases_equal_cross_parsing():
     rng = random.Random(6)
     refs = tuple((lang, "".join(rng.choice(letters) for _ in range(400))) for lang, letters in (("aa", "abc "), ("bb", "bcd ")))
     model = language_id.Model(refs)
-    texts = ["".join(rng.choice("abcde") for _ in range(n)) for n in (1, 5, 60, language_id.WINDOW)]
+    texts = ["".join(rng.choice("abcde") for _ in range(n)) for n in (1, 5, 60, language_id.WINDOW, language_id.WINDOW + 1, 5 * language_id.WINDOW, 3001)]
     got = model.phrases([model.codes(t) for t in texts])
     for k, t in enumerate(texts):
         assert got[k].tolist() == [brute_phrases(t, r) for _, r in refs]
@@ -381,3 +381,14 @@ def test_logistic_regression_separates():
 
 def test_schema_of_fixture():
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_learned_texts_are_whole_and_windows_leave_no_mark(spark):
+    """References hold whole texts; a text whose phrases are longer than a window needs as few as one parse finds."""
+    rng = random.Random(12)
+    long = "".join(rng.choice("abcd ") for _ in range(1500))
+    df = spark.createDataFrame([(1, long, "xx"), (2, "short words", "yy")], "doc_id long, text string, lang string")
+    known = language_id.references(df)
+    assert dict(known) == {"xx": language_id.letters(long), "yy": "short words"}
+    model = language_id.Model(known)
+    assert model.phrases([model.codes(dict(known)["xx"])])[0, 0] == 1
