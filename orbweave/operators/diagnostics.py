@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.operators.knn import as_matrix
+from orbweave.operators.running import quantiles
 
 
 def cross_moments(pairs: DataFrame, x: str, y: str) -> tuple[int, np.ndarray, np.ndarray, dict[str, np.ndarray]]:
@@ -60,9 +64,14 @@ def margin_pressure(df: DataFrame, exact: str, quantised: str, label: str, group
     infinite without a gap, and all are 0 where a class is missing.
     """
     error = F.max(F.abs(F.col(exact) - F.col(quantised)))
-    low = F.percentile(F.when(F.col(label) == 1, F.col(exact)), 0.05)
-    high = F.percentile(F.when(F.col(label) == 0, F.col(exact)), 0.95)
-    out = df.groupBy(*groups).agg(error.alias("error"), (low - high).alias("gap"))
+    ends = quantiles(df.where(F.col(label).isin(0, 1)), exact, {"low": 0.05, "high": 0.95}, (*groups, label))
+    gaps = ends.groupBy(*groups).agg((F.max(F.when(F.col(label) == 1, F.col("low"))) - F.max(F.when(F.col(label) == 0, F.col("high")))).alias("gap"))
+    errors = df.groupBy(*groups).agg(error.alias("error"))
+    if groups:
+        gaps = gaps.select(*[F.col(g).alias(f"__{g}") for g in groups], "gap")
+        out = errors.join(gaps, reduce(and_, [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups]), "left")
+    else:
+        out = errors.withColumn("gap", F.lit(gaps.first()[0]).cast("double"))  # one number
     ratio = F.when(F.col("gap") > 0, F.col("error") / F.col("gap")).otherwise(F.lit(float("inf")))
     missing = F.col("gap").isNull()
     return out.select(

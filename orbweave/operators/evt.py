@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.operators.running import running_sums
+from orbweave.operators.running import quantiles, running_sums
 
 #: A tail's excesses are reduced to at most so many cells of equal relative width, 1 / PER_E, for fitting.
 CELLS = 4_096
@@ -27,7 +27,7 @@ def tail_start(df: DataFrame, score: str, fraction: float, groups: tuple[str, ..
     """
     rows = df.where(F.col(score).isNotNull())
     if rule == "percentile":
-        return rows.groupBy(*groups).agg(F.count("*").alias("n"), F.percentile(score, 1 - fraction).alias("u"))
+        return quantiles(rows, score, {"u": 1 - fraction}, groups)
     if rule not in ("index", "index_min10"):
         raise ValueError(f"unknown rule: {rule}")
     by_value = rows.groupBy(*groups, F.col(score).cast("double").alias("v")).agg(F.count("*").alias("c"))

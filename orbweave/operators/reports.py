@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orbweave.functions.scalars import mean_sd
+from orbweave.operators.running import quantiles
 
 
 def mean_sd_table(df: DataFrame, group: str, values: list[str], population: bool = False, overall: str | None = None) -> DataFrame:
@@ -57,7 +58,6 @@ def against_reference(df: DataFrame, keys: list[str], is_reference: Column, valu
 
 def latency(df: DataFrame, stage: str, ms: str) -> DataFrame:
     """Mean, deviation and percentiles of durations per stage."""
-    return df.groupBy(stage).agg(
-        F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"),
-        *[F.percentile(ms, p / 100).alias(f"p{p}_ms") for p in (50, 95, 99)],
-    )
+    moments = df.groupBy(stage).agg(F.count("*").alias("n"), F.avg(ms).alias("mean_ms"), F.stddev_pop(ms).alias("std_ms"))
+    at = quantiles(df, ms, {f"p{p}_ms": p / 100 for p in (50, 95, 99)}, (stage,)).drop("n").withColumnRenamed(stage, "__stage")
+    return moments.join(at, moments[stage].eqNullSafe(at["__stage"]), "left").drop("__stage")

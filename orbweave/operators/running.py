@@ -28,24 +28,58 @@ def bucket_of(df: DataFrame, by: str, n_buckets: int | None = None) -> Column:
     return search(0, len(ends))
 
 
-def running_sums(df: DataFrame, by: str, sums: dict[str, str], groups: tuple[str, ...] = (), n_buckets: int | None = None) -> DataFrame:
-    """``df`` with sums over all rows of its group whose ``by`` is less.
+def running_sums(df: DataFrame, by: str, sums: dict[str, str], groups: tuple[str, ...] = (), n_buckets: int | None = None, totals: dict[str, str] | None = None) -> DataFrame:
+    """``df`` with sums over all rows of its group whose ``by`` is less; a null group is a group.
 
     ``sums`` maps new columns to the columns they add up. Rows with equal ``by`` get
     the same sum, so unique values give running totals without their own row.
+    ``totals`` maps new columns to columns that are summed over the whole group.
     """
+    totals = totals or {}
     rows = df.withColumn("__bucket", bucket_of(df, by, n_buckets))
     keys = [*groups, "__bucket"]
-    totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"__t_{new}") for new, c in sums.items()])
-    before = Window.partitionBy(*(groups or ("__one",))).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("__one", F.lit(1)).select(*keys, *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums])
+    per_bucket = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"__t_{new}") for new, c in (sums | totals).items()])
+    whole = Window.partitionBy(*(groups or ("__one",)))
+    before = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_bucket.withColumn("__one", F.lit(1)).select(
+        *[F.col(c).alias(f"__k_{c}") for c in keys],
+        *[F.coalesce(F.sum(f"__t_{new}").over(before), F.lit(0)).alias(f"__o_{new}") for new in sums],
+        *[F.sum(f"__t_{new}").over(whole).alias(new) for new in totals],
+    )
     within = Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     equal = Window.partitionBy(*keys, by)
     local = rows.withColumns({f"__l_{new}": F.sum(c).over(within) - F.sum(c).over(equal) for new, c in sums.items()})
-    joined = local.join(offsets, keys)
-    return joined.withColumns({new: F.col(f"__l_{new}") + F.col(f"__o_{new}") for new in sums}).drop(
-        "__bucket", *[f"__{k}_{new}" for new in sums for k in "lo"]
+    same = F.col("__bucket") == F.col("__k___bucket")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"__k_{g}"))
+    return local.join(offsets, same).withColumns({new: F.col(f"__l_{new}") + F.col(f"__o_{new}") for new in sums}).drop(
+        "__bucket", *[f"__k_{c}" for c in keys], *[f"__{k}_{new}" for new in sums for k in "lo"]
+    )
+
+
+def quantiles(df: DataFrame, value: str, at: dict[str, float], groups: tuple[str, ...] = ()) -> DataFrame:
+    """Per group: ``n``, the number of values that aren't null, and interpolated quantiles.
+
+    ``at`` maps new columns to shares in 0..1. Distinct values are counted and ranked by
+    running counts, so no task gathers a group. Groups without a value have no row; a
+    NaN is above all numbers.
+    """
+    by_value = df.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__c"))
+    ranked = running_sums(by_value, "__v", {"__before": "__c"}, groups, totals={"__n": "__c"})
+
+    def value_at(k: Column) -> Column:
+        return F.max(F.when((F.col("__before") <= k) & (k < F.col("__before") + F.col("__c")), F.col("__v")))
+
+    places = {name: F.lit(p) * (F.col("__n") - 1) for name, p in at.items()}
+    ends = ranked.groupBy(*groups).agg(
+        F.max("__n").alias("n"), *[value_at(round_(place)).alias(f"__{end}_{name}") for name, place in places.items() for end, round_ in (("low", F.floor), ("high", F.ceil))]
     )
+    found = []
+    for name, p in at.items():
+        low, high, place = F.col(f"__low_{name}"), F.col(f"__high_{name}"), F.lit(p) * (F.col("n") - 1)
+        found.append(F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place))).alias(name))
+    out = ends.select(*groups, "n", *found)
+    return out if groups else out.where("n is not null")
 
 
 def average_ranks(df: DataFrame, by: str, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.operators import metrics as M
+from orbweave.operators.running import quantiles
 from orbweave.plans.registry import query
 from orbweave.sources.tables import load
 
@@ -75,7 +76,7 @@ def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fpr_fnr_at_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates at the 95th percentile of the nominal scores."""
     rows = labelled(spark, sf_dir)
-    tau = rows.where("quality = 0").agg(F.percentile("n_chars", 0.95)).first()[0]
+    tau = quantiles(rows.where("quality = 0"), "n_chars", {"tau": 0.95}).first().tau
     return M.rates_at(rows, "n_chars", "quality", F.lit(tau)).select(F.round("fpr", 6).alias("fpr"), F.round("fnr", 6).alias("fnr"), "n")
 
 
@@ -128,9 +129,9 @@ def latency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_shipmode_like AS tier, count(*) AS n, round(count(*) / sum(l_quantity), 6) AS throughput, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95 FROM (SELECT *, l_linenumber AS l_shipmode_like FROM lineitem) GROUP BY 1")
 def throughput_by_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_linenumber").alias("tier")).agg(
-        F.count("*").alias("n"), F.round(F.count("*") / F.sum("l_quantity"), 6).alias("throughput"), F.round(F.percentile("l_extendedprice", 0.95), 4).alias("p95")
-    )
+    rates = rows.groupBy(F.col("l_linenumber").alias("tier")).agg(F.count("*").alias("n"), F.round(F.count("*") / F.sum("l_quantity"), 6).alias("throughput"))
+    at = quantiles(rows.withColumnRenamed("l_linenumber", "tier"), "l_extendedprice", {"p95": 0.95}, ("tier",))
+    return rates.join(at.select("tier", F.round("p95", 4).alias("p95")), "tier")
 
 
 @query("SELECT event_type, round(sum(value) / (SELECT sum(value) FROM events) * 100, 6) AS share_percent FROM events GROUP BY 1")
@@ -152,4 +153,4 @@ def histogram_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT round(quantile_cont(value, 0.005), 6) AS p005, round(quantile_cont(value, 0.05), 6) AS p05, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.975), 6) AS p975 FROM events")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = {"p005": 0.005, "p05": 0.05, "p50": 0.5, "p975": 0.975}
-    return load(spark, sf_dir, "events").agg(*[F.round(F.percentile("value", p), 6).alias(k) for k, p in at.items()])
+    return quantiles(load(spark, sf_dir, "events"), "value", at).select(*[F.round(k, 6).alias(k) for k in at])

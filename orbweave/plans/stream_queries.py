@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.plans.registry import query
+from orbweave.plans.vector_queries import L2SQ
 from orbweave.sources.store import shared_dir
 from orbweave.sources.tables import load
 from orbweave.streaming import events as E
@@ -61,10 +62,34 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(spark, E.alarms(_events(spark, sf_dir), 100.0), "score").select("event_id", "event_type", "value")
 
 
-@query()
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    g AS (SELECT *, coalesce(max(i) FILTER (value <= 50) OVER (PARTITION BY event_type ORDER BY i), 0) AS reset FROM o)
+    SELECT event_type, event_id FROM g WHERE value > 50 AND (i - reset) % 3 = 0""")
 def stream_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three values above 50 per event type, with state kept between batches."""
-    return _drained(spark, E.streaks(_events(spark, sf_dir), 50.0), "streaks")
+    at = f"{shared_dir(spark)}/orbweave/streaks-{uuid.uuid4().hex}"
+    return E.drain_streaks(_events(spark, sf_dir), at, f"{at}/checkpoint", 50.0)
+
+
+@query("""WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i, count(*) OVER (PARTITION BY user_id) AS seen FROM events)
+    SELECT user_id, any_value(seen) AS seen, string_agg(event_id::VARCHAR, ',' ORDER BY i) AS event_ids FROM o WHERE i <= 5 GROUP BY 1""")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five events of each user, kept as state."""
+    out = _drained(spark, E.recent(_events(spark, sf_dir), "user_id"), "recent")
+    now = out.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max_by("event_ids", "seen").alias("event_ids"))
+    return now.withColumn("event_ids", F.array_join(F.col("event_ids").cast("array<string>"), ","))
+
+
+@query(f"""WITH p AS (SELECT vec_id, 'c' || (vec_id % 3) AS category, embedding::DOUBLE[] AS v, vec_id % 20 = 0 AS known FROM embeddings)
+    SELECT a.vec_id, a.category, round(min({L2SQ.format(a="a.v", b="b.v")}), 6) AS score FROM p a JOIN p b USING (category) WHERE b.known AND NOT a.known GROUP BY 1, 2""")
+def stream_bank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as a stream against a bank of those whose id is divisible by 20, by category."""
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    category = F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("category")
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/embedding[s].parquet").where("vec_id % 20 <> 0")
+    bank = load(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    out = E.scored(arriving.select("vec_id", category, "embedding"), bank.select("vec_id", category, "embedding"), ["category"])
+    return _drained(spark, out.select("vec_id", "category", F.round("score", 6).alias("score")), "bank-scores")
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg((value > 100)::INTEGER) * 100, 6) AS alarm_percent FROM events GROUP BY 1, 2")

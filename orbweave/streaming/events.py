@@ -6,13 +6,18 @@ returns one; the caller chooses the sink. State is bounded by the watermark.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from orbweave.operators.evaluation import bank_distances
+from orbweave.operators.running import bucket_of
+
 WATERMARK = "10 minutes"
 
 
@@ -56,25 +61,90 @@ def alarms(events: DataFrame, limit: float) -> DataFrame:
     return events.where(F.col("value") > limit).select("event_id", "ts", "event_type", "value")
 
 
-def streaks(events: DataFrame, limit: float, least: int = 3) -> DataFrame:
-    """A row whenever an event type has ``least`` values above ``limit`` in a row (by time).
+def scored(vectors: DataFrame, bank: DataFrame, keys: list[str], embedding: str = "embedding") -> DataFrame:
+    """A stream of vectors with ``score``, the least squared distance to a vector of ``bank`` with the same keys.
 
-    The state is one number per event type; events of a batch are sorted by time.
+    The bank is a table; it goes to the tasks in blocks, and rows pass as they come.
+    Rows without a vector, or whose keys the bank lacks, have no score and are left out.
     """
+    return bank_distances(vectors, bank, keys, embedding=embedding).where("d2 is not null").withColumnRenamed("d2", "score")
+
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        found = []
-        for event_id, value in zip(rows["event_id"], rows["value"], strict=True):
-            run = run + 1 if value > limit else 0
-            if run == least:
-                found.append((key[0], int(event_id)))
-                run = 0
-        state.update((run,))
-        yield pd.DataFrame(found, columns=["event_type", "event_id"])
-
-    return events.groupBy("event_type").applyInPandasWithState(update, "event_type string, event_id long", "run long", "append", GroupStateTimeout.NoTimeout)
+def recent(events: DataFrame, key: str, size: int = 5) -> DataFrame:
+    """Per key and trigger: how many events were seen, and the ids of the last ``size`` by time.
+
+    The state of a key is ``size`` pairs of time and id, so batches are read one at a time
+    and in any order. Events without a time or an id only count. The row of a key with the
+    largest ``seen`` is what holds now.
+    """
+
+    def update(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, times, ids = state.get if state.exists else (0, [], [])
+        last = list(zip(times, ids, strict=True))
+        for rows in batches:
+            seen += len(rows)
+            known = rows.dropna()
+            new = zip(known["us"].astype("int64"), known["event_id"].astype("int64"), strict=True)
+            last = heapq.nlargest(size, [*last, *((int(t), int(e)) for t, e in new)])
+        state.update((seen, [t for t, _ in last], [e for _, e in last]))
+        yield pd.DataFrame({key: [group[0]], "seen": [seen], "event_ids": [[e for _, e in last]]})
+
+    rows = events.select(key, F.unix_micros("ts").alias("us"), "event_id")
+    kind = events.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, seen long, event_ids array<long>", "seen long, times array<long>, ids array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def streaks(events: DataFrame, limit: float, least: int = 3, runs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Where an event type has ``least`` values above ``limit`` in a row (by time, id and value), in a batch.
+
+    Returns a row of ``event_type`` and ``event_id`` for each, and the runs that are still
+    open at the end (``event_type``, ``run``). ``runs`` has those that the batch begins with. A
+    run ends at a null value; events without a time come first. Time is cut into buckets, so that
+    no task walks an event type: windows count within a bucket, and what lies before it is added
+    from a table with a row per bucket.
+    """
+    over = F.coalesce(F.col("value") > limit, F.lit(False))
+    rows = events.select("event_type", "event_id", "value", F.unix_micros("ts").alias("us"), over.cast("long").alias("over"))
+    rows = rows.withColumn("bucket", bucket_of(rows, "us"))
+    so_far = Window.partitionBy("event_type", "bucket").orderBy("us", "event_id", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = rows.withColumn("overs", F.sum("over").over(so_far))
+    base = F.when(F.col("over") == 0, F.col("overs"))  # how many were over the limit when the last run ended
+    counted = counted.withColumn("base", F.max(base).over(so_far))
+    ends = counted.groupBy("event_type", "bucket").agg(F.sum("over").alias("overs"), F.max("base").alias("base"))
+    before = Window.partitionBy("event_type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.withColumn("overs_before", F.coalesce(F.sum("overs").over(before), F.lit(0)))
+    offsets = offsets.withColumn("base_before", F.max(F.col("overs_before") + F.col("base")).over(before))
+    begun = runs or events.sparkSession.createDataFrame([], "event_type string, run long")
+    offsets = offsets.join(begun.select(F.col("event_type").alias("type"), "run"), F.col("event_type").eqNullSafe(F.col("type")), "left").drop("type")
+    start = F.coalesce(F.col("base_before"), -F.coalesce("run", F.lit(0)))
+    places = offsets.select(F.col("event_type").alias("type"), F.col("bucket").alias("at"), "overs_before", start.alias("start"))
+    placed = counted.join(places, F.col("event_type").eqNullSafe(F.col("type")) & (F.col("bucket") == F.col("at")))
+    length = F.col("overs_before") + F.col("overs") - F.coalesce(F.col("overs_before") + F.col("base"), F.col("start"))
+    found = placed.where((F.col("over") == 1) & (length % least == 0)).select("event_type", "event_id")
+    last = offsets.groupBy("event_type").agg(F.max(F.col("overs_before") + F.col("overs")).alias("n"), F.max(F.col("overs_before") + F.col("base")).alias("base"), F.first("run").alias("run"))
+    now = last.select("event_type", ((F.col("n") - F.coalesce(F.col("base"), -F.coalesce("run", F.lit(0)))) % least).alias("run"))
+    idle = begun.join(last.select(F.col("event_type").alias("type")), F.col("event_type").eqNullSafe(F.col("type")), "left_anti")
+    return found, now.unionByName(idle)
+
+
+def drain_streaks(stream: DataFrame, path: str, checkpoint: str, limit: float, least: int = 3) -> DataFrame:
+    """Run ``streaks`` over what is there now, batch by batch, into a Parquet table, and read that.
+
+    Each batch writes its rows and the runs that are open after it under its own number, so
+    a batch that is run again writes the same.
+    """
+    spark, kind = stream.sparkSession, "event_type string, event_id long, batch long"
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        runs = spark.read.schema("event_type string, run long").parquet(f"{path}/runs/batch={number - 1}") if number else None
+        found, now = streaks(batch, limit, least, runs)
+        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        now.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+        batch.unpersist()
+
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(f"{path}/rows").drop("batch")
 
 
 def _flat(windows: DataFrame) -> DataFrame:
