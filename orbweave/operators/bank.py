@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from orbweave.functions.vectors import doubles
 from orbweave.operators.knn import as_matrix, assign_lists, kmeans, sample_matrix, squared_distances
 from orbweave.operators.running import running_sums
-from orbweave.sources.store import materialise
+from orbweave.sources.store import discard, materialise
 
 #: Rows of a slice that one task reduces.
 SLICE_ROWS = 4_096
@@ -112,7 +112,8 @@ def k_centre_coreset(df: DataFrame, group: str, k: int, id_col: str = "vec_id",
         if parts <= 1:
             return left.groupBy(group).applyInPandas(reduce_rows, schema)
         sliced = left.withColumn("__slice", F.pmod(F.xxhash64(id_col), F.lit(parts)))
-        left = materialise(sliced.groupBy(group, "__slice").applyInPandas(reduce_rows, schema), "k-centre")
+        before, left = left, materialise(sliced.groupBy(group, "__slice").applyInPandas(reduce_rows, schema), "k-centre")
+        discard(before)
 
 
 def principal_axes(df: DataFrame, embedding: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -5,10 +5,17 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+#: Where a table that ``materialise`` wrote lies, and what each open ``scratch`` has to delete.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +34,45 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[app]
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    ``keep``: the table outlives the innermost ``scratch``.
+    """
     path = f"{shared_dir(df.sparkSession)}/orbweave/{name}-{uuid.uuid4().hex}"
+    begun = _SCRATCH.get()[:-1] if keep else _SCRATCH.get()
+    if begun:
+        begun[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialise`` writes inside are deleted at the end.
+
+    What is read later is to be written inside with ``keep``; a table that is whole
+    needs nothing of what it was made from, also after the loss of an executor.
+    """
+    own: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), own))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and nothing reads any more; others stay."""
+    path = _PATHS.pop(table, None)
+    if path:
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
