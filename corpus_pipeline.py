@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.llm import decontaminate, packing, quality_rules, secret_scan, simhash_dedup
-from orbweave.llm.common import materialise, read
+from orbweave.llm.common import discard, materialise, read, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``."""
+    """The stages in turn over ``documents``; what a stage wrote goes once its result is whole."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{k}")
+        with scratch(spark):
+            kept = materialise(stage(spark, docs, sf_dir), f"stage-{k}", keep=True)
+        discard(docs)
+        docs = kept
     return docs
 
 

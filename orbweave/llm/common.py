@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.sources.store import materialise, shared_dir
+from orbweave.sources.store import discard, materialise, scratch, shared_dir
 
-__all__ = ["SPACES", "SPACE_CLASS", "before_each", "blocks_of", "fresh", "let", "materialise", "most_used", "read", "shared_dir", "small_batches", "span_of", "words"]
+__all__ = ["SPACES", "SPACE_CLASS", "before_each", "blocks_of", "discard", "fresh", "let", "materialise", "most_used", "read", "scratch", "shared_dir", "small_batches", "span_of", "words"]
 
 #: The characters that part words, as a regular expression class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import materialise, most_used, small_batches
+from orbweave.llm.common import materialise, most_used, scratch, small_batches
 
 ORDER = 5
 #: Words, and grams, that are broadcast.
@@ -279,7 +279,8 @@ def score_documents(
     counts = materialise(count(rows, order), "counts")
     words, grams = counts.where("word is not null").select("word", "c", "uses"), counts.where("gram is not null").select("gram", "c", "uses")
     train_tokens, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    scores = materialise(gram_scores(grams, order), "gram-scores")
+    with scratch(spark):
+        scores = materialise(gram_scores(grams, order), "gram-scores", keep=True)
     whole = train_tokens + 0.5 * (distinct + 1)
     # at most ``hot_words`` and ``hot_grams`` rows
     top_words, top_grams = most_used(words, "uses", hot_words).toArrow(), most_used(scores, "uses", hot_grams).toArrow()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orbweave.llm.common import materialise, small_batches
+from orbweave.llm.common import discard, materialise, scratch, small_batches
 
 SHINGLE = 3
 SEED = 42
@@ -197,11 +197,11 @@ def _compare(keyed: DataFrame) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_links, "a long, b long")
 
 
-def components(links: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the least node of its component) for all nodes of ``links`` (a, b).
 
     Large-star and small-star steps in turn, until nothing changes; each round is
-    written to the shared folder, so the lineage stays short.
+    written to the shared folder, so the lineage stays short, and deleted after the next.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = materialise(edges, "links")
@@ -212,7 +212,8 @@ def components(links: DataFrame, checkpoint_every: int = 1) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == state:
             break
@@ -232,11 +233,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     marked = materialise(add_fingerprints(rows, "text", "fp").drop("text"), "fingerprints")
-    prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
-    rooted = prints.join(reached, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialise(rooted.join(named, "root").select("fp", "component_id"), "components")
+    with scratch(docs.sparkSession):
+        prints = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+        reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
+        rooted = prints.join(reached, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        names = materialise(rooted.join(named, "root").select("fp", "component_id"), "components", keep=True)
     return marked.join(names, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
@@ -250,10 +252,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     marked = materialise(add_fingerprints(docs, text_col, "__fp", row_key="__row"), "fingerprints")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
-    prints = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("least")), "distinct-fingerprints")
-    reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
-    chosen = prints.join(reached, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    chosen = materialise(chosen.select(F.col("least.row").alias("__row")), "chosen")
+    with scratch(docs.sparkSession):
+        prints = materialise(marked.groupBy(F.col("__fp").alias("fp")).agg(F.min(first).alias("least")), "distinct-fingerprints")
+        reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
+        chosen = prints.join(reached, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+        chosen = materialise(chosen.select(F.col("least.row").alias("__row")), "chosen", keep=True)
     return marked.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 

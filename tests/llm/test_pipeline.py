@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
 import re
+from pathlib import Path
 
 import corpus_pipeline
 import duckdb
@@ -8,7 +9,7 @@ import test_models as brute
 from fixtures import documents, with_clashes
 
 from orbweave.llm import quality_rules
-from orbweave.llm.common import materialise
+from orbweave.llm.common import materialise, shared_dir
 
 
 def test_each_stage_acts(spark, sf):
@@ -41,6 +42,15 @@ def test_run_equals_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_run_leaves_only_its_result(spark, sf):
+    """Tables of the stages go once they are read."""
+    folder = Path(shared_dir(spark).removeprefix("file://")) / "orbweave"
+    before = {p.name for p in folder.glob("*")}
+    out = corpus_pipeline.run(spark, sf)
+    assert [p.name for p in folder.glob("*") if p.name not in before and not p.name.startswith("stage-4-")] == []
+    assert out.count() > 0
+
+
 def test_stages_on_odd_tables(spark, sf):
     for df in (documents(spark), with_clashes(documents(spark)), documents(spark).limit(0)):
         docs = df
