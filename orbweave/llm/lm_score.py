@@ -229,6 +229,14 @@ def gram_scores(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return known.unionByName(found)
 
 
+def pair_counts(owner: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a gram and its owner, and how often each occurs; ``owner`` rises."""
+    order = np.lexsort((grams, owner))
+    owner, grams = owner[order], grams[order]
+    begins = np.flatnonzero(np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])])
+    return owner[begins], grams[begins], np.diff(np.r_[begins, len(grams)])
+
+
 class HotGrams:
     """Look-up of the broadcast grams' code lengths: a table of slots, and a search for those that share a slot."""
 
@@ -241,6 +249,7 @@ class HotGrams:
         self.slots[at] = self.grams
         there = self.slots[at] == self.grams
         self.values[at[there]] = self.lp[there]
+        self.grams, self.lp = self.grams[~there], self.lp[~there]  # the few that lost their slot to another
 
     def slot(self, grams: np.ndarray) -> np.ndarray:
         return ((grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -248,8 +257,9 @@ class HotGrams:
     def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each gram's code length (0 if it isn't hot), and the places of those that aren't."""
         at = self.slot(grams)
-        out = np.where(self.slots[at] == grams, self.values[at], 0.0)
-        left = np.flatnonzero(self.slots[at] != grams)
+        own = self.slots[at] == grams
+        out = np.where(own, self.values[at], 0.0)
+        left = np.flatnonzero(~own)
         if not len(self.grams):
             return out, left
         near = np.minimum(np.searchsorted(self.grams, grams[left]), len(self.grams) - 1)
@@ -325,8 +335,8 @@ def score_documents(
                 np.add.at(total, owners, np.add.reduceat(lengths, begins))
                 if len(left):
                     owner = np.array(owners)[np.searchsorted(begins, left, "right") - 1]
-                    pairs, times = np.unique(np.stack([owner, found[left]]), axis=1, return_counts=True)
-                    yield batch_of(len(times), key=pa.array(key + pairs[0]), doc_id=pa.nulls(len(times), batch.column(0).type), gram=pa.array(pairs[1]), n=pa.array(times.astype(np.int64)))
+                    of, gram, times = pair_counts(owner, found[left])
+                    yield batch_of(len(times), key=pa.array(key + of), doc_id=pa.nulls(len(times), batch.column(0).type), gram=pa.array(gram), n=pa.array(times.astype(np.int64)))
             if rare:
                 of, w, n = zip(*rare, strict=True)
                 yield batch_of(len(of), key=pa.array(of, pa.int64()), doc_id=pa.nulls(len(of), batch.column(0).type), word=pa.array(w, pa.binary()), n=pa.array(n, pa.int64()))
