@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from orbweave.sources.store import discard, materialise, scratch, shared_dir
 
-__all__ = ["SPACES", "SPACE_CLASS", "before_each", "blocks_of", "discard", "fresh", "let", "materialise", "most_used", "read", "scratch", "shared_dir", "small_batches", "span_of", "words"]
+__all__ = ["SPACES", "SPACE_CLASS", "before_each", "blocks_of", "discard", "fresh", "let", "materialise", "meet", "most_used", "read", "scratch", "shared_dir", "small_batches", "span_of", "words"]
 
 #: The characters that part words, as a regular expression class and as plain characters.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -103,5 +103,26 @@ def most_used(df: DataFrame, by: str, most: int) -> DataFrame:
     return df.where((F.col(by) > 0) & (cell >= cut)) if cut is not None else df.limit(0)
 
 
+#: A key that more than one in so many rows has is hot; fewer than so many keys can be.
+HOT_SHARE = 1_024
+
+
+def meet(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has each combination of ``keys`` once.
+
+    ``weight``: how many of the ``total`` rows have the key. Hot keys, fewer than
+    ``HOT_SHARE`` of them, are broadcast, so their rows stay where they are; the other
+    rows are shuffled, and no key has more than a ``HOT_SHARE``-th of them.
+    """
+    hot = F.col(weight) * HOT_SHARE > total
+    values = [c for c in table.columns if c not in keys]
+    name = fresh(rows.join(table.limit(0), keys), "__hot")
+    few = F.broadcast(table.where(hot).select(*keys, F.struct(*values).alias(name)))
+    marked = rows.join(few, keys, "left")
+    here = marked.where(F.col(name).isNotNull()).select(*rows.columns, f"{name}.*")
+    rest = marked.where(F.col(name).isNull()).drop(name).join(table.where(~hot), keys)
+    return here.unionByName(rest.select(*here.columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -6,7 +6,7 @@ what is computed from them is written here anew.
 
 from __future__ import annotations
 
-from orbweave.llm import chat_format, quality_rules, secret_scan
+from orbweave.llm import centroid_clustering, chat_format, embedding_dedup, fill_middle, quality_rules, secret_scan
 
 
 def _text(value: str) -> str:
@@ -97,3 +97,51 @@ def secret_sql() -> str:
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({union})
     SELECT d.doc_id, {counts}, sha256({listed.format(f' FILTER (place < {base})')}) AS base_sha256, {listed.format('')} AS spans
     FROM d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+def clustering_sql() -> str:
+    c = centroid_clustering
+    d = "list_sum(list_transform(list_zip(q, centroid), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for k in range(c.ROUNDS + 1):  # the number of the centroid takes the lowest digit, so that ties go to the smaller
+        steps.append(f"a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(q) AS q, min({d} * {c.CLUSTERS} + k) AS m FROM e, c{k} GROUP BY r)")
+        if k < c.ROUNDS:
+            steps.append(f"""s{k} AS (SELECT m % {c.CLUSTERS} AS k, i, sum(x) AS s, count(*) AS n FROM (SELECT m, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{k}) GROUP BY 1, 2),
+    c{k + 1} AS MATERIALIZED (SELECT k, coalesce(moved, centroid) AS centroid FROM c{k} LEFT JOIN (SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS moved FROM s{k} GROUP BY k) USING (k))""")
+    last = c.ROUNDS
+    return f"""
+    WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: TRY_CAST(floor({c.SCALE} * x::DOUBLE) AS BIGINT)) AS q FROM embeddings
+        WHERE len(embedding) = {c.WIDTH} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    c0 AS MATERIALIZED (SELECT k, centroid FROM (SELECT row_number() OVER (ORDER BY sha256('{c.SEED}:' || vec_id), q) - 1 AS k, q AS centroid FROM e) WHERE k < {c.CLUSTERS}),
+    {", ".join(steps)},
+    f AS (SELECT vec_id, (m % {c.CLUSTERS})::INTEGER AS cluster, m // {c.CLUSTERS} AS distance FROM a{last})
+    SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(centroid, ',')) AS centroid_sha256
+    FROM f JOIN c{last} ON k = cluster"""
+
+
+def embedding_dedup_sql() -> str:
+    usable = "label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+    return f"""
+    WITH RECURSIVE e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS v, coalesce({usable}, false) AS usable FROM embeddings),
+    l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.label = b.label AND len(a.v) = len(b.v) AND a.r <> b.r
+        WHERE a.usable AND b.usable AND list_cosine_similarity(a.v, b.v) >= {embedding_dedup.THRESHOLD}),
+    reach AS (SELECT r AS a, r AS b FROM e UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+    c AS (SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN e ON e.r = reach.b GROUP BY 1),
+    n AS (SELECT a AS r, count(*) AS n FROM l GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM e JOIN c USING (r) LEFT JOIN n USING (r)"""
+
+
+def fill_middle_sql() -> str:
+    f = fill_middle
+    unit = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+    number = "('0x' || substr(h, {}, 8))::BIGINT"
+    p, s, m = (_text(x) for x in (f.PREFIX, f.SUFFIX, f.MIDDLE))
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('{f.SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+    u AS (SELECT *, regexp_extract_all(t, '{unit}') AS us, {number.format(1)} AS h1, {number.format(9)} AS h2, {number.format(17)} AS h3, {number.format(25)} AS h4 FROM d),
+    k AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS low, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS high,
+        CASE WHEN t = '' OR contains(t, {p}) OR contains(t, {s}) OR contains(t, {m}) OR h3 % 100 >= {f.RATE} THEN 'plain' WHEN h4 % 100 < {f.SPM_RATE} THEN 'spm' ELSE 'psm' END AS form FROM u),
+    x AS (SELECT doc_id, t, n, form, array_to_string(us[1:low], '') AS prefix, array_to_string(us[low + 1:high], '') AS middle, array_to_string(us[high + 1:], '') AS suffix FROM k)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN {p} || prefix || {s} || suffix || {m} || middle ELSE {s} || suffix || {p} || prefix || {m} || middle END) AS output_sha256,
+        sha256(t) AS restored_sha256 FROM x"""

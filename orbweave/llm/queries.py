@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orbweave.llm import chat_format, decontaminate, language_id, license_scan, lm_score, oracles, packing, quality_rules, secret_scan, simhash_dedup, toxicity
+from orbweave.llm import centroid_clustering, chat_format, decontaminate, embedding_dedup, fill_middle, language_id, license_scan, lm_score, oracles, packing, quality_rules, secret_scan, simhash_dedup, toxicity
 from orbweave.llm.common import read
 
 
@@ -85,6 +85,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, chain).withColumnRenamed("flagged", "toxic")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.digest(*centroid_clustering.cluster_vectors(read(spark, sf_dir, "embeddings")))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.format_documents(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license_scan,
@@ -97,6 +109,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_decontaminate": op9_decontaminate,
         "op10_toxicity": op10_toxicity,
+        "op11_centroid_clustering": op11_centroid_clustering,
+        "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -105,4 +120,7 @@ def oracle_sql() -> dict[str, str]:
         "op6_chat_format": oracles.chat_format_sql(),
         "op7_quality_rules": oracles.quality_sql(),
         "op8_secret_scan": oracles.secret_sql(),
+        "op11_centroid_clustering": oracles.clustering_sql(),
+        "op12_embedding_dedup": oracles.embedding_dedup_sql(),
+        "op13_fill_middle": oracles.fill_middle_sql(),
     }
