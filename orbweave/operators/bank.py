@@ -90,30 +90,58 @@ def k_centre(x: np.ndarray, k: int) -> list[int]:
     return chosen
 
 
-def k_centre_coreset(df: DataFrame, group: str, k: int, id_col: str = "vec_id", embedding: str = "embedding", rows: int = SLICE_ROWS) -> DataFrame:
-    """Per group ``k`` rows by greedy farthest-first, in as many rounds as the groups need.
-
-    A group is cut into slices of about ``rows`` rows by a hash of the id; each is reduced
-    to ``k`` rows, and the union of those is reduced again until a group is one slice: the
-    usual composable coreset, within a constant factor of the one-round result.
+def k_centre_coreset(df: DataFrame, group: str, k: int | None = None, share: float | None = None, id_col: str = "vec_id", embedding: str = "embedding", rows: int = SLICE_ROWS) -> DataFrame:
+    """Per group ``k`` rows, or max(1, int(share * n)) of its n, by greedy farthest-first.
+
+    A group of at most ``rows`` rows is reduced at once. A larger one is cut into slices of
+    about that size by a hash of the id. While a slice is at least four times what is wanted
+    of the group, each is reduced to as many rows as are wanted and their union is reduced
+    again: the usual composable coreset, within a constant factor of the one-round result.
+    Where more is wanted, the slices share the number among them by their sizes. Null
+    vectors take no part; a null group is one as well.
     """
-    if 2 * k > rows:
-        raise ValueError(f"{k} rows of each slice of {rows} make no progress")
-    left = df.select(group, id_col, embedding)
-    schema = left.schema
+    if (k is None) == (share is None):
+        raise ValueError("either k or share is needed")
+    left = df.where(F.col(embedding).isNotNull()).select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.col(embedding).alias("v"))
+    kinds = ", ".join(f"{c} {left.schema[c].dataType.simpleString()}" for c in left.columns)
+    wanted = F.lit(k).cast("long") if share is None else F.greatest(F.lit(1).cast("long"), F.floor(F.lit(share) * F.col("n") + 1e-9))
+    goals = materialise(left.groupBy("g").agg(F.count("*").alias("n")).select(F.col("g").alias("of"), wanted.alias("k")), "k-centre-goals")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
 
     def reduce_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        return pdf.iloc[k_centre(np.stack(pdf[embedding].to_numpy()).astype(float), k)][schema.names]
-
+        pdf = pdf.sort_values("i").reset_index(drop=True)
+        take = int(pdf["take"].iloc[0])
+        return pdf.iloc[k_centre(np.stack(pdf["v"].to_numpy()).astype(float), take) if take else []][["g", "i", "v"]]
+
+    def sliced(some: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Rows with their slice, and a row a slice with its size and what is wanted of its group."""
+        sizes = some.groupBy("g").agg(F.count("*").alias("m")).join(goals, same("g", "of")).select(F.col("g").alias("of"), "m", "k", F.ceil(F.col("m") / rows).alias("parts"))
+        keyed = some.join(sizes, same("g", "of")).withColumn("slice", F.pmod(F.xxhash64("i"), F.col("parts"))).drop("of")
+        return keyed, keyed.groupBy("g", "slice").agg(F.count("*").alias("c"), F.first("m").alias("m"), F.first("k").alias("k"))
+
+    def reduced(keyed: DataFrame, takes: DataFrame) -> DataFrame:
+        places = takes.select(F.col("g").alias("of"), F.col("slice").alias("part"), "take")
+        met = keyed.select("g", "i", "v", "slice").join(places, same("g", "of") & same("slice", "part"))
+        return met.select("g", "i", "v", "slice", "take").groupBy("g", "slice").applyInPandas(reduce_rows, kinds)
+
+    before = None
     while True:
-        largest = left.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-        parts = -(-largest // rows)
-        if parts <= 1:
-            return left.groupBy(group).applyInPandas(reduce_rows, schema)
-        sliced = left.withColumn("__slice", F.pmod(F.xxhash64(id_col), F.lit(parts)))
-        before, left = left, materialise(sliced.groupBy(group, "__slice").applyInPandas(reduce_rows, schema), "k-centre")
-        discard(before)
+        sizes = left.groupBy("g").agg(F.count("*").alias("m")).join(goals, same("g", "of"))
+        large = sizes.where((F.col("m") > rows) & (F.col("k") * 4 <= rows)).select(F.col("g").alias("of"))
+        if large.isEmpty():
+            break
+        keyed, slices = sliced(left.join(large, same("g", "of"), "left_semi"))
+        fewer = reduced(keyed, slices.withColumn("take", F.col("k")))
+        left = materialise(fewer.unionByName(left.join(large, same("g", "of"), "left_anti")), "k-centre")
+        if before is not None:
+            discard(before)
+        before = left
+    keyed, slices = sliced(left)
+    along = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)  # one row a slice
+    upto = F.floor(F.least(F.col("k"), F.col("m")) * F.sum("c").over(along) / F.col("m") + 1e-9)
+    down = F.floor(F.least(F.col("k"), F.col("m")) * (F.sum("c").over(along) - F.col("c")) / F.col("m") + 1e-9)
+    found = reduced(keyed, slices.withColumn("take", upto - down))
+    return found.select(F.col("g").alias(group), F.col("i").alias(id_col), F.col("v").alias(embedding))
 
 
 def principal_axes(df: DataFrame, embedding: str = "embedding") -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -39,7 +39,8 @@ def build_bank(support: DataFrame, coreset: str = "all", share: float = 0.1, ded
     if coreset == "linspace":
         bank = evenly_spaced(bank, order, share=share)
     elif coreset == "kcentre":
-        picked = k_centre_coreset(bank, group, max(1, int(share * bank.count())), order, embedding).select(order)
+        # as many of each group as it has rows times the share
+        picked = k_centre_coreset(bank, group, share=share, id_col=order, embedding=embedding).select(order)
         bank = bank.join(picked, order, "left_semi")
     elif coreset == "kmeans":
         bank = kmeans_coreset(bank, share, id_col=order, embedding=embedding)

@@ -1,8 +1,8 @@
-"""Nearest neighbours: exact, inverted lists (IVF) and product quantisation (IVF-PQ).
+"""Exact nearest neighbours, and the clustering and product codes that indexes are made of.
 
 Exact search sends the queries, in blocks of a bounded size, to the base vectors;
 each task keeps the best of its rows for each query, and the best of those are
-merged. With inverted lists a block is compared only with the lists that it probes.
+merged.
 """
 
 from __future__ import annotations
@@ -13,16 +13,18 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries that are sent to the executors at once.
 BLOCK = 4_096
 #: Partial results of a query are merged in so many groups first.
 FAN = 64
-#: Recall that inverted lists must reach on at most so many sampled queries.
-RECALL = 0.95
-TRIALS = 256
+#: Rows that are compared with a block at once.
+SLICE = 1_024
+#: Bytes of the vectors, as doubles, of a tile of a group that is searched for itself.
+TILE_BYTES = 1 << 24
 
 
 def as_matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -56,43 +58,50 @@ def exact_knn(
         rows = own.toArrow()  # about ``block`` rows
         if len(rows):
             parts.append(_block_knn(rows, b, k, bool(group), exclude))
-    return _merged(parts, k, q.sparkSession)
+    found = reduce(DataFrame.unionByName, parts) if parts else q.sparkSession.createDataFrame([], "query_id long, neighbour_id long, d2 double, part int")
+    return merged(found, k)
 
 
-def self_nearest(df: DataFrame, group: str, id_col: str = "vec_id", embedding: str = "embedding", rows: int = BLOCK) -> DataFrame:
+def self_nearest(df: DataFrame, group: str, id_col: str = "vec_id", embedding: str = "embedding", tile_bytes: int = TILE_BYTES) -> DataFrame:
     """``group``, ``id_col`` and ``d2``, the least squared distance to another row of the group; rows without one are left out.
 
-    A group is cut into slices of about ``rows`` rows by a hash of the id. Each pair of
-    slices meets in a task of its own, so no group, however hot, is gathered; the work
-    grows with the square of a group, as an exact search must.
+    A group is cut into tiles of ``tile_bytes`` of doubles by a hash of the id. Each
+    unordered pair of tiles meets once, in a task of its own that serves both; so no group,
+    however hot, is gathered. A vector is sent once for each tile of its group (32,768
+    vectors of 64 components make one); the work grows with the square of a group, as an
+    exact search must.
     """
     known = df.where(F.col(embedding).isNotNull() & F.col(group).isNotNull()).select(group, id_col, embedding)
-    slices = known.groupBy(group).agg(F.ceil(F.count("*") / rows).cast("int").alias("__n"))
-    keyed = known.join(slices, group).withColumn("__own", F.pmod(F.xxhash64(id_col), F.col("__n")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    asking = keyed.select(group, F.col("__own").alias("__a"), others.alias("__b"), id_col, embedding, F.lit(True).alias("__asks"))
-    asked = keyed.select(group, others.alias("__a"), F.col("__own").alias("__b"), id_col, embedding, F.lit(False).alias("__asks"))
+    sizes = known.groupBy(group).agg(F.ceil(F.count("*") * F.max(F.size(embedding)) * 8 / tile_bytes).cast("int").alias("__n"))
+    keyed = known.join(sizes, group).withColumn("__own", F.pmod(F.xxhash64(id_col), F.col("__n")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("__other")
+    sides = keyed.select(group, "__own", other, id_col, embedding)
+    placed = sides.select(group, F.least("__own", "__other").alias("__a"), F.greatest("__own", "__other").alias("__b"), (F.col("__own") > F.col("__other")).alias("__second"), id_col, embedding)
 
     def search(table: pa.Table) -> pa.Table:
-        asks = table["__asks"].to_numpy()
+        second = table["__second"].to_numpy()
         ids, x = table[id_col].to_numpy(), as_matrix(table[embedding])
-        best = np.full(int(asks.sum()), np.inf)
-        for at in range(0, int((~asks).sum()), 1024):
-            d = squared_distances(x[asks], x[~asks][at : at + 1024])
-            d[ids[asks][:, None] == ids[~asks][None, at : at + 1024]] = np.inf
-            best = np.minimum(best, d.min(1))
-        there = np.isfinite(best)
-        return pa.table({group: table[group].filter(pa.array(asks)).filter(pa.array(there)), id_col: pa.array(ids[asks][there]), "d2": pa.array(best[there])})
+        best = np.full(len(ids), np.inf)
+        one = np.flatnonzero(~second)
+        two = np.flatnonzero(second) if table["__a"][0] != table["__b"][0] else one
+        for i in range(0, len(one), SLICE):
+            rows = one[i : i + SLICE]
+            for j in range(0 if two is not one else i, len(two), SLICE):  # a tile with itself: each pair once
+                columns = two[j : j + SLICE]
+                d = squared_distances(x[rows], x[columns])
+                d[ids[rows][:, None] == ids[columns][None, :]] = np.inf
+                best[rows] = np.minimum(best[rows], d.min(1))
+                best[columns] = np.minimum(best[columns], d.min(0))
+        there = pa.array(np.isfinite(best))
+        return pa.table({group: table[group].filter(there), id_col: table[id_col].filter(there), "d2": pa.array(best).filter(there)})
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (group, id_col))
-    found = asking.unionByName(asked).groupBy(group, "__a", "__b").applyInArrow(search, f"{kinds}, d2 double")
+    found = placed.groupBy(group, "__a", "__b").applyInArrow(search, f"{kinds}, d2 double")
     return found.groupBy(group, id_col).agg(F.min("d2").alias("d2"))
 
 
-def _merged(parts: list[DataFrame], k: int, spark: SparkSession) -> DataFrame:
-    """The best ``k`` of the tasks' results for each query."""
-    empty = "query_id long, neighbour_id long, d2 double, part int"
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], empty)
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of the tasks' results for each query, with their ``rank``."""
     best = lambda df, *keys: df.groupBy("query_id", *keys).agg(F.slice(F.sort_array(F.collect_list(F.struct("d2", "neighbour_id"))), 1, k).alias("best"))
     some = best(found.withColumn("fan", F.col("part") % FAN), "fan").select("query_id", F.inline("best"))
     return best(some).select("query_id", F.posexplode("best").alias("pos", "b")).select(
@@ -100,30 +109,58 @@ def _merged(parts: list[DataFrame], k: int, spark: SparkSession) -> DataFrame:
     )
 
 
+class Best:
+    """The ``k`` nearest rows of each query so far, by distance and then by id.
+
+    Rows come in slices, of which only those that may still be among the best are sorted;
+    so beside the matrix of a slice's distances it holds little more than its result.
+    """
+
+    def __init__(self, n: int, k: int):
+        self.d, self.ids = np.full((n, k), np.inf), np.full((n, k), -1, np.int64)
+
+    def add(self, ids: np.ndarray, d: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """``d``: distances of the queries (those numbered ``rows``, or all) to the rows named ``ids``."""
+        k, n = self.d.shape[1], len(d)
+        rows = np.arange(len(self.d)) if rows is None else rows
+        near = d <= self.d[rows, -1:]
+        if near.sum() > 4 * k * n:  # as long as little is known
+            near &= d <= np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, [min(k, d.shape[1]) - 1]]
+        q, c = np.nonzero(near)
+        finite = np.isfinite(d[q, c])
+        q, c = q[finite], c[finite]
+        if not len(q):
+            return
+        of = np.concatenate([np.repeat(np.arange(n), k), q])
+        all_d, all_ids = np.concatenate([self.d[rows].ravel(), d[q, c]]), np.concatenate([self.ids[rows].ravel(), ids[c]])
+        order = np.lexsort((all_ids, all_d, of))
+        starts = np.searchsorted(of[order], np.arange(n))
+        picked = order[starts[:, None] + np.arange(k)[None, :]]  # each query has at least the k it had
+        self.d[rows], self.ids[rows] = all_d[picked], all_ids[picked]
+
+    def batch(self, queries: np.ndarray) -> pa.RecordBatch:
+        there = np.isfinite(self.d)
+        part = np.full(int(there.sum()), TaskContext.get().partitionId(), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(queries, there.sum(1))), pa.array(self.ids[there]), pa.array(self.d[there]), pa.array(part)], names=["query_id", "neighbour_id", "d2", "part"])
+
+
 def _block_knn(rows: pa.Table, base: DataFrame, k: int, grouped: bool, exclude: str | None) -> DataFrame:
     shared = base.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.array(rows["g"].to_pylist(), object), as_matrix(rows["v"])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, groups, vectors = shared.value
-        best_d = np.full((len(ids), k), np.inf)
-        best_i = np.full((len(ids), k), -1, np.int64)
-        for batch in batches:
-            if not len(batch):
-                continue
-            own, d = batch.column(0).to_numpy(), squared_distances(vectors, as_matrix(batch.column(2)))
-            if exclude == "id":
-                d[ids[:, None] == own[None, :]] = np.inf
-            elif grouped:
-                same = groups[:, None] == np.array(batch.column(1).to_pylist(), object)[None, :]
-                d[same if exclude == "group" else ~same] = np.inf
-            all_d = np.hstack([best_d, d])
-            all_i = np.hstack([best_i, np.broadcast_to(own, d.shape)])
-            order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        there = np.isfinite(best_d)
-        q = np.repeat(ids, there.sum(1))
-        part = np.full(len(q), TaskContext.get().partitionId(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best_i[there]), pa.array(best_d[there]), pa.array(part)], names=["query_id", "neighbour_id", "d2", "part"])
+        best = Best(len(ids), k)
+        for whole in batches:
+            for at in range(0, len(whole), SLICE):
+                batch = whole.slice(at, SLICE)
+                own, d = batch.column(0).to_numpy(), squared_distances(vectors, as_matrix(batch.column(2)))
+                if exclude == "id":
+                    d[ids[:, None] == own[None, :]] = np.inf
+                elif grouped:
+                    same = groups[:, None] == np.array(batch.column(1).to_pylist(), object)[None, :]
+                    d[same if exclude == "group" else ~same] = np.inf
+                best.add(own, d)
+        yield best.batch(ids)
 
     return base.mapInArrow(search, "query_id long, neighbour_id long, d2 double, part int")
 
@@ -161,7 +198,7 @@ def kmeans(x: np.ndarray, k: int, steps: int = 20, seed: int = 42) -> np.ndarray
 def assign_lists(df: DataFrame, centres: np.ndarray, n_lists: int = 1, embedding: str = "embedding") -> DataFrame:
     """``df``, each row once for each of its ``n_lists`` nearest centroids, with ``list_id``."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
-    schema = df.schema.add("list_id", "integer")
+    schema = T.StructType([*df.schema.fields, T.StructField("list_id", T.IntegerType())])
     at = df.columns.index(embedding)
     n = min(n_lists, len(centres))
 
@@ -175,124 +212,6 @@ def assign_lists(df: DataFrame, centres: np.ndarray, n_lists: int = 1, embedding
     return df.where(F.col(embedding).isNotNull()).mapInArrow(assign, schema)
 
 
-def coded_rows(x: np.ndarray, own: np.ndarray, centres: np.ndarray, quantiser: ProductQuantiser | None) -> np.ndarray:
-    """The rows as the codes of their residuals to their lists' centroids give them; ``x`` without a quantiser."""
-    return x if quantiser is None else centres[own] + quantiser.decode(quantiser.encode(x - centres[own]))
-
-
-def _within(ranks: np.ndarray, share: float) -> int:
-    """The least rank that at least ``share`` of the ranks do not exceed."""
-    return int(np.sort(ranks)[int(np.ceil(share * len(ranks))) - 1])
-
-
-def search_effort(
-    queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, n_probe: int, quantiser: ProductQuantiser | None = None, recall: float = RECALL, id_col: str = "vec_id", embedding: str = "embedding"
-) -> tuple[int, int]:
-    """The lists (``n_probe`` at least) and the candidates (``k`` at least) a query needs for ``recall``.
-
-    The true neighbours of at most ``TRIALS`` queries show it: the place of a neighbour's
-    list among those nearest to the query, and its place among all rows by the distance
-    to the codes. With a quantiser both may miss, so each may miss half as much.
-    """
-    share, n_probe = (recall if quantiser is None else (1 + recall) / 2), min(n_probe, len(centres))
-    few = queries.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
-    rows = few.orderBy(F.xxhash64("id"), "id").limit(TRIALS).toArrow()
-    if not len(rows) or (quantiser is None and n_probe == len(centres)):
-        return n_probe, k
-    spark = queries.sparkSession
-    b = base.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
-    near = exact_knn(spark.createDataFrame(rows), b, k, "id", "v").select("query_id", F.col("neighbour_id").alias("id"))
-    met = b.join(F.broadcast(near), "id").select("query_id", "id", "v").toArrow()  # about TRIALS * k rows
-    if not len(met):
-        return n_probe, k
-    place = {i: n for n, i in enumerate(rows["id"].to_pylist())}
-    q, at, ids, x = as_matrix(rows["v"]), np.array([place[i] for i in met["query_id"].to_pylist()]), met["id"].to_numpy(), as_matrix(met["v"])
-    own = squared_distances(x, centres).argmin(1)
-    nearest = squared_distances(q, centres).argsort(1, kind="stable")
-    n_lists = max(n_probe, _within(nearest.argsort(1)[at, own] + 1, share))
-    if quantiser is None:
-        return n_lists, k
-    far = ((q[at] - coded_rows(x, own, centres, quantiser)) ** 2).sum(1)
-    shared = spark.sparkContext.broadcast((q, at, ids, far, centres, quantiser))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, at, ids, far, centres, quantiser = shared.value
-        before = np.zeros(len(at), np.int64)
-        for batch in batches:
-            if len(batch):
-                x, mine = as_matrix(batch.column(1)), batch.column(0).to_numpy()
-                d = squared_distances(q, coded_rows(x, squared_distances(x, centres).argmin(1), centres, quantiser))
-                for n, row in enumerate(at):
-                    before[n] += ((d[row] < far[n] - 1e-9) | ((d[row] <= far[n] + 1e-9) & (mine <= ids[n]))).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(before)], names=["n", "before"])
-
-    ranks = b.mapInArrow(count, "n long, before long").groupBy("n").agg(F.sum("before").alias("rank")).toArrow()["rank"].to_numpy()
-    return n_lists, max(k, _within(ranks, share))
-
-
-def _list_search(queries: DataFrame, base: DataFrame, k: int, centres: np.ndarray, n_lists: int, width: int, quantiser: ProductQuantiser | None, id_col: str, embedding: str, block: int = BLOCK) -> DataFrame:
-    """The best ``k`` of the rows in the ``n_lists`` lists nearest to each query.
-
-    Queries go to the base rows in blocks. A task keeps the ``width`` best rows of each
-    query by the distance to their codes and hands on the ``k`` of them that are nearest
-    by their vectors. Lists that no query of a block probes are not compared.
-    """
-    side = lambda df: df.where(F.col(embedding).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(embedding).alias("v"))
-    q, b = side(queries), side(base)
-    n_blocks = max(1, -(-q.count() // block))
-
-    def searched(rows: pa.Table) -> DataFrame:
-        vectors = as_matrix(rows["v"])
-        probed = np.zeros((len(rows), len(centres)), bool)
-        np.put_along_axis(probed, squared_distances(vectors, centres).argsort(1, kind="stable")[:, :n_lists], True, 1)
-        shared = b.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), vectors, probed, centres, quantiser))
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors, probed, centres, quantiser = shared.value
-            coded_d, exact_d = np.full((len(ids), width), np.inf), np.full((len(ids), width), np.inf)
-            best_i = np.full((len(ids), width), -1, np.int64)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                mine, x = batch.column(0).to_numpy(), as_matrix(batch.column(1))
-                own = squared_distances(x, centres).argmin(1)
-                coded = coded_rows(x, own, centres, quantiser)
-                for one in np.unique(own):
-                    there, asking = np.flatnonzero(own == one), np.flatnonzero(probed[:, one])
-                    for some in np.array_split(asking, -(-len(asking) // 256)) if len(asking) else []:
-                        d = np.round(squared_distances(vectors[some], coded[there]), 9)
-                        all_d = np.hstack([coded_d[some], d])
-                        all_i = np.hstack([best_i[some], np.broadcast_to(mine[there], d.shape)])
-                        order = np.lexsort((all_i, all_d), axis=1)[:, :width]
-                        coded_d[some], best_i[some] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-                        kept = np.take_along_axis(exact_d[some], np.minimum(order, width - 1), 1)
-                        r, c = np.nonzero(order >= width)
-                        kept[r, c] = d[r, order[r, c] - width] if quantiser is None else ((vectors[some[r]] - x[there[order[r, c] - width]]) ** 2).sum(1)
-                        exact_d[some] = kept
-            order = np.lexsort((best_i, np.round(exact_d, 9)), axis=1)[:, :k]
-            best_d, best_i = np.take_along_axis(exact_d, order, 1), np.take_along_axis(best_i, order, 1)
-            there = np.isfinite(best_d)
-            part = np.full(int(there.sum()), TaskContext.get().partitionId(), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, there.sum(1))), pa.array(best_i[there]), pa.array(np.round(best_d[there], 9)), pa.array(part)], names=["query_id", "neighbour_id", "d2", "part"])
-
-        return b.mapInArrow(search, "query_id long, neighbour_id long, d2 double, part int")
-
-    blocks = (q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == at) for at in range(n_blocks))
-    return _merged([searched(rows) for own in blocks if len(rows := own.toArrow())], k, q.sparkSession)
-
-
-def ivf_knn(
-    queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42, recall: float = RECALL
-) -> DataFrame:
-    """Neighbours within the lists nearest to each query: ``n_probe``, or more where ``recall`` needs them.
-
-    With ``n_probe`` = ``n_lists`` the result is that of the exact search.
-    """
-    centres = kmeans(sample_matrix(base, embedding, train_rows, seed), n_lists, seed=seed)
-    probed, _ = search_effort(queries, base, k, centres, n_probe, None, recall, id_col, embedding)
-    return _list_search(queries, base, k, centres, probed, k, None, id_col, embedding)
-
-
 class ProductQuantiser:
     """Codebooks for ``m`` parts of a vector, ``2**bits`` codes each."""
 
@@ -304,6 +223,13 @@ class ProductQuantiser:
         self.m, self.bits = m, bits
         self.books = [kmeans(part, 2**bits, seed=seed) for part in np.split(sample, m, axis=1)]
 
+    @classmethod
+    def of(cls, books: list[np.ndarray], bits: int) -> ProductQuantiser:
+        """The quantiser with these codebooks."""
+        made = cls.__new__(cls)
+        made.m, made.bits, made.books = len(books), bits, books
+        return made
+
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.stack([squared_distances(p, b).argmin(1) for p, b in zip(np.split(x, self.m, axis=1), self.books, strict=True)], 1)
 
@@ -326,17 +252,3 @@ def reconstruct(df: DataFrame, quantiser: ProductQuantiser, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes.astype(np.int32))), pa.array(list(back)), pa.array(error)], names=[id_col, "codes", "decoded", "error2"])
 
     return rows.mapInArrow(code, f"{id_col} {df.schema[id_col].dataType.simpleString()}, codes array<int>, decoded array<double>, error2 double")
-
-
-def ivfpq_knn(
-    queries: DataFrame, base: DataFrame, k: int = 1, n_lists: int = 16, n_probe: int = 1, m: int = 16, bits: int = 6, id_col: str = "vec_id", embedding: str = "embedding", train_rows: int = 8_192, seed: int = 42, recall: float = RECALL
-) -> DataFrame:
-    """IVF search by codes of the residuals (asymmetric distance); candidates are ranked by their vectors.
-
-    How many lists and candidates are searched follows from ``recall``.
-    """
-    sample = sample_matrix(base, embedding, train_rows, seed)
-    centres = kmeans(sample, n_lists, seed=seed)
-    quantiser = ProductQuantiser(sample - centres[squared_distances(sample, centres).argmin(1)], m, bits, seed)
-    probed, width = search_effort(queries, base, k, centres, n_probe, quantiser, recall, id_col, embedding)
-    return _list_search(queries, base, k, centres, probed, width, quantiser, id_col, embedding)

@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions import vectors as V
-from orbweave.operators import diagnostics, knn
+from orbweave.operators import diagnostics, knn, vector_index
 from orbweave.operators.evaluation import bank_distances
 from orbweave.operators.metrics import auroc
+from orbweave.operators.vector_index import VectorIndex
 from orbweave.plans.registry import query
+from orbweave.sources.store import Kept
 from orbweave.sources.tables import load, patches, vector_faults
 
 QUERY_STEP = 20
+#: Indexes that searches share.
+KEPT = Kept("index")
 
 #: Squared distance of two double arrays in SQL.
 L2SQ = "list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -177,23 +181,42 @@ def nndv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.self_nearest(e, "label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.var_pop(F.sqrt("d2")), 6).alias("nndv"))
 
 
+def kept_index(spark: SparkSession, sf_dir: str, **how) -> VectorIndex:
+    """An index of ``embeddings`` in the shared folder: built by the first search that asks for it, then opened."""
+    return KEPT.get(f"{sf_dir}-{sorted(how.items())}", spark, lambda path: vector_index.build_index(embeddings(spark, sf_dir), path, **how), lambda path: vector_index.open_index(spark, path))
+
+
 @query()
 def knn_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return _rounded(knn.ivf_knn(e.where(is_query()), e, 5, n_lists=16, n_probe=4))
+    return _rounded(vector_index.search_index(e.where(is_query()), kept_index(spark, sf_dir, n_lists=16, n_probe=4), 5))
 
 
 @query(knn_sql(5))
 def knn_ivf_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With all lists probed, inverted lists give the exact result."""
     e = embeddings(spark, sf_dir)
-    return _rounded(knn.ivf_knn(e.where(is_query()), e, 5, n_lists=8, n_probe=8))
+    return _rounded(vector_index.search_index(e.where(is_query()), kept_index(spark, sf_dir, n_lists=8, recall=None), 5, n_probe=8))
 
 
 @query()
 def knn_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = embeddings(spark, sf_dir)
-    return _rounded(knn.ivfpq_knn(e.where(is_query()), e, 5, n_lists=16, n_probe=4, m=16, bits=6))
+    return _rounded(vector_index.search_index(e.where(is_query()), kept_index(spark, sf_dir, n_lists=16, n_probe=4, m=32, bits=8), 5))
+
+
+@query()
+def knn_pq_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes without lists: every code is compared, the candidates are ranked by their vectors."""
+    e = embeddings(spark, sf_dir)
+    return _rounded(vector_index.search_index(e.where(is_query()), kept_index(spark, sf_dir, n_lists=1, m=16, bits=8), 5))
+
+
+@query("SELECT count(*) AS n_rows, count(DISTINCT vec_id) AS n_ids, 32 AS code_bytes, 0 AS n_uncoded FROM embeddings")
+def index_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """That an index of codes holds every row once, with a code of one byte a part."""
+    rows = kept_index(spark, sf_dir, n_lists=16, n_probe=4, m=32, bits=8).rows
+    return rows.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_ids"), F.max(F.length("code")).alias("code_bytes"), F.count_if(F.col("code").isNull()).cast("int").alias("n_uncoded"))
 
 
 def _errors(e: DataFrame, m: int, bits: int) -> DataFrame:
@@ -233,8 +256,9 @@ def margin_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     support, test = slice_parts(spark, sf_dir)
     quantiser = knn.ProductQuantiser(knn.sample_matrix(support, "embedding", 4_096), 16, 4)
     coded = knn.reconstruct(support, quantiser).select("vec_id", F.col("decoded").alias("embedding"))
-    score = lambda base, name: knn.exact_knn(test, base, 1).select(F.col("query_id").alias("vec_id"), F.col("d2").alias(name))
-    both = test.join(score(support, "exact"), "vec_id").join(score(coded, "quantised"), "vec_id")
+    # the support, the smaller side, goes to the test patches in blocks; they pass both banks in turn
+    both = bank_distances(test, support, []).withColumnRenamed("d2", "exact")
+    both = bank_distances(both, coded, []).withColumnRenamed("d2", "quantised")
     images = both.groupBy("category", "image_id", "image_label").agg(F.max("exact").alias("exact"), F.max("quantised").alias("quantised"))
     out = diagnostics.margin_pressure(images, "exact", "quantised", "image_label", ("category",))
     return out.select("category", *[F.round(c, 6).alias(c) for c in ("error", "gap", "pressure")])

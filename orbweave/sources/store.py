@@ -5,13 +5,15 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from typing import TypeVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
 _OWN_DIRS: dict[str, str] = {}
 #: Where a table that ``materialise`` wrote lies, and what each open ``scratch`` has to delete.
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
@@ -49,6 +51,24 @@ def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return out
 
 
+class Kept:
+    """Things that are built once in the shared folder of an application and opened after that."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.paths: dict[tuple[str, str], str] = {}
+
+    def get(self, name: str, spark: SparkSession, build: Callable[[str], T], open_at: Callable[[str], T]) -> T:
+        """What ``build`` makes at a path of its own; from the second call on what ``open_at`` finds there."""
+        key = (spark.sparkContext.applicationId, name)
+        if key in self.paths:
+            return open_at(self.paths[key])
+        path = f"{shared_dir(spark)}/orbweave/{self.kind}-{uuid.uuid4().hex}"
+        made = build(path)
+        self.paths[key] = path
+        return made
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``materialise`` writes inside are deleted at the end.

@@ -39,11 +39,11 @@ def test_bank_distances(spark, block):
     assert evaluation.bank_distances(df.limit(0), known, ["g"]).count() == 0
 
 
-@pytest.mark.parametrize("rows", [7, 1000])
-def test_self_nearest(spark, rows):
+@pytest.mark.parametrize("tile", [48 * 7, 48 * 1000])
+def test_self_nearest(spark, tile):
     df = vectors(spark, 90)
     known = [r for r in df.collect() if r.embedding]
-    got = {r.vec_id: r.d2 for r in knn.self_nearest(df, "g", rows=rows).collect()}
+    got = {r.vec_id: r.d2 for r in knn.self_nearest(df, "g", tile_bytes=tile).collect()}
     assert got == pytest.approx(brute(known, known, lambda r, x: r.g == x.g, lambda r, x: r.vec_id != x.vec_id))
     assert knn.self_nearest(df.limit(0), "g").count() == 0
 
@@ -52,12 +52,40 @@ def test_coresets_hold_one_slice_a_task(spark):
     df = vectors(spark, 400)
     picked = bank.k_centre_coreset(df.where("embedding is not null"), "g", 5, rows=20)
     assert {r.g: r["count"] for r in picked.groupBy("g").count().collect()} == {"g0": 5, "g1": 5, "g2": 5}
-    with pytest.raises(ValueError, match="no progress"):
-        bank.k_centre_coreset(df, "g", 50, rows=60)
+    # more than a quarter of a slice: the slices share what is wanted
+    many = bank.k_centre_coreset(df, "g", 50, rows=60)
+    assert {r.g: r["count"] for r in many.groupBy("g").count().collect()} == {"g0": 50, "g1": 50, "g2": 50}
     chosen = bank.kmeans_coreset(df.where("embedding is not null"), 0.1, rows=30, cells=4)
     assert 25 <= chosen.count() <= 55 and chosen.join(df, "vec_id", "left_anti").count() == 0
 
 
+def greedy(x, k):
+    """Farthest-first, row by row."""
+    at = max(range(len(x)), key=lambda i: (sum((a - b) ** 2 for a, b in zip(x[i], np.mean(x, 0), strict=True)), -i))
+    chosen = [at]
+    while len(chosen) < k:
+        left = [i for i in range(len(x)) if i not in chosen]
+        chosen.append(max(left, key=lambda i: (min(sum((a - b) ** 2 for a, b in zip(x[i], x[c], strict=True)) for c in chosen), -i)))
+    return chosen
+
+
+def test_k_centre_bank_takes_the_share_of_each_category(spark):
+    df = vectors(spark, 90).withColumnRenamed("g", "category")
+    expected = set()
+    for g in ("g0", "g1", "g2"):
+        own = sorted((r.vec_id, r.embedding) for r in df.where(F.col("category") == g).collect() if r.embedding)
+        expected |= {own[i][0] for i in greedy([v for _, v in own], max(1, int(0.1 * len(own))))}
+    assert {r.vec_id for r in evaluation.build_bank(df, "kcentre", 0.1).collect()} == expected
+
+
+def test_k_centre_bank_of_a_hundred_thousand_rows(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("vec_id"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 10)).alias("category"), F.array(*[F.rand(k) - 0.5 for k in range(3)]).alias("embedding"))
+    sizes = {r.category: r["count"] for r in rows.groupBy("category").count().collect()}
+    for share in (0.001, 0.02):
+        made = evaluation.build_bank(rows, "kcentre", share)
+        assert {r.category: r["count"] for r in made.groupBy("category").count().collect()} == {g: max(1, int(n * share)) for g, n in sizes.items()}
+
+
 def test_bank_build_and_round_trip(spark, tmp_path):
     df = vectors(spark, 60).withColumnRenamed("g", "category")
     odd = spark.createDataFrame([(900, "g0", 1, [0.0] * 6), (901, "g0", 1, [float("nan")] * 6), (902, "g0", 1, [])], df.schema)
