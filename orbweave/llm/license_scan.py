@@ -8,7 +8,10 @@ against the sequence of identifiers, and what a rule has used is not used again.
 A sentence ends at its mark, an empty line, or before a line that begins as a licence
 does; it may be wrapped at any width. If it isn't known, it is cut before each line that
 begins with a capital, as headings and lists have no mark at their ends; its parts stand
-for it if one of them is known.
+for it if one of them is known. An SPDX line gives an identifier for each licence of its
+expression. Where a known sentence leaves words open inside, they may have
+``MOST_BETWEEN`` characters, and between two identifiers of a rule up to ``GAP`` others may
+stand: that is how the sentences and rules are defined, at every size.
 """
 
 from __future__ import annotations
@@ -34,7 +37,13 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("BSD_ENDORSE", "* may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD_WARRANTY", "this software is provided by the * as is and any express or implied warranties *"),
     ("BSD_REF", "* under * bsd license *"),
-    ("APACHE2_REF", "licensed under the apache license version 2 0 *"),
+    ("BSD_REF", "* governed by a bsd style license *"),
+    ("DUAL_MIT_APACHE2", "* either of * apache license version 2 0 * or * mit license *"),
+    ("DUAL_MIT_APACHE2", "* licensed under either of apache license version 2 0 or mit license *"),
+    ("APACHE2_REF", "* licensed under the apache license version 2 0 *"),
+    ("APACHE2_TITLE", "apache license version 2 0 january 2004 *"),
+    ("GPL3_TITLE", "gnu general public license version 3 29 june 2007 *"),
+    ("GPL2_TITLE", "gnu general public license version 2 june 1991 *"),
     ("APACHE2_OBEY", "you may not use this file except in compliance with the license"),
     ("APACHE2_COPY", "you may obtain a copy of the license at *"),
     ("APACHE2_WARRANTY", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis *"),
@@ -45,8 +54,13 @@ SENTENCES: tuple[tuple[str, str], ...] = (
     ("GPL_WARRANTY", "* distributed in the hope that it will be useful but without any warranty *"),
     ("GPL_COPY", "you should have received a copy of the gnu general public license *"),
     ("LGPL_COPY", "you should have received a copy of the gnu lesser general public license *"),
-    ("MIT_REF", "* released under the mit license"),
-    ("MIT_REF", "* licensed under the mit license"),
+    ("MIT_REF", "* released under the mit license *"),
+    ("MIT_REF", "* licensed under the mit license *"),
+    ("GPL3_REF", "* under the gplv3 *"),
+    ("GPL2_REF", "* under the gplv2 *"),
+    ("CC_BY_NC_REF", "* creative commons attribution noncommercial 4 0 international license *"),
+    ("CC_BY_SA_REF", "* creative commons attribution sharealike 4 0 international license *"),
+    ("CC_BY_REF", "* creative commons attribution 4 0 international license *"),
     ("CC_BY_NC_REF", "licensed under cc by nc 4 0"),
     ("CC_BY_SA_REF", "licensed under cc by sa 4 0"),
     ("CC_BY_REF", "licensed under cc by 4 0"),
@@ -70,8 +84,9 @@ SENTENCES: tuple[tuple[str, str], ...] = (
 
 #: Licences that have a short identifier of their own in SPDX lines.
 SPDX = (
-    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0",
-    "EPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT",
+    "0BSD", "AGPL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "EPL-2.0", "GPL-2.0", "GPL-2.0+", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0+", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.0-only", "LGPL-2.0-or-later",
+    "LGPL-2.1", "LGPL-2.1+", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0+", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT",
     "MIT-0", "MPL-2.0", "Python-2.0", "Unlicense", "WTFPL", "Zlib",
 )
 
@@ -106,6 +121,10 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("EPL-2.0", ("EPL2_REF",)),
     ("CC-BY-ND-4.0", ("CC_BY_ND_REF",)),
     ("BSD-3-Clause", ("BSD3_REF",)),
+    ("MIT-OR-Apache-2.0", ("DUAL_MIT_APACHE2",)),
+    ("Apache-2.0", ("APACHE2_TITLE",)),
+    ("GPL-3.0", ("GPL3_TITLE",)),
+    ("GPL-2.0", ("GPL2_TITLE",)),
 )
 
 
@@ -123,13 +142,18 @@ def known_rules() -> tuple[tuple[str, tuple[str, ...]], ...]:
 
 
 
+#: An SPDX line, and the licences of its expression: those joined by OR and AND; of WITH the licence, not the exception.
+SPDX_LINE = r"(?i)spdx-license-identifier:[ \t]*([^\n]*)"
+SPDX_TERM = r"(?<![A-Z0-9.+-])(?:" + "|".join(re.escape(x.upper()) for x in sorted(SPDX, key=len, reverse=True)) + r")(?![A-Z0-9.+-])"
+#: A normalised sentence that denies a licence is not known.
+DENIAL = r"\b(?:not|never|isn t|aren t) (?:yet |be |been )?(?:licensed|released|distributed|made available) under\b"
 #: Each known sentence holds one of these; only sentences that do are listed.
-KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\s+domain|mpl\s+was\s+not"
+KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\s+domain|mpl\s+was\s+not|gplv[23]"
 #: The same for text in which comment marks may stand between two words.
-RAW_KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\W+domain|mpl\W+was\W+not"
+RAW_KEYWORDS = r"licen|copyright|permission|warrant|redistribut|public\W+domain|mpl\W+was\W+not|gplv[23]"
 UNKNOWN = "UNKNOWN"
 #: Marks of comments at the begin of a line, and the end of a block comment.
-COMMENT_MARKS = r"(?m)^[ \t]*(?://+!?|#+|;+|--+|%+|/\*+|\*+/|\*+|<!--)[ \t]*|\*+/[ \t]*$|-->[ \t]*$"
+COMMENT_MARKS = r"(?m)^[ \t]*(?://+!?|#+|;+|--+|%+|/\*+|\*+/|\*+|<!--)[ \t]*|(?<!\*)\*+/[ \t]*$|-->[ \t]*$"
 #: How a line begins that begins a sentence of a licence, whatever stands before it.
 LINE_BEGINS = (
     r"licensed under|released under|this (?:work|program|file|software|project|library|code) is|spdx-license|copyright (?:\(c\)|©|[0-9])|permission (?:is|to)|redistribution and use"
@@ -158,8 +182,14 @@ def normalise(sentence: Column) -> Column:
 
 def identify(normalised: Column) -> Column:
     """The identifier of a normalised sentence; UNKNOWN if there is none."""
-    out = F.coalesce(*[F.when(normalised.rlike(sentence_pattern(s)), F.lit(k)) for k, s in known_sentences()], F.lit(UNKNOWN))
-    return out
+    known = F.coalesce(*[F.when(normalised.rlike(sentence_pattern(s)), F.lit(k)) for k, s in known_sentences()], F.lit(UNKNOWN))
+    return F.when(normalised.rlike(DENIAL), F.lit(UNKNOWN)).otherwise(known)
+
+
+def expression(sentence: Column) -> Column:
+    """The identifiers of the licences in a sentence's SPDX line; none if it has no such line."""
+    terms = F.regexp_extract_all(F.upper(F.regexp_extract(sentence, SPDX_LINE, 1)), F.lit(SPDX_TERM), F.lit(0))
+    return F.transform(terms, lambda x: F.concat(F.lit("SPDX_"), F.regexp_replace(x, "[^A-Z0-9]+", "_")))
 
 
 def match_rules(ids: Column) -> Column:
@@ -190,7 +220,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             parts = let(identified(F.split(sentence, LINE_END, -1)), lambda x: F.when(F.exists(x, lambda k: k != UNKNOWN), x).otherwise(F.array(F.lit(UNKNOWN))))
             return F.when((known != UNKNOWN) | ~sentence.rlike(LINE_END), F.array(known)).otherwise(parts)
 
-        return let(let(normalise(sentence), identify), or_parts)
+        plain = let(let(normalise(sentence), identify), or_parts)
+        return F.when(sentence.rlike(SPDX_LINE), let(expression(sentence), lambda x: F.when(F.size(x) > 0, x).otherwise(plain))).otherwise(plain)
 
     def ids(whole: Column) -> Column:
         plain = F.regexp_replace(whole, COMMENT_MARKS, "")

@@ -39,6 +39,8 @@ ORDER = 5
 #: Words, and grams, that are broadcast.
 HOT_WORDS = 1 << 17
 HOT_GRAMS = 1 << 19
+#: Bytes of a word that is broadcast at most.
+LONGEST_HOT = 64
 #: Entries of a task's table of counts before it is handed on.
 MOST_COUNTED = 400_000
 MOST_GRAMS = 2_000_000
@@ -292,8 +294,8 @@ def score_documents(
     with scratch(spark):
         scores = materialise(gram_scores(grams, order), "gram-scores", keep=True)
     whole = train_tokens + 0.5 * (distinct + 1)
-    # at most ``hot_words`` and ``hot_grams`` rows
-    top_words, top_grams = most_used(words, "uses", hot_words).toArrow(), most_used(scores, "uses", hot_grams).toArrow()
+    # at most ``hot_words`` words of LONGEST_HOT bytes and ``hot_grams`` numbers; longer words go to the join
+    top_words, top_grams = most_used(words.where(F.length("word") <= LONGEST_HOT), "uses", hot_words).toArrow(), most_used(scores, "uses", hot_grams).toArrow()
     shared = spark.sparkContext.broadcast((top_words["word"].to_pylist(), top_words["c"].to_pylist(), top_grams["gram"].to_numpy(), top_grams["lp"].to_numpy()))
     schema = T.StructType(
         [T.StructField("key", T.LongType()), T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("train", T.BooleanType())]
