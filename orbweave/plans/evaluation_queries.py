@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.vectors import norm
 from orbweave.operators import bank, evaluation, evt, reports
+from orbweave.operators.experiments import ProgressTable
 from orbweave.operators.metrics import auroc
 from orbweave.plans.registry import query
 from orbweave.plans.vector_queries import L2SQ, embeddings
-from orbweave.sources.files import unfinished
 from orbweave.sources.store import materialise, shared_dir
 from orbweave.sources.tables import patches
 
@@ -100,16 +100,18 @@ def ablation_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def quantised_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How the tail's fit and threshold move with the index; settings that are done are left out on a second run."""
+    """How the tail's fit and threshold move with the index; each setting's result is kept as soon as it is there."""
     settings = spark.createDataFrame([("exact", 0), ("pq", 2), ("pq", 4)], "search string, bits int")
-    done = settings.where("bits = 2").withColumn("tau", F.lit(0.0))
     rows = patches(embeddings(spark, sf_dir))
-    out = []
-    for r in sorted(unfinished(settings, done, ["search", "bits"]).collect()):  # one row a setting
-        scores, _ = evaluation.evaluate(rows, SEEDS, 4, r.search, bits=r.bits or 4)
+
+    def one(setting: Row) -> DataFrame:
+        scores, _ = evaluation.evaluate(rows, SEEDS, 4, setting.search, bits=setting.bits or 4)
         fits = evt.gpd_thresholds(materialise(scores.where("image_label = 0"), "scores"), "score", ("category",), 0.2, 0.01)
-        out.append(fits.select(F.lit(r.search).alias("search"), F.lit(r.bits).alias("bits"), "category", "n_tail", *[F.round(c, 4).alias(c) for c in ("u", "shape", "scale", "tau")]))
-    return _grid(out)
+        return fits.select("category", "n_tail", *[F.round(c, 4).alias(c) for c in ("u", "shape", "scale", "tau")])
+
+    kept = ProgressTable(spark, f"{shared_dir(spark)}/orbweave/grid-{uuid.uuid4().hex}", ["search", "bits"])
+    kept.run(settings, one)
+    return kept.results(settings)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,37 @@ def bootstrap_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evt.bootstrap_rate(counts, ("category",), "hits", "n")
 
 
+@query()
+def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate at which an event type's values exceed their 95th percentile, by resampling its rows."""
+    rows = load(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", "event_type", "value")
+    tau = quantiles(rows, "value", {"tau": 0.95}, ("event_type",)).drop("n")
+    hits = rows.join(tau, "event_type").withColumn("hit", (F.col("value") > F.col("tau")).cast("int"))
+    found = evt.bootstrap_rows(hits, ("event_type",), "hit", "event_id", 500)
+    return found.select("event_type", "n", *[F.round(c, 9).alias(c) for c in found.columns[2:]])
+
+
+#: Fixed values of theta at which the likelihood of a tail is compared.
+THETAS = (-0.01, 0.05, 0.3, 1.0, 4.0)
+
+
+@query(f"""WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
+    u AS (SELECT event_type, value AS u, n - floor(n * 0.9)::BIGINT AS n_tail FROM r WHERE i = floor(n * 0.9)), t AS (SELECT event_type, n_tail, value - u AS x FROM r JOIN u USING (event_type) WHERE i >= floor(n * 0.9)),
+    m AS (SELECT event_type, n_tail, avg(x) AS mean FROM t GROUP BY ALL), s AS (SELECT event_type, n_tail, theta, avg(ln(1 + theta * x / mean)) AS shape FROM t JOIN m USING (event_type, n_tail), (VALUES {', '.join(f'({t}::DOUBLE)' for t in THETAS)}) h(theta) GROUP BY ALL)
+    SELECT event_type, n_tail, theta, round(shape, 6) AS shape, round(CASE WHEN shape / theta > 0 THEN -ln(shape / theta) - shape - 1 END, 6) AS likelihood FROM s""")
+def gpd_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile likelihood of each event type's tail, whole, as its fit adds it up task by task."""
+    excess, facts = evt.tail_excesses(_events(spark, sf_dir), "value", ("event_type",), 0.1)
+    known = {(r.event_type,): r for r in facts.collect()}
+    theta = np.array(THETAS)
+    sums = evt.profile_sums(excess, {key: (r["mean"], theta) for key, r in known.items()}, ("event_type",))
+    out = []
+    for key, s in sums.items():
+        shape = s / known[key].n_tail
+        out += [(key[0], known[key].n_tail, float(t), round(float(a), 6), round(float(-np.log(a / t) - a - 1), 6)) for t, a in zip(theta, shape, strict=True)]
+    return spark.createDataFrame(out, "event_type string, n_tail long, theta double, shape double, likelihood double")
+
+
 @query()
 def evt_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per event type: the threshold for 1 % and the share of values that exceed it."""
