@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orbweave.functions.vectors import is_finite, normalise
+from orbweave.functions.vectors import is_finite, l2sq, normalise
 from orbweave.operators.bank import evenly_spaced, k_centre_coreset, kmeans_coreset, orbit_dedupe
+from orbweave.operators.evt import gpd_thresholds
 from orbweave.operators.knn import BLOCK, ProductQuantiser, as_matrix, sample_matrix, squared_distances
 from orbweave.operators.metrics import auroc, rates_at
+from orbweave.operators.pixels import pixel_auroc, upsampled
+from orbweave.sources.store import materialise
 
 CORESETS = ("all", "linspace", "kcentre", "kmeans")
 SEARCHES = ("exact", "pq")
-#: Parts of a product code that are tried, in this order.
+#: Parts of a product code that are tried, in this order.
 PARTS = (64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 #: Rows of a bank from which its codes are learned.
 TRAIN_ROWS = 4_096
@@ -143,24 +146,71 @@ def draw_support(images: DataFrame, seeds: tuple[int, ...], n_shot: int, group:
     return drawn.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n_shot).drop("__n")
 
 
-def evaluate(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Image scores of all images outside the support (``seed``, ``category``, ``image_id``,
-    ``image_label``, ``score``), and the nearest distances of the support patches to those of
-    other support images.
+def patch_scores(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The patches of all images outside the support with ``seed`` and ``d2``; the nearest distances of the support
+    patches to those of other support images; and the bank of each seed and category.
 
-    ``patches`` has category, image_id, image_label, vec_id and embedding.
+    ``patches`` has category, image_id, image_label, vec_id and embedding. The bank is written once.
+    Which seeds an image supports is a small table (a row for each drawn image) that goes to the
+    patches, so these are neither shuffled nor joined by their vectors.
     """
     normal = patches.where("image_label = 0").select("category", "image_id").distinct()
     support = draw_support(normal, seeds, n_shot)
     keys = ["seed", "category"]
     # seeds * categories * n_shot images, far fewer than the patches
-    bank = patches.join(support, ["category", "image_id"])
+    own = materialise(support.groupBy("category", "image_id").agg(F.collect_set("seed").alias("__own")), "support")
+    bank = patches.join(own, ["category", "image_id"]).withColumn("seed", F.explode("__own")).drop("__own")
+    bank = materialise(bank, "bank")
     known = coded_bank(bank, search, m, bits)
-    tests = patches.withColumn("seed", F.explode(F.array(*map(F.lit, seeds)))).join(support, [*keys, "image_id"], "left_anti")
+    every = F.array(*map(F.lit, seeds))
+    left = F.when(F.col("__own").isNull(), every).otherwise(F.array_except(every, F.col("__own")))
+    tests = patches.join(own, ["category", "image_id"], "left").withColumn("seed", F.explode(left)).drop("__own")
     found = bank_distances(tests, known, keys).where("d2 is not null").withColumn("d2", F.round("d2", 9))
-    scores = found.groupBy(*keys, "image_id", "image_label").agg(F.max("d2").alias("score"))
     inner = bank_distances(bank, known, keys, own="image_id").where("d2 is not null").select(*keys, "vec_id", F.round("d2", 9).alias("d2"))
-    return scores, inner
+    return found, inner, bank
+
+
+def evaluate(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Image scores of all images outside the support (``seed``, ``category``, ``image_id``,
+    ``image_label``, ``score``), and the nearest distances of the support patches to those of
+    other support images.
+    """
+    found, inner, _ = patch_scores(patches, seeds, n_shot, search, m, bits)
+    return found.groupBy("seed", "category", "image_id", "image_label").agg(F.max("d2").alias("score")), inner
+
+
+def patch_maps(found: DataFrame, side: int, patch: str = "patch", patch_label: str = "patch_label") -> DataFrame:
+    """Each image's map of distances (``values``) and of labels (``labels``), row by row; images that lack a patch are left out.
+
+    An image has ``side * side`` patches, numbered from 0.
+    """
+    cells = found.groupBy("seed", "category", "image_id").agg(F.sort_array(F.collect_list(F.struct(patch, "d2", patch_label))).alias("cells"))
+    return cells.where(F.size("cells") == side * side).select("seed", "category", "image_id", F.col("cells.d2").alias("values"), F.col(f"cells.{patch_label}").alias("labels"))
+
+
+def evaluate_whole(
+    patches: DataFrame, seeds: tuple[int, ...], n_shot: int, side: int, size: int, search: str = "exact", m: int = 16, bits: int = 4, sigma: float | None = 4.0, tail: float = 0.1, alpha: float = 0.01
+) -> DataFrame:
+    """Per seed and category all that an evaluation reports: n_pos, n_neg, auroc, the extreme-value threshold ``tau`` of the
+    support's distances (with shape and scale), fpr and fnr there, the code's error ``r_max`` and ``r_avg``, and pixel_auroc.
+
+    ``patches`` also has ``patch`` (its place in the image) and ``patch_label``. Maps are resampled to ``size`` and
+    blurred by ``sigma``.
+    """
+    keys = ("seed", "category")
+    found, inner, bank = patch_scores(patches, seeds, n_shot, search, m, bits)
+    found = materialise(found, "patch-scores")
+    scores = found.groupBy(*keys, "image_id", "image_label").agg(F.max("d2").alias("score"))
+    fits = gpd_thresholds(materialise(inner, "support-distances"), "d2", keys, tail, alpha).select(*keys, "shape", "scale", "tau")
+    rates = rates_at(scores.join(fits, list(keys)), "score", "image_label", F.col("tau"), keys).drop("n")
+    areas = pixel_auroc(patch_maps(found, side), keys, "values", "labels", upsampled(side, size, sigma)).select(*keys, "pixel_auroc")
+    coded = coded_bank(bank, search, m, bits).select(*keys, "vec_id", F.col("embedding").alias("__coded"))
+    error = F.sqrt(l2sq(F.col("embedding"), F.col("__coded")))
+    errors = bank.join(coded, [*keys, "vec_id"]).groupBy(*keys).agg(F.max(error).alias("r_max"), F.avg(error).alias("r_avg"))
+    out = auroc(scores, "score", "image_label", keys)
+    for more in (fits, rates, errors, areas):  # a row for each seed and category
+        out = out.join(more, list(keys), "left")
+    return out
 
 
 def evaluated(scores: DataFrame, inner: DataFrame, quantile: float = 0.95) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.vectors import norm
-from orbweave.operators import bank, evaluation, evt, reports
+from orbweave.operators import bank, evaluation, evt, pixels, reports
 from orbweave.operators.experiments import ProgressTable
 from orbweave.operators.metrics import auroc
 from orbweave.plans.registry import query
@@ -71,6 +71,46 @@ def shots_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made[0].unionByName(made[1]).unionByName(made[2])
 
 
+def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches with a label of their own; an image is 2 x 2 of them."""
+    return patches(embeddings(spark, sf_dir)).withColumn("patch_label", (F.col("label") >= 8).cast("int"))
+
+
+#: Bicubic weights from 2 to 8 points and a blur of one point either way, by their formulas.
+_WEIGHTS = """
+    wo AS (SELECT i, floor((i + 0.5) / 4 - 0.5)::INTEGER AS b, (i + 0.5) / 4 - 0.5 AS x FROM (SELECT i::DOUBLE AS i FROM range(0, 8) r(i))),
+    wc AS (SELECT i, least(1, greatest(0, j)) AS j, abs(x - j) AS d FROM wo, LATERAL (SELECT unnest(range(b - 1, b + 3)) AS j)),
+    up AS (SELECT i, j, sum(CASE WHEN d <= 1 THEN 1.25 * d * d * d - 2.25 * d * d + 1 ELSE -0.75 * (d * d * d - 5 * d * d + 8 * d - 4) END) AS w FROM wc GROUP BY ALL),
+    wg AS (SELECT k, exp(-0.5 * k * k)::DOUBLE / (1 + 2 * exp(-0.5::DOUBLE)) AS w FROM range(-1, 2) r(k)),
+    ws AS (SELECT i, CASE WHEN i + k < 0 THEN -1 - i - k WHEN i + k > 7 THEN 15 - i - k ELSE i + k END AS n, w FROM range(0, 8) r(i), wg),
+    wt AS (SELECT ws.i, up.j, sum(ws.w * up.w) AS w FROM ws JOIN up ON up.i = ws.n GROUP BY ALL)"""
+
+
+@query(
+    evaluation_sql((4,))
+    + f""", {_WEIGHTS},
+    m4 AS (SELECT d.seed, d.category, d.image_id, d.vec_id % 4 AS p, d2, (label >= 8)::INTEGER AS y FROM d JOIN embeddings USING (vec_id)),
+    full4 AS (SELECT * FROM m4 JOIN (SELECT seed, image_id FROM m4 GROUP BY ALL HAVING count(*) = 4) USING (seed, image_id)),
+    px AS (SELECT seed, category, image_id, a.i AS r, b.i AS c, round(sum(a.w * b.w * d2), 9) AS s, max(y) FILTER (p = 2 * (a.i // 4) + b.i // 4) AS y FROM full4, wt a, wt b WHERE a.j = p // 2 AND b.j = p % 2 GROUP BY ALL),
+    px_s AS (SELECT seed, category, s, sum(y) AS pos, sum(1 - y) AS neg FROM px GROUP BY ALL),
+    px_w AS (SELECT *, sum(neg) OVER (PARTITION BY seed, category ORDER BY s) - neg AS below FROM px_s)
+    SELECT seed, category, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 5) AS pixel_auroc FROM px_w GROUP BY ALL"""
+)
+def pixel_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC over all pixels of the maps of distances, resampled from 2 x 2 to 8 x 8 and blurred, by seed and category."""
+    found, _, _ = evaluation.patch_scores(_patches(spark, sf_dir), SEEDS, 4)
+    maps = evaluation.patch_maps(materialise(found, "patch-scores"), 2)
+    made = pixels.pixel_auroc(maps, ("seed", "category"), "values", "labels", pixels.upsampled(2, 8, 1.0, 1))
+    return made.withColumn("pixel_auroc", F.round("pixel_auroc", 5))
+
+
+@query()
+def whole_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All figures of an evaluation by codes: AUROC of images and pixels, extreme-value threshold, error rates, error of the codes."""
+    made = evaluation.evaluate_whole(_patches(spark, sf_dir), SEEDS, 4, 2, 16, "pq", bits=2, sigma=2.0, tail=0.2, alpha=0.05)
+    return _rounded(made, *[c for c in made.columns if c not in ("seed", "category", "n_pos", "n_neg")])
+
+
 def _grid(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
