@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from orbweave.plans.registry import query
 from orbweave.plans.vector_queries import L2SQ
-from orbweave.sources.store import shared_dir
+from orbweave.sources.store import materialise, shared_dir
 from orbweave.sources.tables import load
 from orbweave.streaming import events as E
+from orbweave.streaming import state
 
 
 def _drained(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
@@ -99,3 +100,31 @@ def hourly_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(
         F.count("*").alias("n"), F.round(F.avg((F.col("value") > 100).cast("double")) * 100, 6).alias("alarm_percent")
     )
+
+
+@query()
+def stream_recent_until_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five events of each user since the user was last idle for a day, in state that goes with it."""
+    out = _drained(spark, state.recent_until_idle(_events(spark, sf_dir), "user_id", idle_minutes=1_440), "until-idle")
+    now = out.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max_by("event_ids", "seen").alias("event_ids"))
+    return now.withColumn("event_ids", F.array_join(F.col("event_ids").cast("array<string>"), ","))
+
+
+def _sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drained(spark, state.sketched(_events(spark, sf_dir), "event_type", "12 hours"), "sketches")
+
+
+@query(f"""WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS s, event_type, count(value) AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2 HAVING s + INTERVAL 12 HOUR <= {CLOSED})
+    SELECT epoch(s)::BIGINT AS start_s, event_type, n, n AS sketched FROM w""")
+def stream_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a stream with a sketch of their values: how many it has taken in."""
+    w = _sketches(spark, sf_dir)
+    return w.select(F.unix_timestamp("start").alias("start_s"), "event_type", "n", F.kll_sketch_get_n_double("sketch").alias("sketched"))
+
+
+@query()
+def stream_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows whose values differ from those of the window before, and the threshold that the last ten give."""
+    w = materialise(_sketches(spark, sf_dir), "windows")
+    limits = state.adaptive_thresholds(w, "event_type", back=10).drop("n")
+    return state.drift(w, "event_type").join(limits, ["start", "event_type"]).select(F.unix_timestamp("start").alias("start_s"), "event_type", "n", "drifted", (F.col("threshold").isNotNull()).alias("has_threshold"))

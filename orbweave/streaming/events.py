@@ -1,7 +1,8 @@
 """Event-time monitoring with Structured Streaming.
 
 Each function takes a streaming (or batch) DataFrame of events with a timestamp and
-returns one; the caller chooses the sink. State is bounded by the watermark.
+returns one; the caller chooses the sink. State is bounded by the watermark, but that of
+``recent``, which is bounded by the keys (``state.recent_until_idle`` lets idle ones go).
 """
 
 from __future__ import annotations
@@ -127,20 +128,38 @@ def streaks(events: DataFrame, limit: float, least: int = 3, runs: DataFrame | N
     return found, now.unionByName(idle)
 
 
-def drain_streaks(stream: DataFrame, path: str, checkpoint: str, limit: float, least: int = 3) -> DataFrame:
+def drain_streaks(stream: DataFrame, path: str, checkpoint: str, limit: float, least: int = 3, delay_s: int | None = None) -> DataFrame:
     """Run ``streaks`` over what is there now, batch by batch, into a Parquet table, and read that.
 
     Each batch writes its rows and the runs that are open after it under its own number, so
-    a batch that is run again writes the same.
+    a batch that is run again writes the same. With ``delay_s`` events wait until they are
+    that many seconds behind the latest one, so late events take their place by time; events behind
+    what was already given out are left out, and the last ``delay_s`` seconds wait for the next run.
+    Without it each batch is taken as later than those before.
     """
     spark, kind = stream.sparkSession, "event_type string, event_id long, batch long"
 
+    def at(table: str, number: int) -> str:
+        return f"{path}/{table}/batch={number}"
+
     def one(batch: DataFrame, number: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
-        runs = spark.read.schema("event_type string, run long").parquet(f"{path}/runs/batch={number - 1}") if number else None
-        found, now = streaks(batch, limit, least, runs)
-        found.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        now.write.mode("overwrite").parquet(f"{path}/runs/batch={number}")
+        ready = batch
+        if delay_s is not None:
+            held = spark.read.schema(batch.schema).parquet(at("held", number - 1)) if number else batch.limit(0)
+            before = spark.read.schema("until long").parquet(at("until", number - 1)).first().until if number else None
+            latest = batch.agg(F.max(F.unix_micros("ts"))).first()[0]
+            until = max([t for t in (before, None if latest is None else latest - delay_s * 1_000_000) if t is not None], default=None)
+            on_time = batch if before is None else batch.where(F.col("ts").isNull() | (F.unix_micros("ts") > before))
+            waiting = held.unionByName(on_time)
+            behind = F.col("ts").isNull() | (F.unix_micros("ts") <= F.lit(until).cast("long"))
+            ready = waiting.where(behind)
+            waiting.where(~F.coalesce(behind, F.lit(False))).write.mode("overwrite").parquet(at("held", number))
+            spark.createDataFrame([(until,)], "until long").coalesce(1).write.mode("overwrite").parquet(at("until", number))
+        runs = spark.read.schema("event_type string, run long").parquet(at("runs", number - 1)) if number else None
+        found, now = streaks(ready, limit, least, runs)
+        found.write.mode("overwrite").parquet(at("rows", number))
+        now.write.mode("overwrite").parquet(at("runs", number))
         batch.unpersist()
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
