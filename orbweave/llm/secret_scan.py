@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orbweave.llm.common import before_each, blocks_of, let, materialise, span_of
+from orbweave.llm.common import before_each, blocks_of, fresh, let, materialise, span_of
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,9 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
+#: Bits of the table that tells which rows may be candidates, for each of these, and at most (1,048,576 longs).
+BITS_A_KEY = 16
+MOST_BITS = 1 << 26
 #: Above so many alternative strings a part of a pattern sets no condition.
 MOST_STRINGS = 128
 
@@ -160,6 +163,21 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...], trigrams: list[str]) -
     return index.groupBy("doc").agg(*bits).select("doc", kinds.alias("kinds")).where(F.size("kinds") > 0)
 
 
+def may_be_among(docs: DataFrame, key: Column, found: DataFrame, out: str) -> DataFrame:
+    """``docs`` with the flag ``out``: false if no row of ``found`` has this ``key`` as its ``doc``, true if one may.
+
+    The keys of ``found`` set bits of a table with ``BITS_A_KEY`` times as many bits, ``MOST_BITS`` at
+    most; it is broadcast. Beyond that size more rows are flagged than need be, and none is missed.
+    """
+    bits = min(MOST_BITS, 1 << max(6, (BITS_A_KEY * found.count()).bit_length()))
+    word = lambda k: F.floor(F.pmod(k, F.lit(bits)) / 64).cast("long")
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.pmod(k, F.lit(bits)) % 64).cast("int"))
+    # at most MOST_BITS / 64 rows of two longs
+    words = F.broadcast(found.groupBy(word(F.col("doc")).alias("__word")).agg(F.bit_or(bit(F.col("doc"))).alias("__bits")))
+    held = F.coalesce(F.col("__bits"), F.lit(0).cast("bigint")).bitwiseAND(bit(key)) != 0
+    return docs.join(words, word(key) == F.col("__word"), "left").withColumn(out, held).drop("__word", "__bits")
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
     """Spans of a rule's leftmost non-overlapping matches, in code points.
 
@@ -204,9 +222,11 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not indexed:
         return docs.withColumn(out, F.flatten(F.array(*[rule_spans(text, r) for r in full])))
     found = materialise(candidates(postings(docs, id_col, text_col, trigrams), rules, trigrams), "secret-candidates")
+    key, flag = row_key(id_col, text_col), fresh(docs, "__may_hold")
+    marked = may_be_among(docs, key, found, flag)
     found = found.select(F.col("doc").alias("__secret_doc"), F.col("kinds").alias("__secret_kinds"))
-    # the candidates grow with the input: one hash join by shuffle at every size, so that no text is sorted
-    joined = docs.join(found.hint("shuffle_hash"), row_key(id_col, text_col) == F.col("__secret_doc"), "left")
+    # only texts that may be candidates meet them; the others stay where they are
+    joined = marked.where(flag).drop(flag).join(found, key == F.col("__secret_doc"), "left")
     none = F.array().cast(SPAN)
     kinds = F.coalesce(F.col("__secret_kinds"), F.array().cast("array<string>"))
     each = [rule_spans(text, r) for r in full] + [
@@ -218,7 +238,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("at"), s["end"].alias("end"), s["kind"].alias("kind")),
     )
     spans = F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    return joined.withColumn(out, spans).drop("__secret_doc", "__secret_kinds")
+    others = marked.where(~F.col(flag)).drop(flag)
+    verified = joined.withColumn(out, spans).drop("__secret_doc", "__secret_kinds")
+    return verified.unionByName(others.withColumn(out, F.flatten(F.array(*[rule_spans(text, r) for r in full])) if full else none))
 
 
 def redact(text: Column, spans: Column) -> Column:

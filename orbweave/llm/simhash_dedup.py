@@ -32,6 +32,8 @@ SEED = 42
 THRESHOLD = 3
 #: Fingerprints at one anchor that one task compares; more are cut into chunks of half that.
 MOST_AT_ANCHOR = 20_000
+#: Keys of chosen rows, of 8 bytes, that one task holds, about.
+MOST_KEYS = 1_000_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -248,7 +250,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows any one. All columns are kept.
 
     The rows meet the chosen keys in one hash join by shuffle, at every size: the keys
-    grow with the input, so they are not broadcast, and texts need no sorting.
+    grow with the input, so they are not broadcast, and texts need no sorting. There are as
+    many partitions as keep the keys of each below ``MOST_KEYS``, which a task holds.
     """
     marked = materialise(add_fingerprints(docs, text_col, "__fp", row_key="__row"), "fingerprints")
     first = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col("__row").alias("row"))
@@ -257,7 +260,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         reached = components(link_fingerprints(prints)).withColumnRenamed("node", "fp")
         chosen = prints.join(reached, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
         chosen = materialise(chosen.select(F.col("least.row").alias("__row")), "chosen", keep=True)
-    return marked.join(chosen.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chosen.count() // MOST_KEYS))
+    kept = marked.repartition(parts, "__row").join(chosen.repartition(parts, "__row").hint("shuffle_hash"), "__row", "left_semi")
+    return kept.select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
