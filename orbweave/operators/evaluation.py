@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from orbweave.functions.vectors import is_finite, l2sq, normalise
 from orbweave.operators.bank import evenly_spaced, k_centre_coreset, kmeans_coreset, orbit_dedupe
 from orbweave.operators.evt import gpd_thresholds
+from orbweave.operators.grids import orbit, rotate
 from orbweave.operators.knn import BLOCK, ProductQuantiser, as_matrix, sample_matrix, squared_distances
 from orbweave.operators.metrics import auroc, rates_at
 from orbweave.operators.pixels import pixel_auroc, upsampled
@@ -146,13 +147,17 @@ def draw_support(images: DataFrame, seeds: tuple[int, ...], n_shot: int, group:
     return drawn.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n_shot).drop("__n")
 
 
-def patch_scores(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+def patch_scores(
+    patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4, orbit_side: int | None = None, turns: int = 0, turned_side: int = 8
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The patches of all images outside the support with ``seed`` and ``d2``; the nearest distances of the support
     patches to those of other support images; and the bank of each seed and category.
 
     ``patches`` has category, image_id, image_label, vec_id and embedding. The bank is written once.
     Which seeds an image supports is a small table (a row for each drawn image) that goes to the
-    patches, so these are neither shuffled nor joined by their vectors.
+    patches, so these are neither shuffled nor joined by their vectors. With ``orbit_side`` the bank
+    holds each vector in its eight views as a square grid of that side; ``turns`` quarter turns are
+    made of the grids (of ``turned_side``) of the tested patches.
     """
     normal = patches.where("image_label = 0").select("category", "image_id").distinct()
     support = draw_support(normal, seeds, n_shot)
@@ -160,22 +165,26 @@ def patch_scores(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search
     # seeds * categories * n_shot images, far fewer than the patches
     own = materialise(support.groupBy("category", "image_id").agg(F.collect_set("seed").alias("__own")), "support")
     bank = patches.join(own, ["category", "image_id"]).withColumn("seed", F.explode("__own")).drop("__own")
+    if orbit_side is not None:
+        bank = orbit(bank, "embedding", orbit_side).select(*bank.columns)
     bank = materialise(bank, "bank")
     known = coded_bank(bank, search, m, bits)
     every = F.array(*map(F.lit, seeds))
     left = F.when(F.col("__own").isNull(), every).otherwise(F.array_except(every, F.col("__own")))
     tests = patches.join(own, ["category", "image_id"], "left").withColumn("seed", F.explode(left)).drop("__own")
+    if turns:
+        tests = tests.withColumn("embedding", rotate(F.col("embedding"), turned_side, turns))
     found = bank_distances(tests, known, keys).where("d2 is not null").withColumn("d2", F.round("d2", 9))
     inner = bank_distances(bank, known, keys, own="image_id").where("d2 is not null").select(*keys, "vec_id", F.round("d2", 9).alias("d2"))
     return found, inner, bank
 
 
-def evaluate(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4) -> tuple[DataFrame, DataFrame]:
+def evaluate(patches: DataFrame, seeds: tuple[int, ...], n_shot: int, search: str = "exact", m: int = 16, bits: int = 4, **views) -> tuple[DataFrame, DataFrame]:
     """Image scores of all images outside the support (``seed``, ``category``, ``image_id``,
     ``image_label``, ``score``), and the nearest distances of the support patches to those of
-    other support images.
+    other support images. ``views`` are those of ``patch_scores``.
     """
-    found, inner, _ = patch_scores(patches, seeds, n_shot, search, m, bits)
+    found, inner, _ = patch_scores(patches, seeds, n_shot, search, m, bits, **views)
     return found.groupBy("seed", "category", "image_id", "image_label").agg(F.max("d2").alias("score")), inner
 
 
@@ -219,3 +228,9 @@ def evaluated(scores: DataFrame, inner: DataFrame, quantile: float = 0.95) -> Da
     tau = inner.groupBy(*keys).agg(F.percentile("d2", quantile).alias("tau"))
     rates = rates_at(scores.join(tau, list(keys)), "score", "image_label", F.col("tau"), keys).drop("n")
     return auroc(scores, "score", "image_label", keys).join(tau, list(keys), "left").join(rates, list(keys), "left")
+
+
+def distance_statistics(features: DataFrame, bank: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row: how many features there are, and the mean and population deviation of their squared distances to the nearest vector of the bank."""
+    found = bank_distances(features, bank, keys or []).where("d2 is not null")
+    return found.agg(F.count("*").alias("n"), F.avg("d2").alias("distance_mean"), F.stddev_pop("d2").alias("distance_sd"))

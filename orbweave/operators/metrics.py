@@ -93,13 +93,19 @@ def confusion(df: DataFrame, score: str, label: str, threshold: Column, groups:
 
 
 def tpr_at_fpr(df: DataFrame, score: str, label: str, group: str, tie: str, cap: float = 0.3) -> DataFrame:
-    """Per group: share of positives met, by falling score, before the FPR exceeds ``cap``."""
-    order = Window.partitionBy(group).orderBy(F.desc(score), tie)
-    whole = Window.partitionBy(group)
-    n_neg, n_pos = F.count_if(F.col(label) == 0).over(whole), F.count_if(F.col(label) == 1).over(whole)
-    walked = df.select(group, label, F.count_if(F.col(label) == 0).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("fp"), n_neg.alias("n_neg"), n_pos.alias("n_pos"))
-    met = (F.col(label) == 1) & (F.coalesce(F.col("fp") / F.nullif(F.col("n_neg"), F.lit(0)), F.lit(0.0)) <= cap)
-    return walked.where(F.col("n_pos") > 0).groupBy(group).agg((F.count_if(met) / F.max("n_pos")).alias("tpr"))
+    """Per group: share of positives met, by falling score (then rising ``tie``), before the FPR exceeds ``cap``.
+
+    Negatives above a score are running sums over the distinct scores; only rows of one score are walked together.
+    """
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(group).alias("__g"), (-F.col(score).cast("double")).alias("__falling"))
+    by_score = counts.agg(F.count_if(F.col(label) == 0).alias("__neg"), F.count_if(F.col(label) == 1).alias("__pos"))
+    above = running_sums(by_score, "__falling", {"__above": "__neg"}, ("__g",), totals={"n_neg": "__neg", "n_pos": "__pos"}).select("__g", "__falling", "__above", "n_neg", "n_pos")
+    rows = df.select(F.col(group).alias("g"), (-F.col(score).cast("double")).alias("f"), F.col(tie).alias("t"), F.col(label).alias("y"))
+    met = rows.join(above, F.col("g").eqNullSafe(F.col("__g")) & F.col("f").eqNullSafe(F.col("__falling")))
+    equal = Window.partitionBy("g", "f").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    fp = F.col("__above") + F.count_if(F.col("y") == 0).over(equal)
+    walked = met.where("n_pos > 0").select("g", "y", "n_pos", (F.coalesce(fp / F.nullif(F.col("n_neg"), F.lit(0)), F.lit(0.0)) <= cap).alias("within"))
+    return walked.groupBy(F.col("g").alias(group)).agg((F.count_if((F.col("y") == 1) & F.col("within")) / F.max("n_pos")).alias("tpr"))
 
 
 def trapezoid(points: DataFrame, x: str, y: str, groups: tuple[str, ...], out: str = "area") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from orbweave.functions.vectors import norm
-from orbweave.operators import bank, evaluation, evt, pixels, reports
+from orbweave.operators import bank, evaluation, evt, knn, pixels, reports, vector_index
 from orbweave.operators.experiments import ProgressTable
 from orbweave.operators.metrics import auroc
 from orbweave.plans.registry import query
@@ -19,16 +20,25 @@ from orbweave.sources.tables import patches
 SEEDS = (111, 333, 999)
 
 
-def evaluation_sql(shots: tuple[int, ...]) -> str:
+def _views(orbit: bool, turns: int) -> tuple[str, str]:
+    """In SQL: the views of a bank's grids as a table, and the tested grids turned; places by NumPy's own turns."""
+    grid = np.arange(64).reshape(8, 8)
+    at = [np.rot90(np.fliplr(grid) if m else grid, t).ravel().tolist() for m in (0, 1) for t in range(4)] if orbit else [grid.ravel().tolist()]
+    turned = "v" if not turns else f"list_transform({np.rot90(grid, turns).ravel().tolist()}, lambda i: v[i + 1])"
+    return ", ".join(f"({a})" for a in at), turned
+
+
+def evaluation_sql(shots: tuple[int, ...], orbit: bool = False, turns: int = 0) -> str:
     """Common table expressions up to ``res``: AUROC, tau, FPR and FNR per shots, seed and category."""
+    views, turned = _views(orbit, turns)
     seeds, sizes = ", ".join(f"({s})" for s in SEEDS), ", ".join(f"({s})" for s in shots)
     return f"""
     WITH p AS (SELECT vec_id, vec_id // 4 AS image_id, 'c' || ((vec_id // 4) % 3) AS category, label, embedding::DOUBLE[] AS v FROM embeddings),
     i AS (SELECT image_id, category, max((label >= 8)::INTEGER) AS y FROM p GROUP BY 1, 2),
     r AS (SELECT seed, i.*, row_number() OVER (PARTITION BY seed, category ORDER BY md5(seed || ':' || image_id), image_id) AS n FROM i, (VALUES {seeds}) s(seed) WHERE y = 0),
     s AS (SELECT n_shot, seed, category, image_id FROM r, (VALUES {sizes}) z(n_shot) WHERE n <= n_shot),
-    b AS (SELECT s.*, vec_id, v FROM s JOIN p USING (category, image_id)),
-    t AS (SELECT n_shot, seed, p.*, y FROM p JOIN i USING (image_id), (VALUES {seeds}) s(seed), (VALUES {sizes}) z(n_shot)),
+    b AS (SELECT s.*, vec_id, list_transform(places, lambda i: v[i + 1]) AS v FROM s JOIN p USING (category, image_id), (VALUES {views}) views(places)),
+    t AS (SELECT n_shot, seed, p.* REPLACE ({turned} AS v), y FROM p JOIN i USING (image_id), (VALUES {seeds}) s(seed), (VALUES {sizes}) z(n_shot)),
     d AS (SELECT t.n_shot, t.seed, t.category, t.image_id, y, t.vec_id, round(min({L2SQ.format(a='t.v', b='b.v')}), 9) AS d2
           FROM t JOIN b ON t.n_shot = b.n_shot AND t.seed = b.seed AND t.category = b.category
           WHERE NOT EXISTS (FROM s WHERE s.n_shot = t.n_shot AND s.seed = t.seed AND s.image_id = t.image_id) GROUP BY ALL),
@@ -138,6 +148,70 @@ def ablation_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(out)
 
 
+def _means(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    scores, _ = evaluation.evaluate(patches(embeddings(spark, sf_dir)), SEEDS[:2], 4, **how)
+    return auroc(materialise(scores, "scores"), "score", "image_label", ("seed", "category")).groupBy("category").agg(F.avg("auroc").alias("auroc"))
+
+
+_P4M_SQL = " UNION ALL ".join(f"SELECT category, {str(o).lower()} AS p4m, round(avg(auroc), 6) AS auroc FROM ({evaluation_sql((4,), o)} SELECT * FROM res WHERE seed IN (111, 333)) GROUP BY category" for o in (False, True))
+
+
+@query(_P4M_SQL)
+def p4m_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC by exact search with a bank of all eight views of its grids, and of one."""
+    return _grid([_rounded(_means(spark, sf_dir, orbit_side=8 if o else None), "auroc").select("category", F.lit(o).alias("p4m"), "auroc") for o in (False, True)])
+
+
+@query()
+def p4m_ablation_2x2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean AUROC with all views or one, by exact search and by codes."""
+    out = []
+    for o in (False, True):
+        for search in evaluation.SEARCHES:
+            mean = _means(spark, sf_dir, search=search, orbit_side=8 if o else None).agg(F.round(F.avg("auroc"), 6).alias("auroc"))
+            out.append(mean.select(F.lit(o).alias("p4m"), F.lit(search).alias("search"), "auroc"))
+    return _grid(out)
+
+
+_TURNS_SQL = " UNION ALL ".join(f"SELECT category, {str(o).lower()} AS p4m, {90 * k} AS degrees, avg(auroc) AS auroc FROM ({evaluation_sql((4,), o, k)} SELECT * FROM res WHERE seed IN (111, 333)) GROUP BY category" for o in (False, True) for k in range(4))
+
+
+@query(f"""WITH a AS ({_TURNS_SQL}), b AS (SELECT a.*, 100 * (r.auroc - a.auroc) AS dropped FROM a JOIN a r ON a.category = r.category AND a.p4m = r.p4m AND r.degrees = 0)
+    SELECT category, p4m, degrees, round(auroc, 6) AS auroc, round(dropped, 4) AS drop_points, abs(dropped) <= 2 AS within_2 FROM b""")
+def rotation_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUROC when the tested grids are turned, with and without all views in the bank; the drop against those not turned."""
+    parts = [_means(spark, sf_dir, orbit_side=8 if o else None, turns=k).select("category", F.lit(o).alias("p4m"), F.lit(90 * k).alias("degrees"), "auroc") for o in (False, True) for k in range(4)]
+    rows = materialise(_grid(parts), "turned")
+    drops = reports.against_reference(rows, ["category", "p4m"], F.col("degrees") == 0, "auroc")
+    dropped = 100 * (F.col("reference") - F.col("auroc"))
+    return drops.select("category", "p4m", "degrees", F.round("auroc", 6).alias("auroc"), F.round(dropped, 4).alias("drop_points"), (F.abs(dropped) <= 2).alias("within_2"))
+
+
+@query()
+def index_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tail's fit and threshold on distances that an exact search, inverted lists and two codes give, against the exact one."""
+    e = embeddings(spark, sf_dir).where("label < 8")
+    asked = e.where("vec_id % 20 = 0")
+    at = lambda name: f"{shared_dir(spark)}/orbweave/stability-{name}-{uuid.uuid4().hex}"
+    exact = knn.exact_knn(asked, e, 1, exclude="id").select(F.lit("exact").alias("search"), "d2")
+    parts = [exact]
+    for name, how in (("ivf", {}), ("ivfpq-4", {"m": 16, "bits": 4}), ("ivfpq-8", {"m": 16, "bits": 8})):
+        index = vector_index.build_index(e, at(name), 8, recall=None, n_probe=2, **how)
+        parts.append(vector_index.search_index(asked, index, 1, exclude_self=True).select(F.lit(name).alias("search"), "d2"))
+    rows = materialise(_grid(parts), "stability")
+    fits = evt.gpd_thresholds(rows, "d2", ("search",), 0.3, 0.05)
+    return reports.against_reference(fits, [], F.col("search") == "exact", "tau").select("search", "n_tail", *[F.round(c, 6).alias(c) for c in ("u", "shape", "scale", "tau", "delta")])
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n, greatest(1, least(64, floor(count(*) * 0.1)))::INTEGER AS k FROM embeddings), l AS (SELECT DISTINCT floor(i * ((n - 1) / (k - 1)::DOUBLE))::BIGINT AS place FROM n, range(0, 64) r(i) WHERE i < k - 1 UNION SELECT n - 1 FROM n),
+    e AS (SELECT vec_id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings), d AS (SELECT e.vec_id, min({L2SQ.format(a='e.v', b='b.v')}) AS d2 FROM e, e b JOIN l ON b.place = l.place GROUP BY 1)
+    SELECT count(*) AS n, round(avg(d2), 6) AS distance_mean, round(stddev_pop(d2), 6) AS distance_sd FROM d""")
+def bank_distance_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of all vectors' distances to a bank of evenly spaced ones."""
+    e = embeddings(spark, sf_dir)
+    return _rounded(evaluation.distance_statistics(e, materialise(bank.evenly_spaced(e, "vec_id"), "bank")), "distance_mean", "distance_sd")
+
+
 @query()
 def quantised_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the tail's fit and threshold move with the index; each setting's result is kept as soon as it is there."""

@@ -40,18 +40,20 @@ def gpd_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evt.gpd_thresholds(_events(spark, sf_dir), "value", ("event_type",), 0.1, 0.01)
 
 
-#: Fits with known thresholds, as literal rows.
-FITS = "(VALUES ('flat', 10.0::DOUBLE, 0.0::DOUBLE, 2.0::DOUBLE), ('heavy', 10.0, 0.2357, 1.9334), ('short', 10.0, -0.4, 2.0), ('none', 10.0, NULL, NULL)) f(name, u, shape, scale)"
+#: A fit for each user, from the user's events: a shape of 0 for some, and none for others.
+FITS = """(SELECT user_id, max(value)::DOUBLE AS u, CASE WHEN user_id % 7 = 0 THEN NULL ELSE (count(*) % 5 - 2) / 5.0::DOUBLE END AS shape,
+    CASE WHEN user_id % 7 = 0 THEN NULL ELSE avg(value) END AS scale FROM events WHERE value IS NOT NULL GROUP BY user_id) f"""
 
 
-@query(f"""SELECT name, round(CASE WHEN shape IS NULL THEN 1.05 * u WHEN abs(shape) < 1e-5 THEN u - scale * ln(0.1) ELSE u + scale / shape * (pow(0.1, -shape) - 1) END, 6) AS tau,
+@query(f"""SELECT user_id, round(CASE WHEN shape IS NULL THEN 1.05 * u WHEN abs(shape) < 1e-5 THEN u - scale * ln(0.1) ELSE u + scale / shape * (pow(0.1, -shape) - 1) END, 6) AS tau,
     round(CASE WHEN shape IS NULL THEN 1.05 * u WHEN abs(shape) < 1e-5 THEN u - scale * ln(0.01) ELSE u + scale / shape * (pow(0.01, -shape) - 1) END, 6) AS tau_unconditional FROM {FITS}""")
 def evt_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both forms of the threshold."""
-    rows = [("flat", 10.0, 0.0, 2.0), ("heavy", 10.0, 0.2357, 1.9334), ("short", 10.0, -0.4, 2.0), ("none", 10.0, None, None)]
-    f = spark.createDataFrame(rows, "name string, u double, shape double, scale double")
+    """Both forms of the threshold, for a fit of each user."""
+    known = F.col("user_id") % 7 != 0
+    users = load(spark, sf_dir, "events").where("value IS NOT NULL").groupBy("user_id").agg(F.max("value").alias("u"), F.count("*").alias("n"), F.avg("value").alias("mean"))
+    f = users.select("user_id", "u", F.when(known, (F.col("n") % 5 - 2) / 5.0).alias("shape"), F.when(known, F.col("mean")).alias("scale"))
     args = (F.col("u"), F.col("shape"), F.col("scale"), 0.01, 0.1)
-    return f.select("name", F.round(evt.threshold(*args), 6).alias("tau"), F.round(evt.threshold(*args, conditional=False), 6).alias("tau_unconditional"))
+    return f.select("user_id", F.round(evt.threshold(*args), 6).alias("tau"), F.round(evt.threshold(*args, conditional=False), 6).alias("tau_unconditional"))
 
 
 @query()

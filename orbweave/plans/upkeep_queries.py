@@ -55,9 +55,12 @@ def mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gaussian_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Moments of seeded normal vectors."""
-    x = files.gaussian_vectors(spark, 10_000, 16, 7).select(F.explode("embedding").alias("x"))
-    return x.agg(F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"), F.round(F.kurtosis("x"), 3).alias("excess"))
+    """For each label, its vectors with seeded normal noise added: the moments of what was added, and how many there are."""
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    noise = files.gaussian_vectors(spark, (e.agg(F.max("vec_id")).first()[0] or 0) + 1, 64, 7).withColumnRenamed("embedding", "noise")
+    added = F.zip_with("embedding", "noise", lambda x, n: x.cast("double") + n)
+    x = e.join(noise, "vec_id").select("label", F.explode(F.zip_with(added, "embedding", lambda a, b: a - b)).alias("x"))
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.stddev_pop("x"), 4).alias("sd"))
 
 
 @query("SELECT vec_id, (i - 1)::INTEGER AS p, round((embedding[(i - 1) // 4 * 2 * 8 + (i - 1) % 4 * 2 + 1]::DOUBLE / 255 - 0.485) / 0.229, 6) AS x FROM embeddings, range(1, 17) r(i)")
@@ -104,26 +107,30 @@ def pro_auc_all_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.pro_area_over_scores(cells.withColumn("region", region), "s", "region", "vec_id").select(F.round("pro_auc", 6).alias("pro_auc"))
 
 
-@query("SELECT * FROM (VALUES ('a', 'flat'), ('b', '0.5'), ('c', 'deep'), ('d', NULL), ('e', NULL), ('f', '[1, 2]')) t(name, found)")
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS found FROM events""")
 def nested_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first wanted key at any depth."""
-    rows = [("a", '{"auc": "flat", "x": {"auc": 1}}'), ("b", '{"x": {"y": [1, {"score": 0.5}]}}'), ("c", '[{"z": {}}, {"y": {"auc": "deep"}}]'), ("d", '{"other": 1}'), ("e", "no json"), ("f", '{"x": {"score": [1, 2]}}')]
-    table = spark.createDataFrame(rows, "name string, json string")
-    return table.select("name", scalars.first_key_anywhere(F.col("json"), ["auc", "score"]).alias("found"))
+    """The first wanted key at any depth of the events' properties, which stand at three depths, or are cut off."""
+    depth = F.col("event_id") % 4
+    json = F.when(depth == 0, F.col("props")).when(depth == 1, F.concat(F.lit('{"x": [1, '), "props", F.lit("]}")))
+    json = json.when(depth == 2, F.concat(F.lit('[{"y": {"other": '), "props", F.lit("}}]"))).otherwise(F.concat(F.lit("{"), "props"))
+    return load(spark, sf_dir, "events").select("event_id", scalars.first_key_anywhere(json, ["k", "score"]).alias("found"))
 
 
-@query("SELECT * FROM (VALUES ('run-1', 'done', NULL), ('run-2', 'failed', 'out of disk')) t(run, status, detail)")
+@query("SELECT event_type AS run, CASE WHEN max(value) > 400 THEN 'failed' ELSE 'done' END AS status, count(*) || ' events' AS detail FROM events GROUP BY 1 UNION ALL SELECT 'all', 'done', count(*) || ' events' FROM events")
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that two runs added to a log."""
+    """Lines that a run for each type of event added to a log, and one for all."""
     path = f"{shared_dir(spark)}/orbweave/log-{uuid.uuid4().hex}"
-    files.log_run(spark, path, "run-1", "done")
-    files.log_run(spark, path, "run-2", "failed", "out of disk")
+    e = load(spark, sf_dir, "events")
+    for r in sorted(e.groupBy("event_type").agg(F.max("value").alias("top"), F.count("*").alias("n")).collect()):  # a row a type
+        files.log_run(spark, path, r.event_type, "failed" if r.top > 400 else "done", f"{r.n} events")
+    files.log_run(spark, path, "all", "done", f"{e.count()} events")
     return spark.read.parquet(path).select("run", "status", "detail")
 
 
-@query("SELECT * FROM (VALUES ('auroc: 0.912300'), ('n: 12.000000')) t(line)")
+@query("SELECT unnest(['mean: ' || printf('%.6f', round(avg(value), 6)), 'n: ' || printf('%.6f', count(value)::DOUBLE), 'top: ' || printf('%.6f', max(value))]) AS line FROM events")
 def metric_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Figures written as lines of text and read again."""
+    """Figures of the events written as lines of text and read again."""
     path = f"{shared_dir(spark)}/orbweave/metric-{uuid.uuid4().hex}"
-    files.write_metric(spark, path, auroc=0.9123, n=12)
+    r = load(spark, sf_dir, "events").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("n"), F.max("value").alias("top")).first()
+    files.write_metric(spark, path, mean=r["mean"], n=r["n"], top=r["top"])
     return spark.read.text(path).select(F.col("value").alias("line"))

@@ -40,6 +40,28 @@ def image_tree(spark: SparkSession, root: str, with_content: bool = False) -> Da
     )
 
 
+def train_images(spark: SparkSession, root: str) -> DataFrame:
+    """The good training images of ``image_tree``, in the order of their paths; ValueError if there is none."""
+    found = image_tree(spark, root).where((F.col("split") == "train") & (F.col("defect") == "good"))
+    if found.isEmpty():
+        raise ValueError(f"no training images below {root}")
+    return found.orderBy("path")
+
+
+def test_images(spark: SparkSession, root: str) -> DataFrame:
+    """The test images of ``image_tree``, in the order of defect and path; ValueError if there is none."""
+    found = image_tree(spark, root).where(F.col("split") == "test")
+    if found.isEmpty():
+        raise ValueError(f"no test images below {root}")
+    return found.orderBy("category", "defect", "path")
+
+
+def first_images(paths: DataFrame, limit: int, path: str = "path") -> DataFrame:
+    """The first ``limit`` images by path, one for each path without regard to case."""
+    kept = paths.where(extension(F.col(path)).isin(*IMAGE_EXTENSIONS))
+    return dedupe_paths(kept, path).orderBy(path).limit(limit)
+
+
 def dedupe_paths(paths: DataFrame, path: str = "path") -> DataFrame:
     """One row per path without regard to case: of each the last by its text."""
     return paths.groupBy(F.lower(path).alias("path_key")).agg(F.max(path).alias(path)).select(path)

@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orbweave.operators import imaging
-from orbweave.sources import npy, rasters
+from orbweave.operators import imaging, reports
+from orbweave.sources import files, npy, rasters
 
 
 def chunk(kind, body):
@@ -188,3 +188,23 @@ def test_numpy_files(spark, tmp_path):
     assert not (tmp_path / "maps" / npy.UNDER_WAY).exists() and not (tmp_path / "maps" / "same.npy").exists()
     df.limit(1).write.format("npy").mode("overwrite").save(path)
     assert len(list((tmp_path / "maps").iterdir())) == 1
+
+
+def test_ordered_scans(spark, tmp_path):
+    for name in ("b/train/good/2.png", "b/train/good/1.PNG", "b/test/good/3.jpg", "b/test/crack/9.png", "b/test/crack/1.png", "b/test/crack/note.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    tail = lambda df: [r.path.split("/b/")[1] for r in df.collect()]
+    root = f"file://{tmp_path}"
+    assert tail(files.train_images(spark, root)) == ["train/good/1.PNG", "train/good/2.png"]
+    assert tail(files.test_images(spark, root)) == ["test/crack/1.png", "test/crack/9.png", "test/good/3.jpg"]
+    with pytest.raises(ValueError, match="no training images"):
+        files.train_images(spark, f"{root}/b/test")
+    paths = spark.createDataFrame([("a/X.png",), ("a/x.PNG",), ("a/b.jpg",), ("a/c.txt",), ("a/d.bmp",)], "path string")
+    assert [r.path for r in files.first_images(paths, 2).collect()] == ["a/b.jpg", "a/d.bmp"]
+
+
+def test_box_of_figures():
+    box = reports.ascii_table({"Image AUROC": 0.91234, "False negatives": 12})
+    lines = box.split("\n")
+    assert len({len(x) for x in lines}) == 1 and lines[3].endswith("0.9123 │") and lines[4].endswith(" 12 │") and lines[0][0] == "┌"
