@@ -79,7 +79,11 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", "embedding").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other")), "vec_id")
 
 
-@query()
+@query("""WITH p AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+    m AS (SELECT i, avg(x[i]) AS mx, avg(y[i]) AS my FROM p, range(1, 65) r(i) GROUP BY i), l AS (SELECT list(mx ORDER BY i) AS mx, list(my ORDER BY i) AS my FROM m),
+    c AS MATERIALIZED (SELECT vec_id, list_transform(list_zip(x, mx), lambda z: z[1] - z[2]) AS x, list_transform(list_zip(y, my), lambda z: z[1] - z[2]) AS y FROM p, l),
+    k AS MATERIALIZED (SELECT list_inner_product(a.x, b.x) AS kx, list_inner_product(a.y, b.y) AS ky FROM c a, c b)
+    SELECT 'self' AS pair, round(sum(kx * kx) / sqrt(sum(kx * kx) * sum(kx * kx)), 6) AS cka FROM k UNION ALL SELECT 'next', round(sum(kx * ky) / sqrt(sum(kx * kx) * sum(ky * ky)), 6) FROM k""")
 def cka(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alignment of the vectors with themselves and with their successors."""
     p = _pairs(spark, sf_dir)

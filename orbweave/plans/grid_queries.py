@@ -74,13 +74,19 @@ def high_frequency_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grids(spark, sf_dir).select("vec_id", F.round(grids.high_frequency_energy(F.col("values"), SIDE, 3), 6).alias("energy"))
 
 
-@query()
+@query("""WITH o AS (SELECT i, (i + 0.5::DOUBLE) / 4 - 0.5 AS x FROM range(0, 32) r(i)),
+    c AS (SELECT i, least(7, greatest(0, floor(x) + k))::INTEGER AS j, abs(x - floor(x) - k) AS d FROM o, range(-1, 3) r(k)),
+    w AS (SELECT j, sum(CASE WHEN d <= 1 THEN 1.25 * d * d * d - 2.25 * d * d + 1 ELSE -0.75 * (d * d * d - 5 * d * d + 8 * d - 4) END) AS w FROM c GROUP BY 1)
+    SELECT vec_id, round(sum(a.w * b.w * embedding[8 * a.j + b.j + 1]), 6) AS total FROM embeddings, w a, w b GROUP BY 1""")
 def grid_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = _grids(spark, sf_dir).withColumn("values", grids.upsample(F.col("values"), SIDE, 32))
     return up.select("vec_id", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
-@query()
+@query("""WITH g AS (SELECT k, exp(-0.5 * (k / 4.0::DOUBLE) * (k / 4.0::DOUBLE)) AS e FROM range(-16, 17) r(k)), n AS (SELECT k, e / (SELECT sum(e) FROM g) AS w FROM g),
+    s AS (SELECT i, ((i + k) % 16 + 16) % 16 AS m, w FROM range(0, 8) r(i), n), w AS (SELECT i, CASE WHEN m < 8 THEN m ELSE 15 - m END AS j, sum(w) AS w FROM s GROUP BY 1, 2),
+    b AS (SELECT vec_id, a.i AS r, c.i AS q, sum(a.w * c.w * embedding[8 * a.j + c.j + 1]) AS x FROM embeddings, w a, w c GROUP BY ALL)
+    SELECT vec_id, round(sum(x), 6) AS total, round(max(x), 6) AS top FROM b GROUP BY 1""")
 def grid_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
     soft = _grids(spark, sf_dir).withColumn("values", grids.blur(F.col("values"), SIDE, 4.0, 16))
     return soft.select("vec_id", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("values"), 6).alias("top"))
