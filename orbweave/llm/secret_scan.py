@@ -12,8 +12,6 @@
 from __future__ import annotations
 
 import itertools
-import re._constants as sre
-import re._parser as sre_parse
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,27 +57,117 @@ MOST_STRINGS = 128
 Query = tuple[frozenset[frozenset[str]], ...]
 
 
-def _strings(items) -> set[str] | None:
-    """All strings that a parsed pattern can match, or None if they are too many."""
+class _Reader:
+    """Reads the part of the pattern language that Java and Python share.
+
+    A part is what it may match: a set of strings, or None if that isn't known or too much. Beyond
+    literals, classes, groups, alternatives and repeats (``?``, ``*``, ``+``, ``{m,n}``, lazy or not) it knows
+    the flag ``(?i)`` at the begin and anchors, which match nothing; ValueError for all else.
+    """
+
+    def __init__(self, pattern: str):
+        self.text, self.at = pattern.removeprefix("(?i)"), 0
+
+    def _met(self, what: str) -> bool:
+        if self.text.startswith(what, self.at):
+            self.at += len(what)
+            return True
+        return False
+
+    def _take(self) -> str:
+        if self.at >= len(self.text):
+            raise ValueError(f"the pattern {self.text!r} ends early")
+        self.at += 1
+        return self.text[self.at - 1]
+
+    def _escaped(self) -> str | None:
+        """The character after a backslash; None for a class of characters."""
+        c = self._take()
+        if c == "x":
+            return chr(int(self._take() + self._take(), 16))
+        if c in "tnr":
+            return {"t": "\t", "n": "\n", "r": "\r"}[c]
+        if c.isalnum() and c not in "dDwWsS":
+            raise ValueError(f"unknown escape: {c}")
+        return None if c.isalnum() else c
+
+    def _class(self) -> set[str] | None:
+        known: set[str] | None = None if self._met("^") else set()
+        first = True
+        while first or not self._met("]"):
+            first, c = False, self._take()
+            one = self._escaped() if c == "\\" else c
+            ranged = self.text[self.at : self.at + 1] == "-" and self.text[self.at + 1 : self.at + 2] not in ("]", "")
+            if ranged:
+                self.at += 2
+                if self.text[self.at - 1] == "\\":
+                    self._escaped()
+            known = None if known is None or one is None or ranged else known | {one}
+        return known
+
+    def _atom(self) -> set[str] | None:
+        c = self._take()
+        if c == "(":
+            if self._met("?") and not self._met(":"):
+                raise ValueError("unknown group")
+            found = self.either()
+            if not self._met(")"):
+                raise ValueError("a group does not end")
+            return found
+        if c == "[":
+            return self._class()
+        if c == "\\":
+            if self.text[self.at : self.at + 1] in ("b", "B"):
+                self.at += 1
+                return {""}
+            one = self._escaped()
+            return None if one is None else {one}
+        if c in "*+?{":
+            raise ValueError("nothing to repeat")
+        return {""} if c in "^$" else None if c == "." else {c}
+
+    def _times(self) -> tuple[int, int | None] | None:
+        """How often what stands before may be repeated; None if it isn't."""
+        found: tuple[int, int | None] | None = None
+        if self._met("?"):
+            found = (0, 1)
+        elif self._met("*"):
+            found = (0, None)
+        elif self._met("+"):
+            found = (1, None)
+        elif self._met("{"):
+            low, _, high = (inner := self.text[self.at : self.text.index("}", self.at)]).partition(",")
+            self.at += len(inner) + 1
+            found = (int(low), int(high) if high else None if "," in inner else int(low))
+        if found:
+            self._met("?")
+        return found
+
+    def items(self) -> list[set[str] | None]:
+        """The parts of a sequence, up to its end or an alternative."""
+        out = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            one, times = self._atom(), self._times()
+            if times:
+                low, high = times
+                one = None if one is None or high is None or high > 2 else {"".join(x) for n in range(low, high + 1) for x in itertools.product(one, repeat=n)}
+            out.append(one)
+        return out
+
+    def either(self) -> set[str] | None:
+        parts = [_joined(self.items())]
+        while self._met("|"):
+            parts.append(_joined(self.items()))
+        return None if None in parts else set().union(*parts)
+
+
+def _joined(items: list[set[str] | None]) -> set[str] | None:
+    """All strings that the parts give one after another, or None if they are too many."""
     out = {""}
-    for op, arg in items:
-        if op is sre.LITERAL:
-            new = {chr(arg)}
-        elif op is sre.IN and all(o is sre.LITERAL for o, _ in arg):
-            new = {chr(x) for _, x in arg}
-        elif op is sre.SUBPATTERN:
-            new = _strings(arg[3])
-        elif op is sre.BRANCH:
-            parts = [_strings(x) for x in arg[1]]
-            new = None if None in parts else set().union(*parts)
-        elif op is sre.MAX_REPEAT and arg[1] is not sre.MAXREPEAT and arg[1] <= 2:
-            one = _strings(arg[2])
-            new = None if one is None else {"".join(x) for n in range(arg[0], arg[1] + 1) for x in itertools.product(one, repeat=n)}
-        else:
-            new = None
-        if new is None or len(out) * len(new) > MOST_STRINGS:
+    for one in items:
+        if one is None or len(out) * len(one) > MOST_STRINGS:
             return None
-        out = {a + b for a in out for b in new}
+        out = {a + b for a in out for b in one}
     return out
 
 
@@ -87,7 +175,8 @@ def trigram_query(pattern: str) -> Query:
     """The trigrams (lower case) that each match of ``pattern`` must hold.
 
     Lower-casing the index can only add candidates, so one index serves rules
-    with and without regard to case. An empty query is true for every text.
+    with and without regard to case. An empty query is true for every text; patterns
+    that are not understood have it.
     """
     clauses: list[frozenset[frozenset[str]]] = []
 
@@ -96,9 +185,17 @@ def trigram_query(pattern: str) -> Query:
         if all(len(s) >= 3 for s in low):
             clauses.append(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in low))
 
-    run = {""}
-    for item in sre_parse.parse(pattern):
-        new = _strings([item])
+    reader, run = _Reader(pattern), {""}
+    try:
+        items = reader.items()
+        if reader.at < len(reader.text):  # alternatives at the top
+            reader = _Reader(pattern)
+            items = [reader.either()]
+        if reader.at < len(reader.text):
+            return ()
+    except ValueError:
+        return ()
+    for new in items:
         if new is not None and len(run) * len(new) <= MOST_STRINGS:
             run = {a + b for a in run for b in new}
         else:

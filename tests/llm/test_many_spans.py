@@ -51,3 +51,19 @@ def test_very_many_turns(spark):
     row = chat_format.digest(chat_format.format_conversations(df)).first()
     assert time.perf_counter() - began < 20
     assert row.n_turns == n and row.loss_chars == sum(len(f"text < {k}") for k in range(1, n, 2))
+
+
+def test_patterns_are_read():
+    """What each pattern demands, written out; what isn't understood demands nothing, so that its texts are scanned fully."""
+    grams = lambda *sets: frozenset(frozenset(s.split()) for s in sets)
+    for pattern, expected in {
+        "abc|defg": (grams("abc", "def efg"),),
+        "a{2}bc": (grams("aab abc"),),
+        r"(?i)(?:KEY|pass)\x20*[:=]": (grams("key", "pas ass"),),
+        r"x*abc[0-9]+?[^a]def$": (grams("abc"), grams("def")),
+        r"\bfoo\.bar": (grams("foo oo. o.b .ba bar"),),
+        r"[ab]cd?e": (grams("ace", "bce", "acd cde", "bcd cde"),),
+        r"[a\]]bcd": (grams("abc bcd", "]bc bcd"),),
+        "(?=abc)": (), "(abc": (), "*abc": (), r"\pLabc": (), "ab": (), "": (),
+    }.items():
+        assert secret_scan.trigram_query(pattern) == expected, pattern
