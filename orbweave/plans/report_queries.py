@@ -272,13 +272,13 @@ def json_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select(F.to_json(F.struct("event_type", "n", "top")).alias("line"))
 
 
-@query(r"""WITH m AS (SELECT p_brand AS g, avg(p_size / 50.0::DOUBLE) AS o, avg(p_retailprice / 2000) AS w FROM part GROUP BY 1), a AS (SELECT *, 0 AS l FROM m UNION ALL SELECT 'Mean', avg(o), avg(w), 1 FROM m),
+@query(r"""WITH m AS (SELECT p_brand AS g, avg(p_size / 53.0::DOUBLE) AS o, avg(p_retailprice / 2000) AS w FROM part GROUP BY 1), a AS (SELECT *, 0 AS l FROM m UNION ALL SELECT 'Mean', avg(o), avg(w), 1 FROM m),
     n AS (SELECT *, row_number() OVER (ORDER BY l, g) AS k FROM a),
     t AS (SELECT 2 * k + 10 + l AS place, replace(g, '_', '\_') || ' & ' || CASE WHEN w >= o THEN printf('%.2f', 100 * o) ELSE '\textbf{' || printf('%.2f', 100 * o) || '}' END || ' & ' || CASE WHEN w >= o THEN '\textbf{' || printf('%.2f', 100 * w) || '}' ELSE printf('%.2f', 100 * w) END || ' & ' || printf('%+.2f', 100 * (w - o)) || ' \\' AS line FROM n
     UNION ALL SELECT 2 * k + 10, '\midrule' FROM n WHERE l = 1 UNION ALL VALUES (1, '\begin{tabular}{lccc}'), (2, '\toprule'), (3, 'Brand & Size & Price & $\Delta$ \\'), (4, '\midrule'), (2000000001, '\bottomrule'), (2000000002, '\end{tabular}'))
     SELECT row_number() OVER (ORDER BY place) AS at, line FROM t""")
 def latex_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole LaTeX table: two means a brand, the larger in bold, their difference, and the means of all."""
-    rows = load(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 50.0).alias("size"), (F.col("p_retailprice") / 2000).alias("price"))
+    rows = load(spark, sf_dir, "part").select("p_brand", (F.col("p_size") / 53.0).alias("size"), (F.col("p_retailprice") / 2000).alias("price"))
     lines = reports.latex_lines(reports.compared(rows, "p_brand", "size", "price"), "p_brand", ("Brand", "Size", "Price"))
     return lines.select(F.row_number().over(Window.orderBy("place")).alias("at"), "line")
