@@ -6,7 +6,7 @@ import importlib
 
 from orbweave.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("vector_queries", "evaluation_queries", "upkeep_queries", "metric_queries", "report_queries", "evt_queries", "bank_queries", "grid_queries", "image_queries", "stream_queries")
+MODULES = ("vector_queries", "evaluation_queries", "upkeep_queries", "program_queries", "metric_queries", "report_queries", "evt_queries", "bank_queries", "grid_queries", "image_queries", "stream_queries")
 
 
 def queries() -> dict[str, Query]:

@@ -87,7 +87,7 @@ def _patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Bicubic weights from 2 to 8 points and a blur of one point either way, by their formulas.
-_WEIGHTS = """
+WEIGHTS = """
     wo AS (SELECT i, floor((i + 0.5) / 4 - 0.5)::INTEGER AS b, (i + 0.5) / 4 - 0.5 AS x FROM (SELECT i::DOUBLE AS i FROM range(0, 8) r(i))),
     wc AS (SELECT i, least(1, greatest(0, j)) AS j, abs(x - j) AS d FROM wo, LATERAL (SELECT unnest(range(b - 1, b + 3)) AS j)),
     up AS (SELECT i, j, sum(CASE WHEN d <= 1 THEN 1.25 * d * d * d - 2.25 * d * d + 1 ELSE -0.75 * (d * d * d - 5 * d * d + 8 * d - 4) END) AS w FROM wc GROUP BY ALL),
@@ -96,16 +96,17 @@ _WEIGHTS = """
     wt AS (SELECT ws.i, up.j, sum(ws.w * up.w) AS w FROM ws JOIN up ON up.i = ws.n GROUP BY ALL)"""
 
 
-@query(
-    evaluation_sql((4,))
-    + f""", {_WEIGHTS},
+#: Common table expressions up to ``px_area``: the AUROC of pixels by seed and category.
+PIXEL_SQL = f"""{WEIGHTS},
     m4 AS (SELECT d.seed, d.category, d.image_id, d.vec_id % 4 AS p, d2, (label >= 8)::INTEGER AS y FROM d JOIN embeddings USING (vec_id)),
     full4 AS (SELECT * FROM m4 JOIN (SELECT seed, image_id FROM m4 GROUP BY ALL HAVING count(*) = 4) USING (seed, image_id)),
     px AS (SELECT seed, category, image_id, a.i AS r, b.i AS c, round(sum(a.w * b.w * d2), 9) AS s, max(y) FILTER (p = 2 * (a.i // 4) + b.i // 4) AS y FROM full4, wt a, wt b WHERE a.j = p // 2 AND b.j = p % 2 GROUP BY ALL),
     px_s AS (SELECT seed, category, s, sum(y) AS pos, sum(1 - y) AS neg FROM px GROUP BY ALL),
-    px_w AS (SELECT *, sum(neg) OVER (PARTITION BY seed, category ORDER BY s) - neg AS below FROM px_s)
-    SELECT seed, category, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 5) AS pixel_auroc FROM px_w GROUP BY ALL"""
-)
+    px_w AS (SELECT *, sum(neg) OVER (PARTITION BY seed, category ORDER BY s) - neg AS below FROM px_s),
+    px_area AS (SELECT seed, category, sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos) * sum(neg), 0), 5) AS pixel_auroc FROM px_w GROUP BY ALL)"""
+
+
+@query(evaluation_sql((4,)) + f", {PIXEL_SQL} SELECT * FROM px_area")
 def pixel_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUROC over all pixels of the maps of distances, resampled from 2 x 2 to 8 x 8 and blurred, by seed and category."""
     found, _, _ = evaluation.patch_scores(_patches(spark, sf_dir), SEEDS, 4)

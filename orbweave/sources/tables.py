@@ -53,6 +53,29 @@ def vector_faults(vectors: DataFrame, width: int, embedding: str = "embedding")
     )
 
 
+def union_vectors(parts: dict[str, DataFrame], embedding: str = "embedding") -> DataFrame:
+    """The vectors of several tables as ``key`` and ``embedding``, the keys in the order of their names.
+
+    Tables whose column is missing or holds no arrays of numbers are left out, and so are null vectors.
+    ValueError if no table is left, if fewer than two vectors are, or if their widths differ.
+    """
+    numeric = lambda t: isinstance(t, T.ArrayType) and isinstance(t.elementType, T.NumericType)
+    usable = {key: df for key, df in sorted(parts.items()) if embedding in df.columns and numeric(df.schema[embedding].dataType)}
+    if not usable:
+        raise ValueError("no table has vectors")
+    one = [df.where(F.col(embedding).isNotNull()).select(F.lit(key).alias("key"), F.col(embedding).cast("array<double>").alias("embedding")) for key, df in usable.items()]
+    out = one[0]
+    for more in one[1:]:
+        out = out.unionByName(more)
+    widths = out.groupBy("key").agg(F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high"), F.count("*").alias("n")).orderBy("key").collect()  # a row a table
+    if sum(r.n for r in widths) < 2:
+        raise ValueError("two vectors at least are needed")
+    for r in widths:
+        if not r.low == r.high == widths[0].low:
+            raise ValueError(f"the vectors of {r.key} have widths {r.low} to {r.high}, not {widths[0].low}")
+    return out
+
+
 def patches(embeddings: DataFrame, per_image: int = 4, categories: int = 3, defect_from: int = 8) -> DataFrame:
     """Embedding rows as image patches: ``per_image`` consecutive vectors make an image.
 
