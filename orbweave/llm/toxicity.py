@@ -14,6 +14,7 @@ the driver gets the numbers of the chosen ones only.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ FEATURES, LEAST_DOCUMENTS = 600, 3
 #: Log-likelihood ratio that a feature needs: a base far above chance, and a part that grows with the
 #: sample, lest many weak features add up in long texts.
 LEAST_RATIO = (8.0, 0.005)
-#: Besides whole words, their beginnings of these lengths are features.
+#: Besides whole words, their beginnings of these lengths are features, and such beginnings of two different words.
 BEGINNINGS = (4, 5)
 PENALTY, STEPS = 1e-3, 200
 PUNCTUATION = b".,;:!?\"'()[]|*#$%&<>-"
@@ -42,13 +43,15 @@ PUNCTUATION = b".,;:!?\"'()[]|*#$%&<>-"
 def features_of(text: bytes) -> set[bytes]:
     """The words of a text (lower case, without punctuation at their ends) and their beginnings.
 
-    A beginning is marked by ``^``, so it is never taken for a word.
+    A beginning is marked by ``^``, so it is never taken for a word; one that at least two different
+    words share is there a second time, marked by ``^^``, as the forms of one stem are.
     """
     words = {w.strip(PUNCTUATION) for w in set(text.lower().split())}
     words.discard(b"")
     out = set(words)
     for n in BEGINNINGS:
-        out |= {b"^" + w[:n] for w in words if len(w) > n}
+        begins = Counter(w[:n] for w in words if len(w) > n)
+        out |= {b"^" + b for b in begins} | {b"^^" + b for b, k in begins.items() if k > 1}
     return out
 
 
