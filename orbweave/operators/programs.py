@@ -16,6 +16,7 @@ from orbweave.operators.metrics import auroc, curve
 from orbweave.operators.reports import against_reference, latency
 from orbweave.operators.running import quantiles, running_sums
 from orbweave.sources.files import with_fallback
+from orbweave.sources.store import materialise
 
 
 def nominal_scores(train: DataFrame, bank: DataFrame, keys: tuple[str, ...], image: str = "image_id") -> DataFrame:
@@ -171,14 +172,19 @@ def metrics_of(df: DataFrame, score: str, label: str, groups: tuple[str, ...] =
     Of several thresholds with the best F1 the highest counts. Rows that lack score or label are left out.
     """
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    points = curve(known, score, label, groups)
+    points = materialise(curve(known, score, label, groups), "curve")
     p, r = F.col("tp") / (F.col("tp") + F.col("fp")), F.col("tp") / F.nullif("n_pos", F.lit(0))
     f1 = F.round(F.coalesce(2 * p * r / (p + r + 1e-8), F.lit(0.0)), 9)
-    step = F.col("pos") / F.nullif("n_pos", F.lit(0)) * p
-    best = points.groupBy(*groups).agg(F.sum(step).alias("average_precision"), F.max(F.struct(f1.alias("f1"), F.col("score").alias("threshold"), p.alias("precision"), r.alias("recall"))).alias("__b"))
+    # a positive loses to the negatives above it, and half to those with its score
+    lost = F.sum(F.col("pos") * (F.col("fp") - F.col("neg") / 2))
+    out = points.groupBy(*groups).agg(
+        F.max("n_pos").alias("n_pos"),
+        F.max("n_neg").alias("n_neg"),
+        (1 - lost / F.nullif(F.max("n_pos") * F.max("n_neg"), F.lit(0))).alias("auroc"),
+        F.sum(F.col("pos") / F.nullif("n_pos", F.lit(0)) * p).alias("average_precision"),
+        F.max(F.struct(f1.alias("f1"), F.col("score").alias("threshold"), p.alias("precision"), r.alias("recall"))).alias("__b"),
+    )
     above = F.col(score) > over
     rates = known.groupBy(*groups).agg(F.avg(above.cast("double")).alias("detection_rate"), F.avg((above & (F.col(label) == 0)).cast("double")).alias("false_positive_rate"))
-    out = auroc(known, score, label, groups)
-    for part in (best, rates):  # a row for each group
-        out = out.join(part, list(groups)) if groups else out.crossJoin(F.broadcast(part))
+    out = out.join(rates, list(groups)) if groups else out.crossJoin(F.broadcast(rates))  # a row for each group
     return out.select(*groups, "n_pos", "n_neg", "auroc", "average_precision", "__b.f1", "__b.threshold", "__b.precision", "__b.recall", "detection_rate", "false_positive_rate")
