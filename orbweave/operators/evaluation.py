@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,10 +15,10 @@ from orbweave.functions.vectors import is_finite, l2sq, normalise
 from orbweave.operators.bank import evenly_spaced, k_centre_coreset, kmeans_coreset, orbit_dedupe
 from orbweave.operators.evt import gpd_thresholds
 from orbweave.operators.grids import orbit, rotate
-from orbweave.operators.knn import BLOCK, ProductQuantiser, as_matrix, sample_matrix, squared_distances
+from orbweave.operators.knn import ProductQuantiser, as_matrix, sample_matrix, squared_distances
 from orbweave.operators.metrics import auroc, rates_at
 from orbweave.operators.pixels import pixel_auroc, upsampled
-from orbweave.sources.store import materialise
+from orbweave.sources.store import discard, materialise
 
 CORESETS = ("all", "linspace", "kcentre", "kmeans")
 SEARCHES = ("exact", "pq")
@@ -25,6 +26,10 @@ SEARCHES = ("exact", "pq")
 PARTS = (64, 48, 32, 24, 16, 12, 8, 6, 4, 3, 2, 1)
 #: Rows of a bank from which its codes are learned.
 TRAIN_ROWS = 4_096
+#: Rows, and vectors of a bank, that meet at once: their distances fit a core's cache.
+SLICE, BLOCK = 256, 512
+#: Bytes of a bank's vectors, as doubles, that go to the tasks at once.
+PART_BYTES = 1 << 26
 
 
 def build_bank(support: DataFrame, coreset: str = "all", share: float = 0.1, dedupe: float | None = None, group: str = "category", order: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -97,49 +102,76 @@ def _keys(columns: list, rows: int) -> list[tuple]:
     return list(zip(*(c.to_pylist() for c in columns), strict=True)) if columns else [()] * rows
 
 
-def bank_distances(rows: DataFrame, bank: DataFrame, keys: list[str], own: str | None = None, id_col: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
+def bank_distances(
+    rows: DataFrame, bank: DataFrame, keys: list[str], own: str | None = None, id_col: str = "vec_id", embedding: str = "embedding", block: int = BLOCK, part_bytes: int = PART_BYTES
+) -> DataFrame:
     """``rows`` with ``d2``, the least squared distance to a bank vector with the same ``keys``; null if there is none.
 
-    The bank, the smaller side, goes to the tasks in blocks of about ``block`` vectors; the
-    rows pass from block to block with the best distance so far, so they are neither
-    shuffled nor gathered. Bank vectors with the row's value of ``own`` are left out.
+    The bank, the smaller side, goes to the tasks in parts of about ``part_bytes`` of doubles; the
+    rows pass each part with the best distance so far, so they are neither shuffled nor gathered,
+    and ``SLICE`` of them meet ``block`` vectors at once. Between parts the rows are written, so a
+    task has one Python worker and one part whatever the bank's size; only a stream, which
+    can't be written between, passes all parts in the one worker. Bank vectors with the row's
+    value of ``own`` are left out.
     """
     known = bank.where(F.col(embedding).isNotNull())
-    n_blocks = max(1, -(-known.count() // block))
-    out = rows.where(F.col(embedding).isNotNull()).drop("d2").withColumn("d2", F.lit(None).cast("double"))
-    at, places, own_at = out.columns.index(embedding), [out.columns.index(k) for k in keys], out.columns.index(own) if own else 0
-    for n in range(n_blocks):
-        part = known if n_blocks == 1 else known.where(F.pmod(F.xxhash64(*keys, id_col), F.lit(n_blocks)) == n)
-        table = part.select(*keys, F.col(own).alias("__own") if own else F.lit(None).cast("string").alias("__own"), F.col(embedding).alias("__v")).toArrow()  # about ``block`` rows
+    n_bytes = known.agg(F.coalesce(F.count("*") * F.max(F.size(embedding)) * 8, F.lit(0)).alias("b")).first().b
+    n_parts = max(1, -(-n_bytes // part_bytes))
+
+    def part(n: int) -> Broadcast:
+        mine = known if n_parts == 1 else known.where(F.pmod(F.xxhash64(*keys, id_col), F.lit(n_parts)) == n)
+        table = mine.select(*keys, F.col(own).alias("__own") if own else F.lit(None).cast("string").alias("__own"), F.col(embedding).alias("__v")).toArrow()  # about ``part_bytes``
         vectors, members = as_matrix(table["__v"]), defaultdict(list)
         for k, key in enumerate(_keys([table[c] for c in keys], len(table))):
             members[key].append(k)
         of = np.array(table["__own"].to_pylist(), object)
-        shared = rows.sparkSession.sparkContext.broadcast({key: (vectors[ids], of[ids]) for key, ids in members.items()})
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x, groups = as_matrix(batch.column(at)), defaultdict(list)
-                for k, key in enumerate(_keys([batch.column(p) for p in places], len(batch))):
-                    groups[key].append(k)
-                best = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(float)
-                best[np.isnan(best)] = np.inf
-                mine = np.array(batch.column(own_at).to_pylist(), object) if own else None
-                for key, ids in groups.items():
-                    if key in shared.value:
-                        there, theirs = shared.value[key]
-                        d = squared_distances(x[ids], there)
-                        if own:
-                            d[mine[ids][:, None] == theirs[None, :]] = np.inf
-                        best[ids] = np.minimum(best[ids], d.min(1))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.where(np.isfinite(best), best, 0.0), mask=~np.isfinite(best))], names=batch.schema.names)
-
-        out = out.mapInArrow(search, out.schema)
+        return rows.sparkSession.sparkContext.broadcast({key: (vectors[ids], of[ids] if own else None) for key, ids in members.items()})
+
+    out = rows.where(F.col(embedding).isNotNull()).drop("d2").withColumn("d2", F.lit(None).cast("double"))
+    if rows.isStreaming:
+        return _passed(out, [part(n) for n in range(n_parts)], keys, own, embedding, block)
+    before = None
+    for n in range(n_parts):
+        out = _passed(out, [part(n)], keys, own, embedding, block)
+        if n < n_parts - 1:
+            out = materialise(out, "bank-part")
+            if before is not None:
+                discard(before)
+            before = out
     return out
 
 
+def _passed(rows: DataFrame, parts: list[Broadcast], keys: list[str], own: str | None, embedding: str, block: int) -> DataFrame:
+    """``rows``, whose last column is ``d2``, with the lesser of it and the least distance to the vectors of ``parts``."""
+    at, places, own_at = rows.columns.index(embedding), [rows.columns.index(k) for k in keys], rows.columns.index(own) if own else 0
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x, groups = as_matrix(batch.column(at)), defaultdict(list)
+            for k, key in enumerate(_keys([batch.column(p) for p in places], len(batch))):
+                groups[key].append(k)
+            best = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(float)
+            best[np.isnan(best)] = np.inf
+            mine = np.array(batch.column(own_at).to_pylist(), object) if own else None
+            for shared in parts:
+                for key, ids in groups.items():
+                    if key not in shared.value:
+                        continue
+                    vectors, of = shared.value[key]
+                    for i in range(0, len(ids), SLICE):
+                        some = ids[i : i + SLICE]
+                        for j in range(0, len(vectors), block):
+                            d = squared_distances(x[some], vectors[j : j + block])
+                            if own:
+                                d[mine[some][:, None] == of[None, j : j + block]] = np.inf
+                            best[some] = np.minimum(best[some], d.min(1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.where(np.isfinite(best), best, 0.0), mask=~np.isfinite(best))], names=batch.schema.names)
+
+    return rows.mapInArrow(search, rows.schema)
+
+
 def draw_support(images: DataFrame, seeds: tuple[int, ...], n_shot: int, group: str = "category", image: str = "image_id") -> DataFrame:
     """``seed`` and the images of its support: of each group the ``n_shot`` with the least hashes of seed and image."""
     order = Window.partitionBy("seed", group).orderBy(F.md5(F.concat_ws(":", "seed", image)), image)

@@ -14,7 +14,7 @@ from orbweave.operators.evaluation import bank_distances
 from orbweave.operators.metrics import auroc
 from orbweave.operators.vector_index import VectorIndex
 from orbweave.plans.registry import query
-from orbweave.sources.store import Kept
+from orbweave.sources.store import Kept, materialise
 from orbweave.sources.tables import load, patches, vector_faults
 
 QUERY_STEP = 20
@@ -256,9 +256,11 @@ def margin_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
     support, test = slice_parts(spark, sf_dir)
     quantiser = knn.ProductQuantiser(knn.sample_matrix(support, "embedding", 4_096), 16, 4)
     coded = knn.reconstruct(support, quantiser).select("vec_id", F.col("decoded").alias("embedding"))
-    # the support, the smaller side, goes to the test patches in blocks; they pass both banks in turn
-    both = bank_distances(test, support, []).withColumnRenamed("d2", "exact")
-    both = bank_distances(both, coded, []).withColumnRenamed("d2", "quantised")
-    images = both.groupBy("category", "image_id", "image_label").agg(F.max("exact").alias("exact"), F.max("quantised").alias("quantised"))
+    # the support, the smaller side, goes to the test patches in parts; both banks are searched in one pass
+    banks = _union([b.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(name).alias("bank")) for name, b in (("exact", support), ("quantised", coded))])
+    both = bank_distances(test.withColumn("bank", F.explode(F.array(F.lit("exact"), F.lit("quantised")))), banks, ["bank"])
+    worst = lambda name: F.max(F.when(F.col("bank") == name, F.col("d2"))).alias(name)
+    # a row an image, written once: errors and gaps are taken from it by several jobs
+    images = materialise(both.groupBy("category", "image_id", "image_label").agg(worst("exact"), worst("quantised")), "image-margins")
     out = diagnostics.margin_pressure(images, "exact", "quantised", "image_label", ("category",))
     return out.select("category", *[F.round(c, 6).alias(c) for c in ("error", "gap", "pressure")])

@@ -39,6 +39,19 @@ def test_bank_distances(spark, block):
     assert evaluation.bank_distances(df.limit(0), known, ["g"]).count() == 0
 
 
+def workers(df):
+    """Python workers that a task of ``df`` has at once: one for each function over its rows."""
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+@pytest.mark.parametrize("how", [{"block": 5}, {"part_bytes": 400}])
+def test_a_large_bank_takes_one_worker_a_task(spark, how):
+    df, known = vectors(spark, 80), vectors(spark, 37, seed=2)
+    got, whole = evaluation.bank_distances(df, known, ["g"], "image", **how), evaluation.bank_distances(df, known, ["g"], "image")
+    assert workers(got) == 1
+    assert {r.vec_id: r.d2 for r in got.collect()} == pytest.approx({r.vec_id: r.d2 for r in whole.collect()})
+
+
 @pytest.mark.parametrize("tile", [48 * 7, 48 * 1000])
 def test_self_nearest(spark, tile):
     df = vectors(spark, 90)
