@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.operators import bank, evaluation, knn, metrics
+from orbweave.plans import evt_queries, vector_queries
 from orbweave.sources import files
 
 
@@ -52,6 +53,12 @@ def test_a_large_bank_takes_one_worker_a_task(spark, how):
     assert {r.vec_id: r.d2 for r in got.collect()} == pytest.approx({r.vec_id: r.d2 for r in whole.collect()})
 
 
+@pytest.mark.parametrize("query", [vector_queries.golden_slice, vector_queries.golden_slice_by_category, vector_queries.margin_pressure, evt_queries.bootstrap_fpr])
+def test_scores_are_searched_once(spark, sf, query):
+    """Quantiles and ranks of scores read a table of them; they don't search again."""
+    assert workers(query(spark, sf)) == 0
+
+
 @pytest.mark.parametrize("tile", [48 * 7, 48 * 1000])
 def test_self_nearest(spark, tile):
     df = vectors(spark, 90)
