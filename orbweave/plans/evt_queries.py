@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from orbweave.operators import evt
 from orbweave.operators.running import quantiles
 from orbweave.plans.registry import query
-from orbweave.plans.vector_queries import image_scores
+from orbweave.plans.vector_queries import kept_scores
 from orbweave.sources.tables import load
 
 
@@ -59,7 +59,7 @@ def evt_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """False positive rate at each category's 95th percentile of nominal scores, with an interval."""
-    scores = image_scores(spark, sf_dir)
+    scores = kept_scores(spark, sf_dir)
     tau = quantiles(scores.where("image_label = 0"), "score", {"tau": 0.95}, ("category",)).drop("n")
     counts = scores.where("image_label = 0").join(tau, "category").groupBy("category").agg(F.count_if(F.col("score") > F.col("tau")).alias("hits"), F.count("*").alias("n"))
     return evt.bootstrap_rate(counts, ("category",), "hits", "n")
