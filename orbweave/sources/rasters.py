@@ -27,6 +27,8 @@ PASSES = ((0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2),
 RASTER = "height int, width int, channels int, pixels binary"
 #: Pixels of an image that is decoded at most; a larger one gives an error, not a dead worker.
 MOST_PIXELS = 1 << 28
+#: Bytes of pixels from which changed images leave a task together.
+BATCH_PIXELS = 1 << 20
 
 
 def _unfiltered(data: np.ndarray, rows: int, line: int, step: int) -> np.ndarray:
@@ -144,15 +146,20 @@ def mapped(rasters: DataFrame, change: Callable[[np.ndarray, dict], list[tuple[n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(types)
+        schema, out, size = to_arrow_schema(types), [], 0
         for batch in batches:
             for row in batch.to_pylist():
                 if row["pixels"] is None:
                     continue
                 own = {k: row[k] for k in keys}
                 made = change(pixels_of((row["height"], row["width"], row["channels"], row["pixels"])), own)
-                out = [{**own, "height": p.shape[0], "width": p.shape[1], "channels": p.shape[2], "pixels": np.ascontiguousarray(p, np.uint8).tobytes(), **{k: more[k] for k in extra}} for p, more in made]
-                yield pa.RecordBatch.from_pylist(out, schema=schema)
+                out += [{**own, "height": p.shape[0], "width": p.shape[1], "channels": p.shape[2], "pixels": np.ascontiguousarray(p, np.uint8).tobytes(), **{k: more[k] for k in extra}} for p, more in made]
+                size += sum(p.size for p, _ in made)
+                if size >= BATCH_PIXELS:
+                    yield pa.RecordBatch.from_pylist(out, schema=schema)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
     return arrow.mapInArrow(run, types)
 

@@ -167,6 +167,29 @@ def test_defects_stay_in_the_object_and_come_again(spark):
         imaging.synthetic_defects(df, ["id"], ("hole",))
 
 
+def test_weights_of_a_blur_are_made_once(monkeypatch):
+    made = []
+    real = imaging.blur_matrix
+    monkeypatch.setattr(imaging, "_blur_weights", imaging.lru_cache(lambda *how: (made.append(how), real(*how))[1]))
+    x = np.full((44, 44, 1), 20, np.uint8)
+    x[8:36, 8:36] = 200
+    for k in range(12):
+        for kind in ("blur", "dent"):
+            imaging.defective(x, kind, f"42:{k}")
+    assert 2 <= len(made) <= 4  # one for the dents, three for the blurs
+
+
+def test_lines_look_at_no_more_than_they_may_cover():
+    rng = np.random.default_rng(5)
+    brush = imaging.Brush(np.ones((31, 44), bool), rng)
+    for _ in range(60):
+        a, b, width = rng.integers(0, (31, 44)), rng.integers(0, (31, 44)), rng.uniform(0.3, 9)
+        d = (b - a).astype(float)
+        t = np.clip(((brush.y - a[0]) * d[0] + (brush.x - a[1]) * d[1]) / max(1e-9, d @ d), 0, 1)
+        whole = np.hypot(brush.y - a[0] - t * d[0], brush.x - a[1] - t * d[1]) <= width / 2
+        assert (brush.line(a, b, width) == whole).all()
+
+
 def test_numpy_files(spark, tmp_path):
     npy.register(spark)
     path = f"{tmp_path}/maps"
