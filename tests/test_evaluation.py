@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from orbweave.operators import bank, evaluation, knn, metrics
 from orbweave.plans import evt_queries, vector_queries
 from orbweave.sources import files
+from orbweave.streaming import events
 
 
 def vectors(spark, n, seed=1, width=6):
@@ -53,6 +54,16 @@ def test_a_large_bank_takes_one_worker_a_task(spark, how):
     assert {r.vec_id: r.d2 for r in got.collect()} == pytest.approx({r.vec_id: r.d2 for r in whole.collect()})
 
 
+def test_a_stream_passes_all_parts_in_one_worker(spark, tmp_path):
+    df, known = vectors(spark, 80), vectors(spark, 37, seed=2)
+    df.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    out = evaluation.bank_distances(stream, known, ["g"], part_bytes=400)
+    assert out._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    got = {r.vec_id: r.d2 for r in events.drain(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()}
+    assert got == pytest.approx({r.vec_id: r.d2 for r in evaluation.bank_distances(df, known, ["g"]).collect()})
+
+
 @pytest.mark.parametrize("query", [vector_queries.golden_slice, vector_queries.golden_slice_by_category, vector_queries.margin_pressure, evt_queries.bootstrap_fpr])
 def test_scores_are_searched_once(spark, sf, query):
     """Quantiles and ranks of scores read a table of them; they don't search again."""
