@@ -70,6 +70,34 @@ def test_scores_are_searched_once(spark, sf, query):
     assert workers(query(spark, sf)) == 0
 
 
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """A folder with 26,000 embeddings, over 4,096 of them support, and the score of each tested image by brute force."""
+    rng, n = np.random.default_rng(3), 26_000
+    x, image = rng.normal(size=(n, 2)).astype(np.float32), np.arange(n) // 4
+    label = np.where((image % 7 == 0) & (np.arange(n) % 4 == 1), 9, 2)
+    at = str(tmp_path_factory.mktemp("many"))
+    schema = "vec_id long, embedding array<float>, label int"
+    spark.createDataFrame([(k, v, y) for k, (v, y) in enumerate(zip(x.tolist(), label.tolist(), strict=True))], schema).write.parquet(f"{at}/embeddings.parquet")
+    support = (image % 5 == 0) & (image % 7 != 0)
+    assert support.sum() > 4_096
+    base, tested, scores = x[support].astype(float), np.flatnonzero(~support), {}
+    for ids in np.array_split(tested, 50):
+        d = sum((x[ids, c].astype(float)[:, None] - base[None, :, c]) ** 2 for c in range(2)).min(1)
+        for i, v in zip(image[ids].tolist(), d.tolist(), strict=True):
+            scores[i] = max(v, scores.get(i, 0.0))
+    return at, scores
+
+
+def test_image_scores_of_a_large_bank_take_one_worker_a_task(spark, many):
+    at, scores = many
+    made = vector_queries.image_score_max(spark, at)
+    assert workers(made) == 1
+    got = {r.image_id: (r.category, r.image_label, r.score) for r in made.collect()}
+    assert {i: (c, y) for i, (c, y, _) in got.items()} == {i: (f"c{i % 3}", int(i % 7 == 0)) for i in scores}
+    assert {i: s for i, (_, _, s) in got.items()} == pytest.approx(scores, abs=1e-6)
+
+
 @pytest.mark.parametrize("tile", [48 * 7, 48 * 1000])
 def test_self_nearest(spark, tile):
     df = vectors(spark, 90)
