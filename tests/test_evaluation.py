@@ -98,6 +98,18 @@ def test_image_scores_of_a_large_bank_take_one_worker_a_task(spark, many):
     assert {i: s for i, (_, _, s) in got.items()} == pytest.approx(scores, abs=1e-6)
 
 
+def test_golden_slice_of_a_large_bank_reads_its_scores(spark, many):
+    at, scores = many
+    made = vector_queries.golden_slice(spark, at)
+    assert workers(made) == 0
+    ids = np.array(sorted(scores))
+    s, y = np.round([scores[i] for i in ids], 9), ids % 7 == 0
+    pairs = (s[y][:, None] > s[~y][None, :]).sum() + (s[y][:, None] == s[~y][None, :]).sum() / 2
+    row = made.first()
+    assert (row.n_pos, row.n_neg) == (y.sum(), (~y).sum())
+    assert row.auroc == pytest.approx(pairs / (y.sum() * (~y).sum()), abs=1e-6)
+
+
 @pytest.mark.parametrize("tile", [48 * 7, 48 * 1000])
 def test_self_nearest(spark, tile):
     df = vectors(spark, 90)
