@@ -89,8 +89,9 @@ def stream_bank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     category = F.concat(F.lit("c"), (F.col("vec_id") % 3).cast("string")).alias("category")
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/embedding[s].parquet").where("vec_id % 20 <> 0")
     bank = load(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
-    out = E.scored(arriving.select("vec_id", category, "embedding"), bank.select("vec_id", category, "embedding"), ["category"])
-    return _drained(spark, out.select("vec_id", "category", F.round("score", 6).alias("score")), "bank-scores")
+    at = f"{shared_dir(spark)}/orbweave/bank-scores-{uuid.uuid4().hex}"
+    out = E.drain_scored(arriving.select("vec_id", category, "embedding"), bank.select("vec_id", category, "embedding"), ["category"], f"{at}/rows", f"{at}/checkpoint")
+    return out.select("vec_id", "category", F.round("score", 6).alias("score"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(avg((value > 100)::INTEGER) * 100, 6) AS alarm_percent FROM events GROUP BY 1, 2")

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orbweave.operators.evaluation import bank_distances
 from orbweave.operators.running import bucket_of
+from orbweave.sources.store import scratch
 
 WATERMARK = "10 minutes"
 
@@ -65,12 +67,32 @@ def alarms(events: DataFrame, limit: float) -> DataFrame:
 def scored(vectors: DataFrame, bank: DataFrame, keys: list[str], embedding: str = "embedding") -> DataFrame:
     """A stream of vectors with ``score``, the least squared distance to a vector of ``bank`` with the same keys.
 
-    The bank is a table; it goes to the tasks in blocks, and rows pass as they come.
+    The bank is a table; all of it goes to each task, and rows pass as they come (``drain_scored`` holds one part at a time).
     Rows without a vector, or whose keys the bank lacks, have no score and are left out.
     """
     return bank_distances(vectors, bank, keys, embedding=embedding).where("d2 is not null").withColumnRenamed("d2", "score")
 
 
+def drain_scored(stream: DataFrame, bank: DataFrame, keys: list[str], path: str, checkpoint: str, embedding: str = "embedding") -> DataFrame:
+    """Run ``scored`` over what is there now into a Parquet table without the vectors, and read that.
+
+    Each batch of the stream is a table, so its rows are written between the parts of the bank and a
+    task holds one part, however large the bank; the bank is read for each batch. A batch that
+    is run again writes the same, as it writes under its own number.
+    """
+    spark = stream.sparkSession
+    schema = T.StructType([f for f in stream.schema if f.name not in (embedding, "d2")]).add("score", "double")
+
+    def one(batch: DataFrame, number: int) -> None:
+        with scratch(spark):
+            scored(batch, bank, keys, embedding).drop(embedding).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    none = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema])
+    none.write.mode("ignore").parquet(f"{path}/none")  # a stream without rows has no batch
+    stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+
 def recent(events: DataFrame, key: str, size: int = 5) -> DataFrame:
     """Per key and trigger: how many events were seen, and the ids of the last ``size`` by time.
 

@@ -1,5 +1,6 @@
 """Banks, searches and evaluations against brute force, and the sources and figures beside them."""
 
+import functools
 import math
 
 import numpy as np
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orbweave.operators import bank, evaluation, knn, metrics
-from orbweave.plans import evt_queries, vector_queries
+from orbweave.plans import evt_queries, stream_queries, vector_queries
 from orbweave.sources import files
 from orbweave.streaming import events
 
@@ -64,6 +65,29 @@ def test_a_stream_passes_all_parts_in_one_worker(spark, tmp_path):
     assert got == pytest.approx({r.vec_id: r.d2 for r in evaluation.bank_distances(df, known, ["g"]).collect()})
 
 
+def test_a_drained_stream_holds_one_part_of_its_bank(spark, sf, monkeypatch):
+    whole, passed = {r.vec_id: (r.category, r.score) for r in stream_queries.stream_bank_scores(spark, sf).collect()}, []
+    one = lambda rows, parts, *how, go=evaluation._passed: passed.append(len(parts)) or go(rows, parts, *how)
+    monkeypatch.setattr(evaluation, "_passed", one)
+    monkeypatch.setattr(events, "bank_distances", functools.partial(evaluation.bank_distances, part_bytes=2_000))
+    got = stream_queries.stream_bank_scores(spark, sf)
+    assert len(passed) > 3 and set(passed) == {1}
+    assert {r.vec_id: (r.category, r.score) for r in got.collect()} == whole
+
+
+def test_a_stream_is_scored_batch_by_batch_and_goes_on(spark, tmp_path):
+    df, known = vectors(spark, 80), vectors(spark, 37, seed=2)
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    take = lambda: sorted(map(tuple, events.drain_scored(stream, known, ["g"], f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()))
+    score = lambda x: sorted(map(tuple, events.scored(x, known, ["g"]).drop("embedding").collect()))
+    assert take() == []
+    df.where("vec_id < 50").repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    assert take() == score(df.where("vec_id < 50"))
+    df.where("vec_id >= 50").write.mode("append").parquet(f"{tmp_path}/in")
+    assert take() == take() == score(df)
+
+
 @pytest.mark.parametrize("query", [vector_queries.golden_slice, vector_queries.golden_slice_by_category, vector_queries.margin_pressure, evt_queries.bootstrap_fpr])
 def test_scores_are_searched_once(spark, sf, query):
     """Quantiles and ranks of scores read a table of them; they don't search again."""
